@@ -59,18 +59,21 @@ def catalogue(scored: DataFrame) -> DataFrame:
     return stage(dense_index(scored, "product_id", "product_index"), "catalogue")
 
 
-def weighted_score(propensity: Column) -> Column:
+def weighted_sum(propensity: Column) -> Column:
     """Weighted sum of the five signals of a row that holds the preset's weights."""
-    return S.rnd(
+    return (
         F.col("propensity") * propensity
         + F.col("inventory") * F.col("inventory_pressure")
         + F.col("margin") * F.col("margin_score")
         + F.col("trend") * F.col("trend_score")
-        + F.col("demand_spike_weight") * F.col("demand_spike"),
-        6,
+        + F.col("demand_spike_weight") * F.col("demand_spike")
     )
 
 
+def weighted_score(propensity: Column) -> Column:
+    return S.rnd(weighted_sum(propensity), 6)
+
+
 def candidate_pairs(requests: DataFrame, staged_catalogue: DataFrame, key: str) -> DataFrame:
     """Each request with its sampled products.
 
@@ -282,7 +285,7 @@ def score_pairs(
     found = F.col("user_found") & F.col("product_found")
     known = F.coalesce(found, F.lit(False))
     columns = {
-        "final_score": S.rnd(weighted_score(F.col("propensity_score")), 4),
+        "final_score": S.rnd(weighted_sum(F.col("propensity_score")), 4),
         **{
             name: S.rnd(F.col(name), 4)
             for name in (
