@@ -6,12 +6,17 @@ tiers lie between, so all its values fit a table of twenty entries.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from vitrine import fixed
 from vitrine.functions import scalars as S
-from vitrine.sources.staging import broadcast_if_small, stage
+from vitrine.operators.skew import lookup_join
+from vitrine.sources.staging import stage
 
 TIERS = len(fixed.PRICE_TIER_BOUNDS)
 
@@ -38,7 +43,7 @@ def penalty(weight: Column, likeness: Column) -> Column:
 
 
 def penalty_table(weight: Column) -> Column:
-    """Penalty of every possible similarity, indexed by ``penalty_slot``."""
+    """Penalty of every possible similarity: by cluster match, category match, tiers apart."""
     entries = []
     for cluster in (0.0, 0.5):
         for category in (0.0, 0.3):
@@ -48,14 +53,6 @@ def penalty_table(weight: Column) -> Column:
     return F.array(*entries)
 
 
-def penalty_slot(a: Column, b: Column) -> Column:
-    return (
-        F.when(a["cluster"] == b["cluster"], 2 * TIERS).otherwise(0)
-        + F.when(a["category"] == b["category"], TIERS).otherwise(0)
-        + F.abs(a["tier"] - b["tier"])
-    )
-
-
 def diversity_penalties(ranked: DataFrame, group: str, weight: Column) -> DataFrame:
     """Penalty of each row of a ranked list against the rows above it; 0 for the first.
 
@@ -83,102 +80,142 @@ def diversity_penalties(ranked: DataFrame, group: str, weight: Column) -> DataFr
     return marked.withColumn("diversity_penalty", value).drop("traits", "chosen")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a one-element array carries it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+PICK = pa.struct([("position", pa.int32()), ("pick_score", pa.float64()), ("penalty", pa.float64())])
+PICKS_TYPE = ArrayType(
+    StructType()
+    .add("position", IntegerType())
+    .add("pick_score", DoubleType())
+    .add("penalty", DoubleType())
+)
+# Requests worked on together, which bounds the size of the matrices.
+CHUNK = 256
 
-def mmr_picks(
-    candidates: Column, k: Column, weight: Column, carried: list[str] = []
-) -> Column:
-    """Greedy diverse top k of an array of candidates.
 
-    A candidate is a struct (neg_score, product_id, cluster, category, tier, then any
-    ``carried`` columns) and the array is sorted.  Each step takes the best score minus penalty, the penalty being the
-    largest against the picks so far; of equals the higher raw score, then the lower id.
-    The result holds the picks in order with ``pick_score``, the score at the time, and
-    ``final_score``, the score against all other picks.
+def pick_chunk(
+    scores: np.ndarray, traits: list[np.ndarray], table: np.ndarray, k: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy picks for the rows of a score matrix, padded with -inf.
 
-    A penalty is at most ``weight``, so a candidate more than ``weight`` below the k-th
-    raw score can never be picked and is dropped beforehand.
+    Returns position and score at the time for every step, and the final penalties.
     """
-    kept = ["neg_score", "product_id", "cluster", "category", "tier", *carried]
-    k = F.least(k, F.size(candidates))
-    table = penalty_table(weight)
-    kth = F.element_at(candidates, F.greatest(k, F.lit(1)))["neg_score"]
-    reachable = F.filter(candidates, lambda c: c["neg_score"] <= kth + weight + 1e-9)
-    fresh = F.transform(
-        reachable,
-        lambda c: F.struct(
-            c["neg_score"].alias("neg_adjusted"),
-            *[c[name].alias(name) for name in kept],
-            F.lit(0.0).alias("penalty"),
-        ),
-    )
-
-    def step(state: Column, _: Column) -> Column:
-        def without(best: Column) -> Column:
-            def lowered(c: Column) -> Column:
-                return bind(
-                    F.greatest(c["penalty"], F.get(state["table"], penalty_slot(c, best))),
-                    lambda worst: F.struct(
-                        (c["neg_score"] + worst).alias("neg_adjusted"),
-                        *[c[name].alias(name) for name in kept],
-                        worst.alias("penalty"),
-                    ),
-                )
-
-            others = F.filter(state["rest"], lambda c: c["product_id"] != best["product_id"])
-            return F.struct(
-                F.array_append(state["picks"], best).alias("picks"),
-                F.transform(others, lowered).alias("rest"),
-                state["table"].alias("table"),
-            )
-
-        return bind(F.array_min(state["rest"]), without)
-
-    start = F.struct(
-        F.filter(fresh, lambda c: F.lit(False)).alias("picks"),
-        fresh.alias("rest"),
-        table.alias("table"),
+    rows = np.arange(len(scores))
+    cluster, category, tier = traits
+    penalties = np.zeros_like(scores)
+    open_scores = scores.copy()
+    steps = int(k.max(initial=0))
+    positions = np.zeros((len(scores), steps), dtype=np.int32)
+    at_pick = np.zeros((len(scores), steps))
+    for step in range(steps):
+        adjusted = open_scores - penalties
+        # The first of equal maxima: rows are sorted, so the better raw score, the lower id.
+        best = adjusted.argmax(axis=1)
+        positions[:, step] = best
+        at_pick[:, step] = adjusted[rows, best]
+        slot = np.abs(tier - tier[rows, best][:, None])
+        slot += 2 * TIERS * (cluster == cluster[rows, best][:, None])
+        slot += TIERS * (category == category[rows, best][:, None])
+        raised = np.take_along_axis(table, slot, axis=1)
+        raised[rows, best] = 0.0
+        raised[step >= k] = 0.0
+        np.maximum(penalties, raised, out=penalties)
+        open_scores[rows, best] = -np.inf
+    return positions, at_pick, penalties
+
+
+def flat(column: pa.Array) -> pa.Array:
+    """Values of a list column, end to end."""
+    return column.flatten()
+
+
+@F.arrow_udf(PICKS_TYPE)
+def greedy_picks(
+    scores: pa.Array, clusters: pa.Array, categories: pa.Array, tiers: pa.Array,
+    tables: pa.Array, ks: pa.Array,
+) -> pa.Array:
+    """Positions picked from each row's candidates, which come best score first.
+
+    Works on many rows at a time: one matrix step per pick instead of one expression per
+    candidate and pick.
+    """
+    sizes = pc.list_value_length(scores).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    values = flat(scores).to_numpy(zero_copy_only=False)
+    codes = [
+        flat(column).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        for column in (clusters, categories)
+    ]
+    codes.append(flat(tiers).to_numpy(zero_copy_only=False).astype(np.int64))
+    table = flat(tables).to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+    k = np.minimum(ks.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+    found: list[list[np.ndarray]] = [[], [], []]
+    for first in range(0, len(sizes), CHUNK):
+        rows = slice(first, first + CHUNK)
+        here = sizes[rows]
+        filled = np.arange(here.max(initial=0)) < here[:, None]
+        inside = slice(ends[first] - sizes[first], ends[rows][-1])
+
+        def padded(source: np.ndarray, blank) -> np.ndarray:
+            matrix = np.full(filled.shape, blank, dtype=source.dtype)
+            matrix[filled] = source[inside]
+            return matrix
+
+        positions, at_pick, penalties = pick_chunk(
+            padded(values, -np.inf), [padded(code, 0) for code in codes], table[rows], k[rows]
+        )
+        used = np.arange(positions.shape[1]) < k[rows][:, None]
+        found[0].append(positions[used])
+        found[1].append(at_pick[used])
+        found[2].append(np.take_along_axis(penalties, positions.astype(np.int64), axis=1)[used])
+    arrays = [np.concatenate(part) if part else np.array([]) for part in found]
+    picks = pa.StructArray.from_arrays(
+        [pa.array(array, type=field.type) for array, field in zip(arrays, PICK)], fields=list(PICK)
     )
+    offsets = np.concatenate([[0], np.cumsum(k)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), picks)
 
-    def finish(state: Column) -> Column:
-        picks = state["picks"]
-
-        def rescored(pick: Column) -> Column:
-            others = F.filter(picks, lambda c: c["product_id"] != pick["product_id"])
-            worst = F.array_max(
-                F.transform(others, lambda c: F.get(state["table"], penalty_slot(pick, c)))
-            )
-            left = -pick["neg_score"] - F.coalesce(worst, F.lit(0.0))
-            return F.struct(
-                pick["product_id"].alias("product_id"),
-                (-pick["neg_score"]).alias("score"),
-                (-pick["neg_adjusted"]).alias("pick_score"),
-                S.rnd(F.greatest(F.lit(0.0), left), 6).alias("final_score"),
-                *[pick[name].alias(name) for name in carried],
-            )
 
-        return F.transform(picks, rescored)
+def mmr_picks(candidates: DataFrame, k: Column, weight: Column, diverse: Column) -> DataFrame:
+    """Diverse top k of each row's ``candidates``, one row per pick.
 
-    steps = F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
+    A candidate is a struct (neg_score, product_id, cluster, category, tier, ...) and the
+    arrays are sorted.  Each step takes the best score minus penalty, the penalty being
+    the largest against the picks so far; of equals the higher raw score, then the lower
+    id.  ``pick_score`` is the score at the time and ``final_score`` the score against all
+    other picks.  Rows that are not ``diverse`` get their plain top k.
+    """
+    none = F.array_repeat(F.lit(0.0), 4 * TIERS)
+    table = F.when(diverse, penalty_table(weight)).otherwise(none)
+
+    def field(name: str) -> Column:
+        return F.col("candidates")[name]
+
+    picked = greedy_picks(
+        F.transform(field("neg_score"), lambda score: -score),
+        field("cluster"),
+        field("category"),
+        field("tier"),
+        table,
+        k,
     )
-    return F.aggregate(steps, start, step, finish)
-
-
-def top_picks(candidates: Column, k: Column, carried: list[str] = []) -> Column:
-    """Plain top k of the same array."""
-    return F.transform(
-        F.slice(candidates, 1, k),
-        lambda c: F.struct(
-            c["product_id"].alias("product_id"),
-            (-c["neg_score"]).alias("score"),
-            (-c["neg_score"]).alias("pick_score"),
-            (-c["neg_score"]).alias("final_score"),
-            *[c[name].alias(name) for name in carried],
-        ),
+    score = -F.col("candidate.neg_score")
+    left = score - F.col("pick.penalty")
+    final = F.when(diverse, S.rnd(F.greatest(F.lit(0.0), left), 6)).otherwise(score)
+    return (
+        candidates.withColumn("picks", picked)
+        # The outer form keeps the planner from testing the picks, and so from making them twice.
+        .select("*", F.posexplode_outer("picks").alias("step", "pick"))
+        .filter(F.col("pick").isNotNull())
+        .withColumn("candidate", F.get("candidates", F.col("pick.position")))
+        .withColumns(
+            {
+                "rank": F.col("step") + 1,
+                "score": score,
+                "pick_score": F.col("pick.pick_score"),
+                "final_score": final,
+                "product_id": F.col("candidate.product_id"),
+            }
+        )
+        .drop("candidates", "picks", "step", "pick")
     )
 
 
@@ -205,12 +242,11 @@ def mmr_rerank(
 
     A group is one user's candidate pool, at most 500 rows by the request limits.
     """
-    return (
-        candidates.groupBy(group)
-        .agg(sorted_candidates(F.col("score")).alias("candidates"))
-        .select(group, F.posexplode(mmr_picks(F.col("candidates"), k, weight)))
-        .select(group, (F.col("pos") + 1).alias("rank"), "col.*")
+    pools = candidates.groupBy(group).agg(
+        sorted_candidates(F.col("score")).alias("candidates")
     )
+    picks = mmr_picks(pools, k, weight, F.lit(True))
+    return picks.select(group, "rank", "product_id", "score", "pick_score", "final_score")
 
 
 def similar_products(products: DataFrame, n: int = 5, above: float = 0.5) -> DataFrame:
@@ -259,10 +295,12 @@ def similar_products(products: DataFrame, n: int = 5, above: float = 0.5) -> Dat
         .agg(F.sort_array(F.collect_list(F.struct("place", "id", "similarity"))).alias("options"))
         .select("own.*", "options")
     )
-    lists = broadcast_if_small(stage(lists, "similar"))
+    # A cell may hold a large part of the catalogue, so the lists are looked up by one key.
+    cell_key = F.to_json(F.struct(*cell))
+    lists = stage(lists.select(cell_key.alias("cell_key"), "options"), "similar")
     others = F.filter("options", lambda option: option["id"] != F.col("product_id"))
     return (
-        traits.join(lists, cell)
+        lookup_join(traits.select("product_id", cell_key.alias("cell_key")), lists, "cell_key")
         .select("product_id", F.posexplode(F.slice(others, 1, n)))
         .select(
             "product_id",

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vitrine import fixed
 from vitrine.functions import scalars as S
-from vitrine.operators.skew import keyed_join
-from vitrine.sources.staging import broadcast_if_small, stage
+from vitrine.operators.skew import keyed_join, lookup_join
+from vitrine.sources.staging import stage
 
 
 def elasticity_features(products: DataFrame, category_codes: dict[str, int]) -> DataFrame:
@@ -61,7 +61,7 @@ def lines_by_category(lines: DataFrame) -> DataFrame:
 def with_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
     """Products with the lines of their category, the fitted model being a staged table."""
     model = stage(lines_by_category(lines), "response_lines")
-    return products.join(broadcast_if_small(model), "category", "left")
+    return lookup_join(products, model, "category", "left")
 
 
 def closed_form_uplift(discount: Column) -> Column:

@@ -54,12 +54,21 @@ def known_preset(name: Column) -> Column:
 
 
 def join_presets(rows: DataFrame, column: str) -> DataFrame:
-    """Attach the weights.  The preset table has five rows, so it is broadcast."""
-    table = presets(rows.sparkSession).drop("description").withColumnsRenamed(
-        {"name": "preset", "demand_spike": "demand_spike_weight"}
-    )
-    resolved = rows.withColumn("preset", known_preset(F.col(column)))
-    return resolved.join(F.broadcast(table), "preset")
+    """Attach the weights of the preset named in a column, or of the default.
+
+    The five presets are a constant map in the plan, so there is no join to shuffle.
+    """
+    entries = []
+    for preset in fixed.PRESETS:
+        weights = [F.lit(preset[weight]).alias(weight) for weight in WEIGHTS]
+        entries += [F.lit(preset["name"]), F.struct(*weights)]
+    found = rows.withColumn("preset", known_preset(F.col(column)))
+    found = found.withColumn("weights_", F.create_map(*entries)[F.col("preset")])
+    # The signal and its weight would share a name.
+    names = {weight: weight for weight in WEIGHTS} | {"demand_spike": "demand_spike_weight"}
+    return found.withColumns(
+        {name: F.col(f"weights_.{weight}") for weight, name in names.items()}
+    ).drop("weights_")
 
 
 def bucket(user_id: Column, experiment: Column) -> Column:

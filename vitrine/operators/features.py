@@ -8,6 +8,7 @@ from pyspark.sql.types import NumericType, StringType
 
 from vitrine import fixed
 from vitrine.functions import scalars as S
+from vitrine.operators.skew import keyed_join
 
 NEGATIVE_TYPES = ["view", "wishlist"]
 
@@ -55,11 +56,8 @@ def last_viewed(events: DataFrame) -> DataFrame:
 
 def last_viewed_category(events: DataFrame, products: DataFrame) -> DataFrame:
     catalogue = products.select(F.col("product_id").alias("last_viewed_product"), "category")
-    return (
-        last_viewed(events)
-        .join(catalogue, "last_viewed_product", "left")
-        .withColumnRenamed("category", "last_viewed_category")
-    )
+    viewed = keyed_join(last_viewed(events), catalogue, "last_viewed_product", "left")
+    return viewed.withColumnRenamed("category", "last_viewed_category")
 
 
 def user_history(events: DataFrame, as_of: Column | None = None) -> DataFrame:

@@ -7,63 +7,64 @@ rest happens inside the slices.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.sources.staging import stage
 
-# Hex digits of the md5 that name a slice: 4096 slices.
-SLICE_DIGITS = 3
+# Hex digits of the md5 that name a slice: 65536 slices.
+SLICE_DIGITS = 4
 
 
-def slice_of(key: str):
-    return F.substring(F.md5(F.col(key).cast("string")), 1, SLICE_DIGITS)
+def digest(key: str) -> Column:
+    return F.md5(F.col(key).cast("string"))
 
 
-def slice_starts(rows: DataFrame, slice_column: str, counts: list[str]) -> DataFrame:
-    """Totals of all earlier slices, one row per slice."""
-    totals = rows.groupBy(slice_column).agg(*[F.sum(name).alias(name) for name in counts])
-    earlier = Window.orderBy(slice_column).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        slice_column,
-        *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}_before") for name in counts],
-    )
+def slice_of(key: str) -> Column:
+    return F.substring(digest(key), 1, SLICE_DIGITS)
+
+
+def slice_starts(rows: DataFrame) -> DataFrame:
+    """Per slice its size and the total size of the slices before it."""
+    sizes = rows.groupBy("slice_no").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.orderBy("slice_no").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    return sizes.withColumn("before", before)
 
 
 def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Number rows with unique keys 0..n-1, by md5 slice and then by key."""
-    sliced = rows.withColumn("slice_no", slice_of(key)).withColumn("one", F.lit(1))
-    starts = slice_starts(sliced, "slice_no", ["one"])
+    """Number unique keys 0..n-1, by md5 slice and then by key."""
+    sliced = rows.select(key).withColumn("slice_no", slice_of(key))
     inside = F.row_number().over(Window.partitionBy("slice_no").orderBy(key))
-    return (
+    starts = slice_starts(sliced)
+    numbered = (
         sliced.withColumn("inside", inside)
         .join(F.broadcast(starts), "slice_no")
-        .withColumn(name, (F.col("one_before") + F.col("inside") - 1).cast("bigint"))
-        .select(*rows.columns, name)
+        .select(key, (F.col("before") + F.col("inside") - 1).cast("bigint").alias(name))
     )
+    return rows.join(numbered, key)
 
 
-def lowest_by_hash(rows: DataFrame, key: str, n) -> DataFrame:
-    """The n rows whose key has the lowest md5: a sample that is the same on every run.
+def lowest_by_hash(rows: DataFrame, key: str, n: Column | int) -> Column:
+    """Condition that holds for the n rows whose unique key has the lowest md5.
 
-    Whole slices under the cut are taken as they stand; only the slice with the cut is
-    ranked.  ``n`` is a number or a scalar subquery.
+    The slice in which the n-th row lies is found from the slices' sizes and only that
+    slice is ranked.  The result is a comparison with one value, so the sample itself is
+    a filter of a scan.  ``n`` is a number or a scalar subquery.
     """
-    sliced = rows.withColumn("slice_no", slice_of(key)).withColumn("one", F.lit(1))
-    totals = sliced.groupBy("slice_no").agg(F.sum("one").alias("size"))
-    starts = slice_starts(sliced, "slice_no", ["one"]).join(F.broadcast(totals), "slice_no")
-    wanted = n if hasattr(n, "cast") else F.lit(n)
-    starts = starts.withColumn("left_over", wanted - F.col("one_before")).filter("left_over > 0")
-    whole = starts.filter("left_over >= size").select("slice_no")
-    cut = starts.filter("left_over < size").select("slice_no", "left_over")
-    order = Window.partitionBy("slice_no").orderBy(F.md5(F.col(key).cast("string")), key)
-    part = (
-        sliced.join(F.broadcast(cut), "slice_no")
+    wanted = F.lit(n) if isinstance(n, int) else n
+    sliced = rows.select(key).withColumn("slice_no", slice_of(key))
+    has_last = (F.col("before") < wanted) & (F.col("before") + F.col("size") >= wanted)
+    order = Window.partitionBy("slice_no").orderBy(digest(key), key)
+    place = F.struct(digest(key).alias("hash"), F.col(key).alias("key"))
+    last = (
+        sliced.join(F.broadcast(slice_starts(sliced).filter(has_last)), "slice_no")
         .withColumn("inside", F.row_number().over(order))
-        .filter("inside <= left_over")
-    )
-    taken = sliced.join(F.broadcast(whole), "slice_no", "left_semi")
-    return taken.select(*rows.columns).unionByName(part.select(*rows.columns))
+        .filter(F.col("inside") == wanted - F.col("before"))
+        .select(place)
+    ).scalar()
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return (wanted > total) | F.coalesce(place <= last, F.lit(False))
 
 
 def running_totals(

@@ -20,8 +20,8 @@ def training_pairs(
 ) -> DataFrame:
     """Labelled samples with the training columns; unknown users and products are skipped."""
     samples = training_union(events, ratio).select("event_id", "user_id", "product_id", "label")
-    pairs = keyed_join(samples, users, "user_id")
-    pairs = keyed_join(pairs, products, "product_id")
+    pairs = keyed_join(samples, users, "user_id", sketch=events)
+    pairs = keyed_join(pairs, products, "product_id", sketch=events)
     columns = propensity_columns(users, category_codes)
     return pairs.select(
         "event_id",
@@ -37,8 +37,9 @@ def purchase_rates(
 ) -> DataFrame:
     """Smoothed purchase rate of each customer segment in each category."""
     samples = training_union(events, ratio).select("user_id", "product_id", "label")
-    pairs = keyed_join(samples, users.select("user_id", "segment"), "user_id")
-    pairs = keyed_join(pairs, products.select("product_id", "category"), "product_id")
+    segments, categories = users.select("user_id", "segment"), products.select("product_id", "category")
+    pairs = keyed_join(samples, segments, "user_id", sketch=events)
+    pairs = keyed_join(pairs, categories, "product_id", sketch=events)
     return (
         pairs.groupBy("segment", "category")
         .agg(F.count(F.lit(1)).alias("n_samples"), F.sum("label").alias("n_purchases"))

@@ -13,7 +13,7 @@ from vitrine.operators.inventory import with_labels
 from vitrine.operators.ordering import dense_index
 from vitrine.operators.propensity import closed_form_propensity, rates_by_category
 from vitrine.operators.sampling import candidate_index
-from vitrine.operators.skew import keyed_join
+from vitrine.operators.skew import keyed_join, lookup_join
 from vitrine.sources.staging import broadcast_if_small, stage
 
 # Catalogue columns that are shown, or that a learned scorer reads.
@@ -48,15 +48,18 @@ def product_scores(
             "left",
         )
     if rates is not None:
-        # One row per category: how many there are is checked before the broadcast.
-        by_category = broadcast_if_small(stage(rates_by_category(rates), "rates"))
-        scored = scored.join(by_category, "category", "left")
+        by_category = stage(rates_by_category(rates), "rates")
+        scored = lookup_join(scored, by_category, "category", "left")
     return scored
 
 
-def catalogue(scored: DataFrame) -> DataFrame:
-    """Product scores with dense positions, staged for the jobs that rank with them."""
-    return stage(dense_index(scored, "product_id", "product_index"), "catalogue")
+def catalogue(scored: DataFrame, products: DataFrame) -> DataFrame:
+    """Product scores with dense positions, staged for the jobs that rank with them.
+
+    The positions come from the product ids alone, so the scores are computed once.
+    """
+    positions = dense_index(products.select("product_id"), "product_id", "product_index")
+    return stage(scored.join(positions, "product_id"), "catalogue")
 
 
 def weighted_sum(propensity: Column) -> Column:
@@ -175,22 +178,11 @@ def recommend(
         F.count(F.lit(1)).alias("total_candidates"),
         D.sorted_candidates(F.col("score"), carried).alias("candidates"),
     )
-    picks = F.when(
-        F.col("apply_diversity"),
-        D.mmr_picks(F.col("candidates"), F.col("top_k"), F.col("diversity"), carried),
-    ).otherwise(D.top_picks(F.col("candidates"), F.col("top_k"), carried))
-    ranked = (
-        grouped.withColumn("picks", picks)
-        .select("*", F.posexplode("picks"))
-        .select(
-            key,
-            *per_request,
-            "total_candidates",
-            (F.col("pos") + 1).alias("rank"),
-            "col.*",
-        )
-    )
+    ranked = D.mmr_picks(
+        grouped, F.col("top_k"), F.col("diversity"), F.col("apply_diversity")
+    ).withColumns({name: F.col(f"candidate.{name}") for name in carried})
     described = staged_catalogue.drop("product_index", "style_cluster", "segment_rates")
+    # The picks come from evenly sampled pools, so no product is hot here either.
     full = with_labels(ranked.join(broadcast_if_small(described), "product_id"))
     return full.select(
         key,
@@ -280,7 +272,7 @@ def score_pairs(
     store = users.withColumn("user_found", F.lit(True))
     shelf = scored.drop("product_index").withColumn("product_found", F.lit(True))
     rows = keyed_join(requests, store, "user_id", "left")
-    rows = keyed_join(rows, shelf, "product_id", "left")
+    rows = keyed_join(rows, shelf, "product_id", "left", sketch=requests)
     rows = with_labels(scorer(X.join_presets(rows, "weight_preset")))
     found = F.col("user_found") & F.col("product_found")
     known = F.coalesce(found, F.lit(False))

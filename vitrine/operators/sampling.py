@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import scalars as S
-from vitrine.operators.features import negatives_only, purchases_only
+from vitrine.operators.features import NEGATIVE_TYPES, negatives_only, purchases_only
 from vitrine.operators.ordering import lowest_by_hash
 
 # Strides for walking the catalogue.  A stride that divides its size is passed over;
@@ -14,16 +14,22 @@ from vitrine.operators.ordering import lowest_by_hash
 STRIDES = [7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121]
 
 
-def negative_sample(events: DataFrame, ratio: int = 3) -> DataFrame:
-    """At most ``ratio`` negatives per purchase.  ``events`` needs a unique ``event_id``."""
+def sampled_negative(events: DataFrame, ratio: int) -> Column:
     n_positive = purchases_only(events).agg(F.count(F.lit(1))).scalar()
     return lowest_by_hash(negatives_only(events), "event_id", n_positive * ratio)
 
 
+def negative_sample(events: DataFrame, ratio: int = 3) -> DataFrame:
+    """At most ``ratio`` negatives per purchase.  ``events`` needs a unique ``event_id``."""
+    return negatives_only(events).filter(sampled_negative(events, ratio))
+
+
 def training_union(events: DataFrame, ratio: int = 3) -> DataFrame:
-    """Purchases and sampled negatives with their label."""
-    rows = purchases_only(events).unionByName(negative_sample(events, ratio))
-    return rows.withColumn("label", S.purchase_label(F.col("event_type")))
+    """Purchases and sampled negatives with their label, from one scan."""
+    kind = F.col("event_type")
+    negative = kind.isin(NEGATIVE_TYPES) & sampled_negative(events, ratio)
+    rows = events.filter((kind == "purchase") | negative)
+    return rows.withColumn("label", S.purchase_label(kind))
 
 
 def split_bucket(key: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.sources.staging import MAX_BROADCAST_ROWS
+
 # A key is hot when it holds more than 1/64 of the rows: there are fewer than 64 of them.
 HOT_SHARE = 64
 SKETCH_ITEMS = 4096
@@ -33,19 +35,29 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, salts: int) -> DataFrame:
+def salted_join(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    how: str = "inner",
+    salts: int = 32,
+    sketch: DataFrame | None = None,
+) -> DataFrame:
     """Join on (key, salt): rows of a hot key are spread over ``salts`` partitions.
 
     The salt is a hash of the row, so a retried task sends each row to the same place.
+    Rows without a key match nothing and are spread too.
     """
-    hot = F.broadcast(hot_keys(rows, key))
-    spread = F.pmod(F.xxhash64(*[F.col(f"r.`{name}`") for name in rows.columns]), F.lit(salts).cast("bigint"))
+    hot = F.broadcast(hot_keys(rows if sketch is None else sketch, key))
+    columns = [F.col(f"r.`{name}`") for name in rows.columns]
+    spread = F.pmod(F.xxhash64(*columns), F.lit(salts).cast("bigint"))
     to_spread = F.col("hot_key").isNotNull() | F.col(f"r.`{key}`").isNull()
+    first = F.lit(0).cast("bigint")
     salted_rows = rows.alias("r").join(hot, F.col(f"r.`{key}`") == F.col("hot_key"), "left").select(
-        "r.*", F.when(to_spread, spread).otherwise(F.lit(0).cast("bigint")).alias("salt")
+        "r.*", F.when(to_spread, spread).otherwise(first).alias("salt")
     )
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    copies = F.when(F.col("hot_key").isNotNull(), every).otherwise(F.array(F.lit(0).cast("bigint")))
+    every = F.sequence(first, F.lit(salts - 1).cast("bigint"))
+    copies = F.when(F.col("hot_key").isNotNull(), every).otherwise(F.array(first))
     salted_table = table.alias("t").join(hot, F.col(f"t.`{key}`") == F.col("hot_key"), "left").select(
         "t.*", F.explode(copies).alias("salt")
     )
@@ -57,15 +69,22 @@ def keyed_join(
     table: DataFrame,
     key: str,
     how: str = "inner",
-    salts: int = 32,
-    force_salt: bool = False,
+    sketch: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows with a table that holds each key once.
 
-    A table the planner knows to be under its broadcast threshold is left to the
-    planner, which then shuffles nothing.  Any other join is salted.  ``how`` is
-    inner, left, left_semi or left_anti.
+    A table the planner knows to be under its broadcast threshold is left to the planner,
+    which then shuffles nothing.  Any other join is salted.  Hot keys are looked for in
+    ``sketch``, a cheaper table with the same key column, or in the rows themselves.
+    ``how`` is inner, left, left_semi or left_anti.
     """
-    if not force_salt and planned_bytes(table) <= broadcast_limit(table):
+    if planned_bytes(table) <= broadcast_limit(table):
         return rows.join(table, key, how)
-    return salted_join(rows, table, key, how, salts)
+    return salted_join(rows, table, key, how, sketch=sketch)
+
+
+def lookup_join(rows: DataFrame, staged: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join with a staged table: by broadcast up to the row bound, salted beyond it."""
+    if staged.count() <= MAX_BROADCAST_ROWS:
+        return rows.join(F.broadcast(staged), key, how)
+    return salted_join(rows, staged, key, how)

@@ -262,7 +262,7 @@ CTES: dict[str, str] = {
         from samples join users using (user_id) join products using (product_id) group by 1, 2""",
     "catalogue": """
         select p.*, inventory_pressure, demand_spike, optimal_discount_pct, expected_uplift,
-               row_number() over (order by substr(md5(product_id::varchar), 1, 3), product_id) - 1 as product_index
+               row_number() over (order by substr(md5(product_id::varchar), 1, 4), product_id) - 1 as product_index
         from products p join pressure using (product_id) join spikes using (product_id) join best using (product_id)""",
     "presets": "select * from (values "
     + ", ".join(

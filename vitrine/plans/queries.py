@@ -128,7 +128,7 @@ class Store:
 
     @cached_property
     def catalogue(self) -> DataFrame:
-        return R.catalogue(self.scored())
+        return R.catalogue(self.scored(), self.staged_products)
 
     def request_all(self, **options) -> DataFrame:
         """One request per user, with the defaults where nothing else is said."""

@@ -72,7 +72,8 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_discount") >= fixed.TREATED_FROM).cast("int").alias("discounted"),
     )
     lines = keyed_join(lines, orders.select("o_orderkey", "o_custkey"), "o_orderkey")
-    lines = keyed_join(lines, part.select("p_partkey", "p_type"), "p_partkey")
+    parts = lineitem.select(F.col("l_partkey").alias("p_partkey"))
+    lines = keyed_join(lines, part.select("p_partkey", "p_type"), "p_partkey", sketch=parts)
     kinds = list(fixed.PART_TYPE_CODES)
     tastes = lines.groupBy(F.col("o_custkey").alias("user_id")).agg(
         F.count(F.lit(1)).alias("n_lines"),
