@@ -20,7 +20,7 @@ from vitrine import fixed
 from vitrine.functions import scalars as S
 from vitrine.operators.features import columns_by_type
 from vitrine.operators.ordering import running_totals
-from vitrine.sources.staging import broadcast_if_small, stage
+from vitrine.sources.staging import stage
 
 
 def long_form(table: DataFrame, columns: list[str], kind: str) -> DataFrame:
@@ -161,23 +161,23 @@ class Profile:
 
 def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS) -> Profile:
     numeric, text = columns_by_type(table)
-    empty = table.sparkSession
+    spark = table.sparkSession
     if numeric:
         values = numeric_values(table, numeric)
         edges = stage(quantile_edges(values, bins), "edges")
         numeric_table = stage(edges.join(F.broadcast(column_stats(values)), "feature"), "numeric")
         bin_table = stage(histogram(values, edges), "bins")
     else:
-        numeric_table = empty.createDataFrame(
+        numeric_table = spark.createDataFrame(
             [], "feature string, edges array<double>, mean double, std double, n_values bigint"
         )
-        bin_table = empty.createDataFrame(
+        bin_table = spark.createDataFrame(
             [], "feature string, bin_no int, low double, high double, n bigint, share double"
         )
     if text:
         shares = stage(category_shares(category_values(table, text)), "shares")
     else:
-        shares = empty.createDataFrame(
+        shares = spark.createDataFrame(
             [], "feature string, value string, n bigint, share double"
         )
     return Profile(numeric_table, bin_table, shares, numeric, text)

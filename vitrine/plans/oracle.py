@@ -819,6 +819,7 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     # Ranking
     "weighted_score": ("select user_id, product_id, score from scored", POOL),
     "recommend": (f"select {RANKED} from ranked", ranking(asked(), 20)),
+    "recommend_stream": (f"select {RANKED} from ranked", ranking(asked(), 20)),
     "recommend_plain": (
         f"select {RANKED} from ranked",
         ranking(asked(weight_preset="'clearance'"), 10, diverse=False),

@@ -25,6 +25,7 @@ from vitrine.operators import propensity as P
 from vitrine.operators import ranking as R
 from vitrine.operators.skew import keyed_join
 from vitrine.sources import runlog, staging, tables
+from vitrine.streaming import serving
 
 CODES = fixed.PART_TYPE_CODES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -696,7 +697,7 @@ def demand_baseline(s: Store) -> DataFrame:
 
 @query
 def auc(s: Store) -> DataFrame:
-    rows = s.shipments.sparkSession.read.parquet(f"{s.folder}/lineitem.parquet").select(
+    rows = s.table("lineitem").select(
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("score"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
@@ -738,7 +739,7 @@ def variant_distribution(s: Store) -> DataFrame:
 
 def profiled(s: Store) -> DataFrame:
     """User columns that drift is fitted on."""
-    return s.users.drop("user_id")
+    return s.staged_users.drop("user_id")
 
 
 def drift_columns(events: DataFrame) -> DataFrame:
@@ -757,7 +758,7 @@ def drift_columns(events: DataFrame) -> DataFrame:
 
 def reference_and_current(s: Store) -> tuple[drift.Profile, DataFrame]:
     """Shipped purchases as the reference, web events as what came later."""
-    return drift.fit(drift_columns(s.ship)), drift_columns(s.web)
+    return drift.fit(drift_columns(s.shipments)), drift_columns(s.web)
 
 
 @query
@@ -1019,6 +1020,20 @@ def recommend_plain(s: Store) -> DataFrame:
     return shown(R.recommend(asked, s.staged_users, s.catalogue))
 
 
+@query
+def recommend_stream(s: Store) -> DataFrame:
+    """The requests of ``recommend`` arriving as a stream of files."""
+    base = f"{staging.shared_folder(s.spark)}/stream-{staging.uuid.uuid4().hex}"
+    asked = s.request_all()
+    asked.write.parquet(f"{base}/requests")
+    arriving = s.spark.readStream.schema(asked.schema).parquet(f"{base}/requests")
+    answered = serving.serve(
+        arriving, s.staged_users, s.catalogue, f"{base}/answers", f"{base}/progress"
+    )
+    answered.awaitTermination()
+    return shown(s.spark.read.parquet(f"{base}/answers").drop("batch"))
+
+
 @query
 def score_pair(s: Store) -> DataFrame:
     return scored_pairs(s)

@@ -203,17 +203,21 @@ EVENT_COLUMNS = [
 ]
 
 
-def ship_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Purchases: every line of every order, on the day it shipped."""
-    orders, lineitem = (read(spark, folder, name) for name in ("orders", "lineitem"))
+def lines_as_purchases(lineitem: DataFrame) -> DataFrame:
     paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    lines = lineitem.select(
+    return lineitem.select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_shipdate").alias("ts"),
         (paid / F.greatest("l_quantity", F.lit(1.0))).alias("price_paid"),
         F.col("l_quantity").cast("int").alias("quantity"),
     )
+
+
+def ship_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Purchases: every line of every order, on the day it shipped."""
+    orders, lineitem = (read(spark, folder, name) for name in ("orders", "lineitem"))
+    lines = lines_as_purchases(lineitem)
     return keyed_join(lines, orders.select("o_orderkey", "o_custkey"), "o_orderkey").select(
         F.lit(None).cast("bigint").alias("event_id"),
         F.col("o_custkey").alias("user_id"),
@@ -228,10 +232,8 @@ def ship_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def shipments(spark: SparkSession, folder: str) -> DataFrame:
     """The product side of ``ship_events``, for work that needs no user: no join."""
-    return read(spark, folder, "lineitem").select(
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_shipdate").alias("ts"),
-        F.lit("purchase").alias("event_type"),
+    return lines_as_purchases(read(spark, folder, "lineitem")).withColumn(
+        "event_type", F.lit("purchase")
     )
 
 
