@@ -6,14 +6,12 @@ tiers lie between, so all its values fit a table of twenty entries.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from vitrine import fixed
+from vitrine.functions import kernels
 from vitrine.functions import scalars as S
 from vitrine.operators.skew import lookup_join
 from vitrine.sources.staging import stage
@@ -80,98 +78,15 @@ def diversity_penalties(ranked: DataFrame, group: str, weight: Column) -> DataFr
     return marked.withColumn("diversity_penalty", value).drop("traits", "chosen")
 
 
-PICK = pa.struct([("position", pa.int32()), ("pick_score", pa.float64()), ("penalty", pa.float64())])
-PICKS_TYPE = ArrayType(
-    StructType()
-    .add("position", IntegerType())
-    .add("pick_score", DoubleType())
-    .add("penalty", DoubleType())
+greedy_picks = F.arrow_udf(
+    kernels.greedy_picks,
+    ArrayType(
+        StructType()
+        .add("position", IntegerType())
+        .add("pick_score", DoubleType())
+        .add("penalty", DoubleType())
+    ),
 )
-# Requests worked on together, which bounds the size of the matrices.
-CHUNK = 256
-
-
-def pick_chunk(
-    scores: np.ndarray, traits: list[np.ndarray], table: np.ndarray, k: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy picks for the rows of a score matrix, padded with -inf.
-
-    Returns position and score at the time for every step, and the final penalties.
-    """
-    rows = np.arange(len(scores))
-    cluster, category, tier = traits
-    penalties = np.zeros_like(scores)
-    open_scores = scores.copy()
-    steps = int(k.max(initial=0))
-    positions = np.zeros((len(scores), steps), dtype=np.int32)
-    at_pick = np.zeros((len(scores), steps))
-    for step in range(steps):
-        adjusted = open_scores - penalties
-        # The first of equal maxima: rows are sorted, so the better raw score, the lower id.
-        best = adjusted.argmax(axis=1)
-        positions[:, step] = best
-        at_pick[:, step] = adjusted[rows, best]
-        slot = np.abs(tier - tier[rows, best][:, None])
-        slot += 2 * TIERS * (cluster == cluster[rows, best][:, None])
-        slot += TIERS * (category == category[rows, best][:, None])
-        raised = np.take_along_axis(table, slot, axis=1)
-        raised[rows, best] = 0.0
-        raised[step >= k] = 0.0
-        np.maximum(penalties, raised, out=penalties)
-        open_scores[rows, best] = -np.inf
-    return positions, at_pick, penalties
-
-
-def flat(column: pa.Array) -> pa.Array:
-    """Values of a list column, end to end."""
-    return column.flatten()
-
-
-@F.arrow_udf(PICKS_TYPE)
-def greedy_picks(
-    scores: pa.Array, clusters: pa.Array, categories: pa.Array, tiers: pa.Array,
-    tables: pa.Array, ks: pa.Array,
-) -> pa.Array:
-    """Positions picked from each row's candidates, which come best score first.
-
-    Works on many rows at a time: one matrix step per pick instead of one expression per
-    candidate and pick.
-    """
-    sizes = pc.list_value_length(scores).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    values = flat(scores).to_numpy(zero_copy_only=False)
-    codes = [
-        flat(column).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        for column in (clusters, categories)
-    ]
-    codes.append(flat(tiers).to_numpy(zero_copy_only=False).astype(np.int64))
-    table = flat(tables).to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
-    k = np.minimum(ks.to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-    found: list[list[np.ndarray]] = [[], [], []]
-    for first in range(0, len(sizes), CHUNK):
-        rows = slice(first, first + CHUNK)
-        here = sizes[rows]
-        filled = np.arange(here.max(initial=0)) < here[:, None]
-        inside = slice(ends[first] - sizes[first], ends[rows][-1])
-
-        def padded(source: np.ndarray, blank) -> np.ndarray:
-            matrix = np.full(filled.shape, blank, dtype=source.dtype)
-            matrix[filled] = source[inside]
-            return matrix
-
-        positions, at_pick, penalties = pick_chunk(
-            padded(values, -np.inf), [padded(code, 0) for code in codes], table[rows], k[rows]
-        )
-        used = np.arange(positions.shape[1]) < k[rows][:, None]
-        found[0].append(positions[used])
-        found[1].append(at_pick[used])
-        found[2].append(np.take_along_axis(penalties, positions.astype(np.int64), axis=1)[used])
-    arrays = [np.concatenate(part) if part else np.array([]) for part in found]
-    picks = pa.StructArray.from_arrays(
-        [pa.array(array, type=field.type) for array, field in zip(arrays, PICK)], fields=list(PICK)
-    )
-    offsets = np.concatenate([[0], np.cumsum(k)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), picks)
 
 
 def mmr_picks(candidates: DataFrame, k: Column, weight: Column, diverse: Column) -> DataFrame:

@@ -7,16 +7,14 @@ a few rows per feature and is what later checks are made against.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vitrine import fixed
+from vitrine.functions import kernels
 from vitrine.functions import scalars as S
 from vitrine.operators.features import columns_by_type
 from vitrine.operators.ordering import running_totals
@@ -271,22 +269,7 @@ def chi_square(profile: Profile, current: DataFrame) -> DataFrame:
     )
 
 
-def chi_square_tail(statistic: float, dof: int) -> float:
-    """Chance of a larger statistic under a chi-square distribution."""
-    if dof < 1 or statistic <= 0:
-        return 1.0
-    half = statistic / 2
-    if dof % 2 == 0:
-        logs = np.cumsum(np.concatenate([[-half], np.log(half / np.arange(1, dof // 2))]))
-        return float(np.exp(logs).sum())
-    start = 0.5 * math.log(half) - math.lgamma(1.5) - half
-    logs = np.cumsum(np.concatenate([[start], np.log(half / (np.arange(1, dof // 2) + 0.5))]))
-    return math.erfc(math.sqrt(half)) + (float(np.exp(logs).sum()) if dof > 1 else 0.0)
-
-
-@F.pandas_udf(DoubleType())
-def p_values(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(x, int(k)) for x, k in zip(statistic, dof)])
+p_values = F.pandas_udf(kernels.chi_square_tails, DoubleType())
 
 
 def chi_square_levels(statistics: DataFrame) -> DataFrame:
