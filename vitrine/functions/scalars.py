@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
 from vitrine import fixed
 
 
 def rnd(value: Column, places: int) -> Column:
-    """Round through a decimal, so that binary noise cannot move the last place."""
-    return F.round(value.cast(DecimalType(30, places + 4)), places).cast("double")
+    """Round half away from zero.
+
+    A value within a ten-thousandth of a tie counts as the tie, so the order in which a
+    sum was added up cannot move the last place.  Plain arithmetic on doubles: it stays
+    in generated code and does not overflow.  Adding zero turns -0.0 into 0.0.
+    """
+    scaled = value.cast("double") * float(10**places)
+    return F.rint(scaled + F.signum(scaled) * 1e-4) / float(10**places) + 0.0
 
 
 def clip(value: Column, low: float, high: float) -> Column:

@@ -51,18 +51,20 @@ def quantile_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame
     """
     counted = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     ranked = running_totals(counted, ["value"], ["n"], within=["feature"])
-    sizes = ranked.groupBy("feature").agg(F.sum("n").alias("size"))
-    # One row per monitored column.
-    ranked = ranked.join(F.broadcast(sizes), "feature")
     steps = F.sequence(F.lit(0), F.lit(bins))
+    end = F.col("n_total") - 1
     wanted = F.transform(
-        steps,
-        lambda i: F.struct(i.alias("edge_no"), ((F.col("size") - 1) * i / bins).alias("position")),
+        steps, lambda i: F.struct(i.alias("edge_no"), (end * i / bins).alias("position"))
     )
     low, high = F.floor("want.position"), F.ceil("want.position")
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
+    # Plain arithmetic leaves few values to look at closely: some edge is at most one rank
+    # off, or the feature has a single value.
+    scale = F.lit(float(bins)) / F.greatest(end, F.lit(1))
+    near = (F.floor((last + 1) * scale) >= F.ceil((first - 1) * scale)) | (end == 0)
     holders = (
-        ranked.withColumn(
+        ranked.filter(near)
+        .withColumn(
             "wanted",
             F.filter(
                 wanted,
@@ -70,7 +72,6 @@ def quantile_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame
                 | F.ceil(w["position"]).between(first, last),
             ),
         )
-        .filter(F.size("wanted") > 0)
         .select("feature", "value", "n", "n_before", F.explode("wanted").alias("want"))
     )
     edges = holders.groupBy("feature", "want.edge_no").agg(
@@ -86,28 +87,33 @@ def quantile_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame
     )
 
 
-def bin_of(value: Column, edges: Column) -> Column:
+def bin_of(value: Column, edges: Column, most: int) -> Column:
     """Bin 1..n of a value, the last bin closed on the right; 0 when out of range.
 
-    A single edge makes no bin: its own value gets null.
+    A single edge makes no bin: its own value gets null.  With at most ``most`` edges the
+    edges passed are counted one by one, which unlike an array function is compiled.
     """
     last = F.size(edges) - 1
     outside = ~value.between(F.element_at(edges, 1), F.element_at(edges, -1))
-    passed = F.size(F.filter(edges, lambda edge: value >= edge))
+    passed = F.lit(0)
+    for place in range(most):
+        passed = passed + F.when(value >= F.get(edges, F.lit(place)), 1).otherwise(0)
     return F.when(outside, 0).when(last > 0, F.least(passed, last))
 
 
-def binned(values: DataFrame, edges: DataFrame) -> DataFrame:
+def binned(values: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
     # One row per monitored column.
     return values.join(F.broadcast(edges), "feature").withColumn(
-        "bin_no", bin_of(F.col("value"), F.col("edges"))
+        "bin_no", bin_of(F.col("value"), F.col("edges"), bins + 1)
     )
 
 
-def histogram(values: DataFrame, edges: DataFrame) -> DataFrame:
+def histogram(
+    values: DataFrame, edges: DataFrame, bins: int = fixed.DRIFT_BINS
+) -> DataFrame:
     """Counts and shares per feature and bin, empty bins included."""
     counts = (
-        binned(values, edges)
+        binned(values, edges, bins)
         .filter(F.col("bin_no") > 0)
         .groupBy("feature", "bin_no")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -155,6 +161,7 @@ class Profile:
     shares: DataFrame
     numeric_names: list[str]
     category_names: list[str]
+    n_bins: int = fixed.DRIFT_BINS
 
 
 def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS) -> Profile:
@@ -164,7 +171,7 @@ def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS) -> Profile:
         values = numeric_values(table, numeric)
         edges = stage(quantile_edges(values, bins), "edges")
         numeric_table = stage(edges.join(F.broadcast(column_stats(values)), "feature"), "numeric")
-        bin_table = stage(histogram(values, edges), "bins")
+        bin_table = stage(histogram(values, edges, bins), "bins")
     else:
         numeric_table = spark.createDataFrame(
             [], "feature string, edges array<double>, mean double, std double, n_values bigint"
@@ -178,7 +185,7 @@ def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS) -> Profile:
         shares = spark.createDataFrame(
             [], "feature string, value string, n bigint, share double"
         )
-    return Profile(numeric_table, bin_table, shares, numeric, text)
+    return Profile(numeric_table, bin_table, shares, numeric, text, bins)
 
 
 def shared_columns(names: list[str], table: DataFrame) -> list[str]:
@@ -204,7 +211,7 @@ def psi(profile: Profile, current: DataFrame) -> DataFrame:
     names = shared_columns(profile.numeric_names, current)
     edges = profile.numeric.select("feature", "edges").filter(F.col("feature").isin(names))
     counts = (
-        binned(numeric_values(current, names), edges)
+        binned(numeric_values(current, names), edges, profile.n_bins)
         .groupBy("feature", "bin_no")
         .agg(F.count(F.lit(1)).alias("n"))
     )

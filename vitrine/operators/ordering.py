@@ -70,22 +70,25 @@ def lowest_by_hash(rows: DataFrame, key: str, n: Column | int) -> Column:
 def running_totals(
     rows: DataFrame, order: list[str], counts: list[str], within: list[str] | None = None
 ) -> DataFrame:
-    """Add ``<count>_before``: the total of each count over the rows that sort earlier.
+    """Add ``<count>_before``, the total of each count over the rows that sort earlier, and
+    ``<count>_total``, the total over all rows.
 
     ``rows`` must be grouped, one row per ``within`` + ``order``, so equal values cannot
     pile up.  They are cut into even ranges, which are staged so that both readers see
     the same cut.  With ``within`` the totals start anew in each group, however large.
     """
     within = within or []
-    ranged = rows.repartitionByRange(*[F.col(name) for name in within + order]).withColumn(
-        "range_no", F.spark_partition_id()
-    )
-    ranged = stage(ranged, "ranged")
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(ranges, *[F.col(name) for name in within + order])
+    ranged = stage(ranged.withColumn("range_no", F.spark_partition_id()), "ranged")
     totals = ranged.groupBy(*within, "range_no").agg(*[F.sum(c).alias(c) for c in counts])
-    earlier = Window.partitionBy(*within) if within else Window.partitionBy()
-    earlier = earlier.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*within)
+    earlier = group.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
-        *within, "range_no", *[F.sum(c).over(earlier).alias(f"{c}_start") for c in counts]
+        *within,
+        "range_no",
+        *[F.sum(c).over(earlier).alias(f"{c}_start") for c in counts],
+        *[F.sum(c).over(group).alias(f"{c}_total") for c in counts],
     )
     inside = (
         Window.partitionBy(*within, "range_no")
@@ -102,4 +105,5 @@ def running_totals(
             )
             for c in counts
         ],
+        *[f"{c}_total" for c in counts],
     )

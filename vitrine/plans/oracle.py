@@ -16,7 +16,8 @@ KINDS = list(fixed.PART_TYPE_CODES)
 
 
 def rnd(value: str, places: int) -> str:
-    return f"round(({value})::decimal(30,{places + 4}), {places})::double"
+    scaled = f"(({value})::double * {10**places}::double)"
+    return f"(round({scaled} + sign({scaled}) * 0.0001::double) / {10**places}::double + 0.0::double)"
 
 
 def case(value: str, names: dict, other: str) -> str:
