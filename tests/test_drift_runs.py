@@ -40,6 +40,15 @@ def test_constant_column(spark):
     assert (row.psi, row.level, row.out_of_range_count) == (0.0, "none", 1)
 
 
+def test_approximate_edges(spark):
+    table = numbers(spark, [float(v) for v in range(2000)] + [7.0] * 500)
+    exact, rough = drift.fit(table), drift.fit(table, exact=False)
+    pairs = zip(exact.numeric.first().edges, rough.numeric.first().edges)
+    assert all(abs(a - b) <= 2 for a, b in pairs)
+    moved = numbers(spark, [v * 0.5 for v in range(2000)])
+    assert drift.psi(rough, moved).first().level == drift.psi(exact, moved).first().level == "critical"
+
+
 def test_missing_columns_are_skipped(spark):
     profile = drift.fit(spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 3.0, "b")], "x double, y double, c string"))
     got = drift.psi(profile, numbers(spark, [1.0, 2.0]))

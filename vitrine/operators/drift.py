@@ -87,6 +87,13 @@ def quantile_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame
     )
 
 
+def approximate_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame:
+    """Quantile edges from a mergeable sketch: one pass and no shuffle of the values."""
+    parts = [i / bins for i in range(bins + 1)]
+    edges = F.percentile_approx("value", parts, 100_000)
+    return values.groupBy("feature").agg(F.array_distinct(edges).alias("edges"))
+
+
 def bin_of(value: Column, edges: Column, most: int) -> Column:
     """Bin 1..n of a value, the last bin closed on the right; 0 when out of range.
 
@@ -164,12 +171,15 @@ class Profile:
     n_bins: int = fixed.DRIFT_BINS
 
 
-def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS) -> Profile:
+def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS, exact: bool = True) -> Profile:
+    """Fit a reference.  ``exact=False`` takes the bin edges from a sketch, for tables whose
+    values are too many to count one by one."""
     numeric, text = columns_by_type(table)
     spark = table.sparkSession
     if numeric:
         values = numeric_values(table, numeric)
-        edges = stage(quantile_edges(values, bins), "edges")
+        found = quantile_edges(values, bins) if exact else approximate_edges(values, bins)
+        edges = stage(found, "edges")
         numeric_table = stage(edges.join(F.broadcast(column_stats(values)), "feature"), "numeric")
         bin_table = stage(histogram(values, edges, bins), "bins")
     else:

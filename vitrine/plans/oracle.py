@@ -906,6 +906,12 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
             from chi_rows group by 1""",
         TWO,
     ),
+    "drift_summary": (
+        """select *, 14::int as n_numeric_features, 2::int as n_categorical_features, 0.1::double as psi_warning, 0.25::double as psi_critical
+           from (select feature, 'numeric' as kind, len(edges) - 1 as n_parts from edge_lists
+                 union all select feature, 'categorical', count(*) from text_shares group by 1)""",
+        DRIFT,
+    ),
     "score_zscore": (
         f"""select weights_used, {at(4, 'mean')}, {at(4, 'z')},
             case when z > 3 then 'critical' when z > 2 then 'warning' else 'none' end as level
