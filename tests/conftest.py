@@ -41,12 +41,12 @@ def shelf(shop):
     spikes = demand.demand_spikes(
         demand.predict_closed_form(latest), demand.demand_baseline(daily), products
     )
-    lines = elasticity.response_lines(shop["experiments"], products)
+    lines = elasticity.fit_lines(shop["experiments"], products)
     scored = ranking.product_scores(
         products,
         inventory.inventory_pressure(products, codes),
         spikes,
         elasticity.optimal_discounts(products, lines),
-        propensity.purchase_rates(shop["events"], shop["users"], products),
+        propensity.fit_rates(shop["events"], shop["users"], products),
     )
-    return ranking.catalogue(scored, products)
+    return ranking.catalogue(scored, ranking.positions(products))

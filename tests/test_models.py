@@ -87,7 +87,7 @@ def test_spike_values(spark):
 
 
 def test_uplift_and_best_discount(shop):
-    lines = E.response_lines(shop["experiments"], shop["products"])
+    lines = E.fit_lines(shop["experiments"], shop["products"])
     grid = E.predict_uplift(shop["products"], lines)
     assert grid.count() == 50 * 11
     assert grid.filter("uplift < 0").count() == 0

@@ -145,15 +145,18 @@ def test_histogram_matches_numpy(spark):
     assert got == [(1, 2, 0.4), (2, 3, 0.6)]
 
 
-@pytest.mark.parametrize("n_products", [1, 5, 97, 7919, 7919 * 2])
-def test_candidates_are_distinct(spark, n_products):
-    index = sampling.candidate_index(F.col("id"), F.lit(500), F.lit(n_products))
-    for row in spark.range(50).select(index.alias("c")).collect():
-        assert len(row.c) == len(set(row.c)) == min(500, n_products)
-        assert all(0 <= i < n_products for i in row.c)
+def pools(spark, users, n_products):
+    requests = spark.range(users).select(F.col("id").alias("user_id"), F.lit(500).alias("candidate_pool"))
+    found = {}
+    for row in sampling.with_candidates(requests, n_products).collect():
+        found.setdefault(row.user_id, []).append(row.product_index)
+    return found
 
 
-def test_candidates_survive_a_multiple_of_most_strides(spark):
-    n = 7919 * 104729 * 1299709
-    rows = spark.range(20).select(sampling.candidate_index(F.col("id"), F.lit(500), F.lit(n)).alias("c"))
-    assert all(len(set(r.c)) == 500 for r in rows.collect())
+@pytest.mark.parametrize("n_products", [1, 5, 97, 7919, 7919 * 2, 7919 * 104729 * 1299709])
+def test_candidates_are_distinct(spark, n_products):
+    found = pools(spark, 50, n_products)
+    assert len(found) == 50
+    for positions in found.values():
+        assert len(positions) == len(set(positions)) == min(500, n_products)
+        assert all(0 <= i < n_products for i in positions)

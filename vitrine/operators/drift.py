@@ -18,7 +18,7 @@ from vitrine.functions import kernels
 from vitrine.functions import scalars as S
 from vitrine.operators.features import columns_by_type
 from vitrine.operators.ordering import running_totals
-from vitrine.sources.staging import stage
+from vitrine.sources.staging import stage, together
 
 
 def long_form(table: DataFrame, columns: list[str], kind: str) -> DataFrame:
@@ -176,11 +176,19 @@ def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS, exact: bool = True) -> P
     values are too many to count one by one."""
     numeric, text = columns_by_type(table)
     spark = table.sparkSession
+    steps = {}
     if numeric:
         values = numeric_values(table, numeric)
-        found = quantile_edges(values, bins) if exact else approximate_edges(values, bins)
-        edges = stage(found, "edges")
-        numeric_table = stage(edges.join(F.broadcast(column_stats(values)), "feature"), "numeric")
+        find_edges = quantile_edges if exact else approximate_edges
+        steps["edges"] = lambda: stage(find_edges(values, bins), "edges")
+        steps["stats"] = lambda: stage(column_stats(values), "stats")
+    if text:
+        steps["shares"] = lambda: stage(category_shares(category_values(table, text)), "shares")
+    found = together(spark, **steps)
+    if numeric:
+        edges = found["edges"]
+        # One row per monitored column.
+        numeric_table = edges.join(F.broadcast(found["stats"]), "feature")
         bin_table = stage(histogram(values, edges, bins), "bins")
     else:
         numeric_table = spark.createDataFrame(
@@ -190,7 +198,7 @@ def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS, exact: bool = True) -> P
             [], "feature string, bin_no int, low double, high double, n bigint, share double"
         )
     if text:
-        shares = stage(category_shares(category_values(table, text)), "shares")
+        shares = found["shares"]
     else:
         shares = spark.createDataFrame(
             [], "feature string, value string, n bigint, share double"

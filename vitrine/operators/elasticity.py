@@ -58,9 +58,13 @@ def lines_by_category(lines: DataFrame) -> DataFrame:
     )
 
 
-def with_lines(products: DataFrame, lines: DataFrame) -> DataFrame:
-    """Products with the lines of their category, the fitted model being a staged table."""
-    model = stage(lines_by_category(lines), "response_lines")
+def fit_lines(experiments: DataFrame, products: DataFrame) -> DataFrame:
+    """The closed-form model: a staged table with both lines of each category."""
+    return stage(lines_by_category(response_lines(experiments, products)), "response_lines")
+
+
+def with_lines(products: DataFrame, model: DataFrame) -> DataFrame:
+    """Products with the lines of their category."""
     return lookup_join(products, model, "category", "left")
 
 
@@ -90,9 +94,9 @@ def objective(uplift: Column, discount: Column) -> Column:
     return (1 - weight) * uplift - weight * (discount * unit_margin())
 
 
-def predict_uplift(products: DataFrame, lines: DataFrame) -> DataFrame:
+def predict_uplift(products: DataFrame, model: DataFrame) -> DataFrame:
     """Uplift of every product at every discount of the grid."""
-    return discount_grid(with_lines(products, lines)).withColumn(
+    return discount_grid(with_lines(products, model)).withColumn(
         "uplift", closed_form_uplift(F.col("discount"))
     )
 
@@ -120,7 +124,7 @@ def outcome() -> list[Column]:
     ]
 
 
-def optimal_discounts(products: DataFrame, lines: DataFrame) -> DataFrame:
+def optimal_discounts(products: DataFrame, model: DataFrame) -> DataFrame:
     """Best discount of every product under the response lines, without any shuffle."""
     options = F.transform(
         discounts(),
@@ -133,7 +137,7 @@ def optimal_discounts(products: DataFrame, lines: DataFrame) -> DataFrame:
         ),
     )
     return (
-        with_lines(products, lines)
+        with_lines(products, model)
         .withColumn("best", F.array_max(options))
         .select("product_id", *outcome())
     )

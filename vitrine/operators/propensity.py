@@ -9,6 +9,7 @@ from vitrine import fixed
 from vitrine.functions.vectors import propensity_columns
 from vitrine.operators.sampling import training_union
 from vitrine.operators.skew import keyed_join
+from vitrine.sources.staging import stage
 
 
 def training_pairs(
@@ -53,5 +54,10 @@ def rates_by_category(rates: DataFrame) -> DataFrame:
     return rates.groupBy("category").agg(F.map_from_entries(entries).alias("segment_rates"))
 
 
+def fit_rates(events: DataFrame, users: DataFrame, products: DataFrame) -> DataFrame:
+    """The closed-form model: a staged table of rates by category."""
+    return stage(rates_by_category(purchase_rates(events, users, products)), "rates")
+
+
 def closed_form_propensity(segment: Column, segment_rates: Column) -> Column:
     return F.coalesce(segment_rates[segment], F.lit(fixed.DEFAULT_SCORE))

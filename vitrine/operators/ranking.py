@@ -11,8 +11,8 @@ from vitrine.operators import diversity as D
 from vitrine.operators import experiments as X
 from vitrine.operators.inventory import with_labels
 from vitrine.operators.ordering import dense_index
-from vitrine.operators.propensity import closed_form_propensity, rates_by_category
-from vitrine.operators.sampling import candidate_index
+from vitrine.operators.propensity import closed_form_propensity
+from vitrine.operators.sampling import with_candidates
 from vitrine.operators.skew import keyed_join, lookup_join
 from vitrine.sources.staging import broadcast_if_small, stage
 
@@ -30,7 +30,8 @@ def product_scores(
 ) -> DataFrame:
     """Everything ranking needs to know of a product, computed once for all users.
 
-    Missing pressure and spike count as one half.  Each input holds a product once.
+    Missing pressure and spike count as one half.  Each input holds a product once, but
+    ``rates``, which is a model from ``fit_rates``.
     """
     half = F.lit(fixed.DEFAULT_SCORE)
     scored = products.select("product_id", "style_cluster", *KEPT)
@@ -48,18 +49,18 @@ def product_scores(
             "left",
         )
     if rates is not None:
-        by_category = stage(rates_by_category(rates), "rates")
-        scored = lookup_join(scored, by_category, "category", "left")
+        scored = lookup_join(scored, rates, "category", "left")
     return scored
 
 
-def catalogue(scored: DataFrame, products: DataFrame) -> DataFrame:
-    """Product scores with dense positions, staged for the jobs that rank with them.
+def positions(products: DataFrame) -> DataFrame:
+    """Dense catalogue positions, from the product ids alone."""
+    return dense_index(products.select("product_id"), "product_id", "product_index")
 
-    The positions come from the product ids alone, so the scores are computed once.
-    """
-    positions = dense_index(products.select("product_id"), "product_id", "product_index")
-    return stage(scored.join(positions, "product_id"), "catalogue")
+
+def catalogue(scored: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Product scores with their positions, staged for the jobs that rank with them."""
+    return stage(scored.join(numbered, "product_id"), "catalogue")
 
 
 def weighted_sum(propensity: Column) -> Column:
@@ -88,8 +89,7 @@ def candidate_pairs(requests: DataFrame, staged_catalogue: DataFrame, key: str)
     spark = requests.sparkSession
     n_products = staged_catalogue.count()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = candidate_index(F.col("user_id"), F.col("candidate_pool"), F.lit(n_products))
-    pairs = requests.repartition(partitions, key).withColumn("product_index", F.explode(index))
+    pairs = with_candidates(requests.repartition(partitions, key), n_products)
     return pairs.join(broadcast_if_small(staged_catalogue), "product_index")
 
 

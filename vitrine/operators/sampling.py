@@ -46,17 +46,30 @@ def sample_users(users: DataFrame, n: int) -> DataFrame:
     return users.orderBy(F.md5(F.col("user_id").cast("string")), "user_id").limit(n)
 
 
-def candidate_index(user_id: Column, pool: Column, n_products: Column) -> Column:
-    """Distinct catalogue positions of a user's candidates, as an array.
+def with_candidates(requests: DataFrame, n_products: int) -> DataFrame:
+    """Repeat each request for every catalogue position in its candidate pool.
 
     A user starts at a hashed position and walks with a hashed stride that shares no
-    factor with the catalogue size, so no position comes up twice.
+    factor with the catalogue size, so no position comes up twice.  Start and stride are
+    worked out once per request, the positions by plain arithmetic.
     """
-    digest = F.md5(user_id.cast("string"))
-    start = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    turn = F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint")
-    strides = F.array(*[F.lit(stride).cast("bigint") for stride in STRIDES])
-    usable = F.filter(strides, lambda stride: n_products % stride != 0)
-    stride = F.element_at(usable, (F.pmod(turn, F.size(usable)) + 1).cast("int"))
-    steps = F.sequence(F.lit(0).cast("bigint"), F.least(pool, n_products).cast("bigint") - 1)
-    return F.transform(steps, lambda i: F.pmod(start + i * stride, n_products))
+    digest = F.md5(F.col("user_id").cast("string"))
+
+    def number(first: int) -> Column:
+        return F.conv(F.substring(digest, first, 8), 16, 10).cast("bigint")
+
+    usable = F.array(
+        *[F.lit(stride).cast("bigint") for stride in STRIDES if n_products % stride != 0]
+    )
+    walks = requests.withColumns(
+        {
+            "walk_start": number(1),
+            "walk_stride": F.get(usable, F.pmod(number(9), F.size(usable)).cast("int")),
+        }
+    )
+    last = F.least(F.col("candidate_pool"), F.lit(n_products)).cast("bigint") - 1
+    steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    place = F.col("walk_start") + F.col("step") * F.col("walk_stride")
+    return steps.withColumn("product_index", F.pmod(place, F.lit(n_products).cast("bigint"))).drop(
+        "walk_start", "walk_stride", "step"
+    )

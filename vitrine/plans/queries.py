@@ -23,7 +23,7 @@ from vitrine.operators import features as U
 from vitrine.operators import learners as L
 from vitrine.operators import propensity as P
 from vitrine.operators import ranking as R
-from vitrine.operators.skew import keyed_join
+from vitrine.operators.skew import keyed_join, lookup_join
 from vitrine.sources import runlog, staging, tables
 from vitrine.streaming import serving
 
@@ -45,6 +45,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self.staged: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return tables.read(self.spark, self.folder, name)
@@ -81,20 +82,33 @@ class Store:
     def ship_as_of(self) -> Column:
         return tables.newest(self.table("lineitem"), "l_shipdate")
 
-    @cached_property
+    def need(self, *names: str) -> dict[str, DataFrame]:
+        """Stage the named tables, side by side, unless they are staged already."""
+        make = {
+            "users": lambda: self.users,
+            "products": lambda: self.products,
+            "daily": lambda: D.daily_demand(self.shipments),
+        }
+        missing = [name for name in names if name not in self.staged]
+        steps = {n: lambda n=n: staging.stage(make[n](), n) for n in missing}
+        self.staged.update(staging.together(self.spark, **steps))
+        return self.staged
+
+    @property
     def staged_users(self) -> DataFrame:
-        return staging.stage(self.users, "users")
+        return self.need("users")["users"]
 
-    @cached_property
+    @property
     def staged_products(self) -> DataFrame:
-        return staging.stage(self.products, "products")
+        return self.need("products")["products"]
 
-    @cached_property
+    @property
     def daily(self) -> DataFrame:
-        return staging.stage(D.daily_demand(self.shipments), "daily")
+        return self.need("daily")["daily"]
 
     @property
     def latest(self) -> DataFrame:
+        self.need("products", "daily")
         return D.latest_features(self.daily, self.staged_products, CODES)
 
     @property
@@ -110,26 +124,38 @@ class Store:
     def lines(self) -> DataFrame:
         return E.response_lines(self.experiments, self.staged_products)
 
-    @property
-    def discounts(self) -> DataFrame:
-        return E.optimal_discounts(self.staged_products, self.lines)
+    @cached_property
+    def line_model(self) -> DataFrame:
+        return E.fit_lines(self.experiments, self.staged_products)
 
-    @property
-    def rates(self) -> DataFrame:
-        return P.purchase_rates(self.web, self.staged_users, self.staged_products)
+    @cached_property
+    def rate_model(self) -> DataFrame:
+        self.need("users", "products")
+        return P.fit_rates(self.web, self.staged_users, self.staged_products)
 
-    def scored(self, discounts: bool = True, rates: bool = True) -> DataFrame:
-        return R.product_scores(
-            self.staged_products,
-            self.pressure,
-            self.spikes,
-            self.discounts if discounts else None,
-            self.rates if rates else None,
-        )
+    @property
+    def discounts(self) -> DataFrame:
+        return E.optimal_discounts(self.staged_products, self.line_model)
 
     @cached_property
     def catalogue(self) -> DataFrame:
-        return R.catalogue(self.scored(), self.staged_products)
+        """Everything ranking needs of the products.  Its parts do not depend on each other."""
+        products = self.need("users", "products", "daily")["products"]
+        parts = staging.together(
+            self.spark,
+            spikes=lambda: staging.stage(self.spikes, "spikes"),
+            positions=lambda: staging.stage(R.positions(products), "positions"),
+            lines=lambda: self.line_model,
+            rates=lambda: self.rate_model,
+        )
+        scored = R.product_scores(
+            products,
+            self.pressure,
+            parts["spikes"],
+            E.optimal_discounts(products, parts["lines"]),
+            parts["rates"],
+        )
+        return R.catalogue(scored, parts["positions"])
 
     def request_all(self, **options) -> DataFrame:
         """One request per user, with the defaults where nothing else is said."""
@@ -150,6 +176,11 @@ class Store:
         )
 
 
+def ranked_for(s: Store, requests: DataFrame) -> DataFrame:
+    catalogue = s.catalogue
+    return R.recommend(requests, s.staged_users, catalogue)
+
+
 def rounded(table: DataFrame, places: int = 6) -> DataFrame:
     """Round the doubles of a result for display."""
     return table.select(
@@ -395,6 +426,7 @@ def pad_or_trim(s: Store) -> DataFrame:
 
 
 def web_pairs(s: Store) -> DataFrame:
+    s.need("users", "products")
     pairs = keyed_join(s.web, s.staged_users, "user_id")
     return keyed_join(pairs, s.staged_products, "product_id")
 
@@ -472,13 +504,15 @@ def pair_requests(s: Store) -> DataFrame:
 
 
 def scored_pairs(s: Store) -> DataFrame:
-    return R.score_pairs(pair_requests(s), s.staged_users, s.catalogue)
+    catalogue = s.catalogue
+    return R.score_pairs(pair_requests(s), s.staged_users, catalogue)
 
 
 @query
 def score_breakdown(s: Store) -> DataFrame:
+    catalogue = s.catalogue
     rows = keyed_join(pair_requests(s), s.staged_users, "user_id")
-    rows = keyed_join(rows, s.catalogue, "product_id")
+    rows = keyed_join(rows, catalogue, "product_id", sketch=pair_requests(s))
     rows = R.rated(X.join_presets(rows, "weight_preset"))
     parts = R.score_breakdown(F.col("propensity_score")).alias("parts")
     return rows.select("request_id", "user_id", "product_id", parts).select(
@@ -488,7 +522,7 @@ def score_breakdown(s: Store) -> DataFrame:
 
 @query
 def storefront_flags(s: Store) -> DataFrame:
-    flags = R.storefront_flags(R.recommend(s.request_all(), s.staged_users, s.catalogue))
+    flags = R.storefront_flags(ranked_for(s, s.request_all()))
     return flags.select(
         "user_id", "product_id", "show_trending", "show_markdown", "score_bar", "show_discount"
     )
@@ -596,6 +630,7 @@ def validate_requests(s: Store) -> DataFrame:
 
 @query
 def training_pairs(s: Store) -> DataFrame:
+    s.need("users", "products")
     pairs = P.training_pairs(s.web, s.staged_users, s.staged_products, CODES)
     return rounded(
         pairs.select(
@@ -724,7 +759,7 @@ def high_pressure_count(s: Store) -> DataFrame:
 
 @query
 def badge_count(s: Store) -> DataFrame:
-    return R.badge_counts(R.recommend(s.request_all(), s.staged_users, s.catalogue))
+    return R.badge_counts(ranked_for(s, s.request_all()))
 
 
 @query
@@ -818,6 +853,7 @@ def next_7_target(s: Store) -> DataFrame:
 
 @query
 def demand_training_set(s: Store) -> DataFrame:
+    s.need("products", "daily")
     rows = D.training_set(s.daily, s.staged_products, CODES)
     return rounded(rows.withColumn("sale_day", F.date_format("sale_day", "yyyy-MM-dd")), 4)
 
@@ -829,8 +865,9 @@ def latest_demand_features(s: Store) -> DataFrame:
 
 def plain_scores(s: Store) -> DataFrame:
     """Weighted score of every candidate, ready to rank."""
+    catalogue = s.catalogue
     asked = X.join_presets(keyed_join(s.request_all(), s.staged_users, "user_id"), "weight_preset")
-    pairs = R.rated(R.candidate_pairs(asked, s.catalogue, "request_id"))
+    pairs = R.rated(R.candidate_pairs(asked, catalogue, "request_id"))
     return pairs.withColumns(
         {
             "score": R.weighted_score(F.col("propensity_score")),
@@ -848,7 +885,7 @@ def rank_products(s: Store) -> DataFrame:
 
 @query
 def argmax_discount(s: Store) -> DataFrame:
-    return E.best_of_grid(E.predict_uplift(s.staged_products, s.lines))
+    return E.best_of_grid(E.predict_uplift(s.staged_products, s.line_model))
 
 
 # Top k, unions, samples
@@ -903,6 +940,7 @@ def sample_users(s: Store) -> DataFrame:
 
 @query
 def propensity_train(s: Store) -> DataFrame:
+    s.need("users", "products")
     pairs = P.training_pairs(s.web, s.staged_users, s.staged_products, CODES)
     columns = list(V.propensity_columns(s.staged_users, CODES))
     return L.train_propensity(pairs, columns)[1]
@@ -910,21 +948,19 @@ def propensity_train(s: Store) -> DataFrame:
 
 @query
 def propensity_score(s: Store) -> DataFrame:
-    pairs = web_pairs(s).join(
-        staging.broadcast_if_small(staging.stage(P.rates_by_category(s.rates), "rates")),
-        "category",
-        "left",
-    )
+    pairs = lookup_join(web_pairs(s), s.rate_model, "category", "left")
     return rounded(R.rated(pairs).select("event_id", "user_id", "product_id", "propensity_score"))
 
 
 @query
 def propensity_score_trees(s: Store) -> DataFrame:
+    s.need("users", "products")
     pairs = P.training_pairs(s.web, s.staged_users, s.staged_products, CODES)
     columns = list(V.propensity_columns(s.staged_users, CODES))
+    catalogue = s.catalogue
     model, _ = L.train_propensity(pairs, columns, trees=20)
     score = L.propensity_scorer(model, s.staged_users, CODES)
-    ranked = R.recommend(s.request_all(), s.staged_users, s.catalogue, score)
+    ranked = R.recommend(s.request_all(), s.staged_users, catalogue, score)
     return ranked.select("user_id", "rank", "product_id", "propensity_score", "final_score")
 
 
@@ -940,7 +976,7 @@ def elasticity_lines(s: Store) -> DataFrame:
 
 @query
 def predict_uplift(s: Store) -> DataFrame:
-    grid = E.predict_uplift(s.staged_products, s.lines)
+    grid = E.predict_uplift(s.staged_products, s.line_model)
     return rounded(grid.select("product_id", "discount", "uplift"), 4)
 
 
@@ -1011,24 +1047,24 @@ def shown(ranked: DataFrame) -> DataFrame:
 
 @query
 def recommend(s: Store) -> DataFrame:
-    return shown(R.recommend(s.request_all(), s.staged_users, s.catalogue))
+    return shown(ranked_for(s, s.request_all()))
 
 
 @query
 def recommend_plain(s: Store) -> DataFrame:
     asked = s.request_all(apply_diversity=False, weight_preset="clearance", top_k=10)
-    return shown(R.recommend(asked, s.staged_users, s.catalogue))
+    return shown(ranked_for(s, asked))
 
 
 @query
 def recommend_stream(s: Store) -> DataFrame:
     """The requests of ``recommend`` arriving as a stream of files."""
     base = f"{staging.shared_folder(s.spark)}/stream-{staging.uuid.uuid4().hex}"
-    asked = s.request_all()
+    asked, catalogue = s.request_all(), s.catalogue
     asked.write.parquet(f"{base}/requests")
     arriving = s.spark.readStream.schema(asked.schema).parquet(f"{base}/requests")
     answered = serving.serve(
-        arriving, s.staged_users, s.catalogue, f"{base}/answers", f"{base}/progress"
+        arriving, s.staged_users, catalogue, f"{base}/answers", f"{base}/progress"
     )
     answered.awaitTermination()
     return shown(s.spark.read.parquet(f"{base}/answers").drop("batch"))
@@ -1067,12 +1103,14 @@ def mmr_rerank(s: Store) -> DataFrame:
 
 @query
 def sale_badge_report(s: Store) -> DataFrame:
-    return R.sale_badges(s.scored(rates=False))
+    return R.sale_badges(
+        R.product_scores(s.staged_products, s.pressure, s.spikes, s.discounts)
+    )
 
 
 @query
 def nested_response(s: Store) -> DataFrame:
-    return R.nested_response(R.recommend(s.request_all(), s.staged_users, s.catalogue))
+    return R.nested_response(ranked_for(s, s.request_all()))
 
 
 @query
@@ -1110,7 +1148,7 @@ def ab_assign(s: Store) -> DataFrame:
 def preset_comparison(s: Store) -> DataFrame:
     asked = X.under_every_preset(s.request_all(top_k=5).drop("weight_preset"))
     asked = asked.withColumn("request_id", F.concat_ws(":", "user_id", "weight_preset"))
-    ranked = R.recommend(asked, s.staged_users, s.catalogue)
+    ranked = ranked_for(s, asked)
     return ranked.select("user_id", "weights_used", "rank", "product_id", "final_score")
 
 
@@ -1168,7 +1206,7 @@ def chi_square_p(s: Store) -> DataFrame:
 def score_zscore(s: Store) -> DataFrame:
     asked = X.under_every_preset(s.request_all(top_k=5).drop("weight_preset"))
     asked = asked.withColumn("request_id", F.concat_ws(":", "user_id", "weight_preset"))
-    ranked = staging.stage(R.recommend(asked, s.staged_users, s.catalogue), "ranked")
+    ranked = staging.stage(ranked_for(s, asked), "ranked")
     reference = ranked.filter(F.col("weights_used") == fixed.DEFAULT_PRESET)
     mean = reference.agg(F.avg("final_score")).scalar()
     std = reference.agg(F.stddev_samp("final_score")).scalar()

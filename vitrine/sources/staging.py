@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,18 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(table.schema).parquet(path)
 
 
+def together(
+    spark: SparkSession, **steps: Callable[[], DataFrame]
+) -> dict[str, DataFrame]:
+    """Run independent steps side by side, so one's short stages fill the other's gaps."""
+    if not steps:
+        return {}
+    inherit = inheritable_thread_target(spark)
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = {name: pool.submit(inherit(step)) for name, step in steps.items()}
+        return {name: future.result() for name, future in running.items()}
+
+
 def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Mark a staged table for broadcast when its row count allows it.
 
