@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine import fixed
-from vitrine.functions import scalars as S
 from vitrine.operators import diversity as D
 from vitrine.operators import experiments as X
 from vitrine.operators import features as U
