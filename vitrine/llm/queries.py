@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, mixing, quality
+from vitrine.llm import decontaminate, jaccard, lines, mixing, pii, quality, rans, secrets
 from vitrine.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,21 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
     return function
 
 
+@query
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.deduplicate(documents(spark, folder)).select(
+        "doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query
+def op2_token_binary(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return rans.read_corpus(spark, rans.write_corpus(documents(spark, folder), path))
+
+
 @query
 def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
@@ -37,6 +52,23 @@ def op5_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken(documents(spark, folder))
 
 
+@query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(documents(spark, folder))
+
+
+@query
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(documents(spark, folder))
+
+
+@query
+def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.report(
+        documents(spark, folder), F.col("source"), F.concat_ws("/", "source", "lang")
+    )
+
+
 SQL["op3_benchmark_decontamination"] = r"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text,
@@ -64,3 +96,68 @@ WHERE d.side = 'd'
 GROUP BY d.id, d.text, i.item_id, i.text, i.n_item
 HAVING 100 * count(*) >= 80 * i.n_item
 """
+
+SQL["op1_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN []
+                            ELSE string_split(text, chr(10)) END AS ls
+  FROM documents
+), occurrences AS (
+  SELECT doc_id, pos, array_to_string(ls[pos + 1:pos + 3], chr(10)) AS three
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM split)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY three ORDER BY doc_id, pos) AS place
+  FROM occurrences
+), covered AS (
+  SELECT DISTINCT doc_id, pos + unnest([0, 1, 2]) AS pos FROM ranked WHERE place > 1
+), single AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM split
+), marked AS (
+  SELECT s.doc_id, s.pos, s.line, c.pos IS NOT NULL AS gone,
+         lag(c.pos IS NOT NULL, 1, false) OVER (PARTITION BY s.doc_id ORDER BY s.pos) AS gone_before
+  FROM single s LEFT JOIN covered c ON s.doc_id = c.doc_id AND s.pos = c.pos
+), summed AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         count(*) FILTER (gone AND NOT gone_before) AS n_spans,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       coalesce(n_spans, 0) AS n_spans, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN summed s ON d.doc_id = s.doc_id
+"""
+
+SQL["op7_ngram_jaccard_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id,
+         hash(unnest(CASE WHEN len(w) >= 5
+                     THEN list_transform(range(1, len(w) - 3),
+                                         lambda i: array_to_string(w[i:i + 4], ' '))
+                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+                     ELSE [] END)) AS shingle
+  FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * both_have >= 80 * (a.n + b.n - both_have)
+), ends AS (
+  SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS start, doc_id AS at FROM documents
+  UNION
+  SELECT r.start, e.y FROM reach r JOIN ends e ON e.x = r.at
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.at) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.start = d.doc_id
+GROUP BY d.doc_id
+"""
