@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, jaccard, lines, mixing, pii, quality, rans, secrets
+from vitrine.llm import decontaminate, jaccard, lines, mixing, pii, quality, ranker, rans, secrets
 from vitrine.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,6 +69,13 @@ def op9_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return ranker.classify(docs, ranker.train(docs, labels))
+
+
 SQL["op3_benchmark_decontamination"] = r"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text,
