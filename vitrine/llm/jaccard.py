@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +42,8 @@ from vitrine.sources.staging import stage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 5
-BUCKET_BITS = 18
+BUCKET_BITS = 20
+SLICES = 64
 # Multipliers that make the other orders.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 # Documents above a bucket's usual load from which a shingle's group is spread over tasks.
@@ -51,30 +51,65 @@ HOT = 10_000
 SPREAD = 64
 
 
-class Words(dict):
-    """64-bit hashes of words, kept for the task."""
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+STEP = 0xD6E8FEB86659FD93
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+# Text bytes hashed together.
+SLICE = 1 << 16
 
-def shingle_set(text: str | None, words: Words) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    tokens = (text or "").encode().lower().split()  # bytes: ASCII case and white space
-    if not tokens:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens))
-    width = min(WIDTH, len(tokens))
-    mixed = np.full(len(tokens) - width + 1, width, np.uint64)
+
+def _windows(words: np.ndarray, width: int) -> np.ndarray:
+    mixed = np.full(len(words) - width + 1, width, np.uint64)
     for k in range(width):
-        mixed = (mixed ^ hashes[k : k + len(mixed)]) * np.uint64(0x9FB21C651E98DF25)
-        mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+        mixed = mix(mixed ^ words[k : k + len(mixed)])
+    return mixed
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles, hashed many texts at a time."""
+    found: list[np.ndarray] = []
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode())
+        size += len(held[-1])
+        if size >= SLICE:
+            found += _hashed(held)
+            held, size = [], 0
+    return found + (_hashed(held) if held else [])
+
+
+def _hashed(texts: list[bytes]) -> list[np.ndarray]:
+    raw = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)  # ASCII letters only
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    blank = BLANK[raw]
+    first = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+    after = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
+    power = np.cumprod(np.full(len(raw), STEP, np.uint64))
+    inverse = np.cumprod(np.full(len(raw), pow(STEP, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * power)])
+    words = mix((sums[after] - sums[first]) * inverse[first] ^ (after - first).astype(np.uint64))
+    cuts = np.searchsorted(first, np.append(0, ends))
+    wide = _windows(words, WIDTH) if len(words) >= WIDTH else None
+    out = []
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        if high - low >= WIDTH:
+            out.append(_distinct(wide[low : high - WIDTH + 1]))
+        elif high > low:
+            out.append(_windows(words[low:high], high - low))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def prefix_length(n: int) -> int:
@@ -91,39 +126,53 @@ def _schema(frame: DataFrame, more: str) -> StructType:
 
 
 def _profile(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Set size and fingerprint of each text, and at the end the bucket counts."""
-    words, counts = Words(), np.zeros(1 << BUCKET_BITS, np.int64)
+    """Set size and fingerprint of each text, and at the end the bucket counts in slices."""
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
     shift = np.uint64(64 - BUCKET_BITS)
     for batch in batches:
-        nodes, sizes, buckets = [], [], [np.empty(0, np.int64)]
-        for text in batch.column("text"):
-            values = shingle_set(text.as_py(), words)
-            sizes.append(len(values))
-            nodes.append(fingerprint(values) if len(values) else None)
-            buckets.append((values >> shift).astype(np.int64))
-        counts += np.bincount(np.concatenate(buckets), minlength=len(counts))
+        sets = shingle_sets(batch.column("text").to_pylist())
+        if not sets:
+            continue
+        counts += np.bincount(
+            (np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts)
+        ).astype(np.uint32)
         kept = batch.drop_columns(["text"])
-        empty = pa.nulls(len(sizes), schema.field("counts").type)
+        nodes = [fingerprint(s) if len(s) else None for s in sets]
+        empty = [pa.nulls(len(sets), schema.field(k).type) for k in ("slice", "counts")]
+        sizes = pa.array([len(s) for s in sets], pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [*kept.columns, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), empty],
-            schema=schema,
+            [*kept.columns, pa.array(nodes, pa.int64()), sizes, *empty], schema=schema
         )
     if counts.any():
-        last = [pa.nulls(1, f.type) for f in schema][:-1]
+        slices = counts.reshape(SLICES, -1)
+        last = [pa.nulls(SLICES, f.type) for f in schema][:-2]
         yield pa.RecordBatch.from_arrays(
-            [*last, pa.array([counts.tolist()], schema.field("counts").type)], schema=schema
+            [*last, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in slices], pa.binary())],
+            schema=schema,
         )
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], schema: pa.Schema, load: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _summed(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sum of the counts of each slice; holds a sum for each and streams the rest."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+            more = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+            sums[at] = sums[at] + more if at in sums else more
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            schema=schema,
+        )
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], schema: pa.Schema, shared) -> Iterator[pa.RecordBatch]:
     """(node, n, prefix, hot): the rarest shingles of each set, and whether each is hot."""
-    words = Words()
     shift = np.uint64(64 - BUCKET_BITS)
-    usual = np.median(load)
+    load, usual = shared.value
     for batch in batches:
         nodes, sizes, first, hot, lengths = [], [], [], [], []
-        for text in batch.column("text"):
-            values = shingle_set(text.as_py(), words)
+        for values in shingle_sets(batch.column("text").to_pylist()):
             heavy = load[(values >> shift).astype(np.int64)]
             order = np.lexsort((values, heavy))[: prefix_length(len(values))]
             nodes.append(fingerprint(values))
@@ -145,19 +194,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], schema: pa.Schema, load: np.nda
 
 
 def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(node, n, second, third, shingles): the prefixes under the other orders and the set."""
-    words = Words()
+    """(node, second, third, shingles): the prefixes under the other orders and the set.
+
+    Of the prefixes half of each hash is kept, which can only let more candidates through.
+    """
     for batch in batches:
-        rows: list[list] = [[], [], [], [], []]
-        for text in batch.column("text"):
-            values = shingle_set(text.as_py(), words)
+        rows: list[list] = [[], [], [], []]
+        for values in shingle_sets(batch.column("text").to_pylist()):
             p = prefix_length(len(values))
             rows[0].append(fingerprint(values))
-            rows[1].append(len(values))
             for at, step in enumerate(ORDERS):
-                turned = values * np.uint64(step)
-                rows[2 + at].append(values[np.argsort(turned, kind="stable")[:p]].view(np.int64))
-            rows[4].append(values.view(np.int64))
+                order = np.argsort(values * np.uint64(step), kind="stable")[:p]
+                rows[1 + at].append(values[order].astype(np.uint32).view(np.int32))
+            rows[3].append(values.view(np.int64))
         if rows[0]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(r, f.type) for r, f in zip(rows, schema)], schema=schema
@@ -170,69 +219,60 @@ def _groups(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
     Streams; of a group only the first row and the last are held.
     """
     held = None  # the last row seen, whose successor is not known yet
-    current, pivot, before = None, None, None
+    first = None  # token, node and size of the first of the group that is open
     for batch in batches:
-        token, node, size, hot = (np.asarray(batch.column(k)) for k in range(4))
+        columns = [np.asarray(batch.column(k)) for k in range(4)]
         if held is not None:
-            token, node, size, hot = (
-                np.concatenate([[a], b]).astype(b.dtype) for a, b in zip(held, (token, node, size, hot))
-            )
-        if not len(token):
+            columns = [np.concatenate([[a], b]).astype(b.dtype) for a, b in zip(held, columns)]
+        if not len(columns[0]):
             continue
-        held = token[-1], node[-1], size[-1], hot[-1]
-        if len(token) > 1:
-            yield from _emit(token[:-1], node[:-1], size[:-1], hot[:-1], token[-1], (current, pivot, before), schema)
-            starts = np.flatnonzero(np.append(True, token[1:-1] != token[:-2]))
-            last = starts[-1]
-            if not (last == 0 and token[0] == current):
-                pivot = node[last]
-            current, before = token[-2], token[-2]
+        held = [c[-1] for c in columns]
+        done = [c[:-1] for c in columns]
+        if len(done[0]):
+            found, first = _shared(done, held[0], first, schema)
+            if found.num_rows:
+                yield found
     if held is not None:
-        one = [np.array([x]) for x in held]
-        yield from _emit(*one, None, (current, pivot, before), schema)
-
-
-def _emit(token, node, size, hot, following, carried, schema):
-    current, pivot, before = carried
-    new = np.append(True, token[1:] != token[:-1])
-    joins = current is not None and token[0] == current
-    new[0] = not joins
-    group = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
-    firsts = node[np.flatnonzero(np.append(True, token[1:] != token[:-1]))].copy()
-    if joins:
-        firsts[0] = pivot
-    same_next = np.append(token[1:] == token[:-1], following is not None and token[-1] == following)
-    shared = ~new | same_next | hot
-    if shared.any():
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(token[shared]),
-                pa.array(node[shared]),
-                pa.array(size[shared].astype(np.int32)),
-                pa.array(firsts[group][shared]),
-                pa.array(hot[shared].astype(bool)),
-            ],
-            schema=schema,
-        )
+        found, _ = _shared([np.array([x]) for x in held], None, first, schema)
+        if found.num_rows:
+            yield found
+
+
+def _shared(columns, following, first, schema):
+    token, node, size, hot = columns
+    starts = np.append(True, token[1:] != token[:-1])
+    at = np.flatnonzero(starts)[np.cumsum(starts) - 1]
+    pivot, pivot_size = node[at].copy(), size[at].copy()
+    before = ~starts
+    if first is not None and token[0] == first[0]:
+        pivot[at == 0], pivot_size[at == 0] = first[1], first[2]
+        before[0] = True
+    after = np.append(token[1:] == token[:-1], following is not None and token[-1] == following)
+    pick = before | after | hot.astype(bool)
+    arrays = token, node, size.astype(np.int32), pivot, pivot_size.astype(np.int32), hot.astype(bool)
+    found = pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in arrays], schema=schema)
+    return found, (token[-1], pivot[-1], pivot_size[-1])
 
 
 def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, text_key, node, n) of each row, and the counts of all shingles by bucket."""
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
-    struct = _schema(texts, "node long, n int, counts array<long>")
+    struct = _schema(texts, "node long, n int, slice int, counts binary")
     schema = to_arrow_schema(struct)
     rows = stage(texts.mapInArrow(lambda b: _profile(b, schema), struct), "shingle-profiles")
-    # A fixed number of buckets comes to the driver, whatever the corpus.
+    sum_struct = StructType.fromDDL("slice int, counts binary")
+    sum_schema = to_arrow_schema(sum_struct)
     sums = (
-        rows.where("counts is not null")
-        .select(F.posexplode("counts").alias("bucket", "count"))
-        .groupBy("bucket")
-        .agg(F.sum("count").alias("count"))
-        .toPandas()
+        rows.where("slice is not null")
+        .select("slice", "counts")
+        .repartition("slice")
+        .mapInArrow(lambda b: _summed(b, sum_schema), sum_struct)
     )
-    load = np.zeros(1 << BUCKET_BITS, np.int64)
-    load[sums["bucket"].to_numpy(np.int64)] = sums["count"].to_numpy(np.int64)
-    return rows.where("counts is null").drop("counts"), load
+    load = np.zeros((SLICES, (1 << BUCKET_BITS) // SLICES), np.int64)
+    # A fixed number of buckets comes to the driver, whatever the corpus.
+    for row in sums.toLocalIterator():
+        load[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return rows.where("slice is null").drop("slice", "counts"), load.ravel()
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -251,8 +291,18 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select("doc_id", "text_key")
+    struct = StructType.fromDDL("node long, second array<int>, third array<int>, shingles array<long>")
+    schema = to_arrow_schema(struct)
+    texts = _texts_of(docs, stage(wanted, "candidate-documents"))
+    return stage(texts.mapInArrow(lambda b: _sets(b, schema), struct), "shingle-sets")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that share a prefix under the other orders and are similar enough."""
+    sets = _sets_of(docs, classes, pairs)
 
     def with_both(frame: DataFrame, *columns: str) -> DataFrame:
         for side in "ab":
@@ -260,19 +310,26 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             frame = frame.join(sets.select(F.col("node").alias(side), *named), side)
         return frame
 
-    filtered = with_both(pairs, "second", "third").where(
-        F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    filtered = stage(
+        with_both(pairs, "second", "third")
+        .where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
+        .select("a", "b"),
+        "filtered-pairs",
     )
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
     # 100 * common >= 80 * union, where union = n_a + n_b - common
     similar = 9 * common >= 4 * (F.size("shingles_a") + F.size("shingles_b"))
-    return with_both(filtered.select("a", "b"), "shingles").where(similar).select("a", "b")
+    return with_both(filtered, "shingles").where(similar).select("a", "b")
 
 
-def _pair(x: Column, y: Column) -> list[Column]:
+def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _sizes_fit(x: str, y: str) -> Column:
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, node, component): component is a node, the same for linked rows."""
     rows, load = profiles(docs)
@@ -283,8 +340,9 @@ def linked(docs: DataFrame) -> DataFrame:
 
     struct = StructType.fromDDL("node long, n int, prefix array<long>, hot array<boolean>")
     schema = to_arrow_schema(struct)
+    known = docs.sparkSession.sparkContext.broadcast((load, np.median(load)))
     prefixes = _texts_of(docs, classes.select("doc_id", "text_key")).mapInArrow(
-        lambda b: _prefixes(b, schema, load), struct
+        lambda b: _prefixes(b, schema, known), struct
     )
     index = prefixes.select(
         "node", "n", F.explode(F.arrays_zip("prefix", "hot")).alias("p")
@@ -293,7 +351,9 @@ def linked(docs: DataFrame) -> DataFrame:
     dealt = index.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions(
         "token", "salt", "n", "node"
     )
-    group_struct = StructType.fromDDL("token long, node long, n int, pivot long, hot boolean")
+    group_struct = StructType.fromDDL(
+        "token long, node long, n int, pivot long, pivot_n int, hot boolean"
+    )
     group_schema = to_arrow_schema(group_struct)
     shared = stage(
         dealt.select("token", "node", "n", "hot").mapInArrow(
@@ -302,29 +362,21 @@ def linked(docs: DataFrame) -> DataFrame:
         "shared-prefixes",
     )
 
-    set_struct = StructType.fromDDL(
-        "node long, n int, second array<long>, third array<long>, shingles array<long>"
-    )
-    set_schema = to_arrow_schema(set_struct)
-    wanted = classes.join(shared.select("node").distinct(), "node", "left_semi")
-    wanted = stage(wanted.select("doc_id", "text_key"), "candidate-documents")
-    sets = stage(
-        _texts_of(docs, wanted).mapInArrow(lambda b: _sets(b, set_schema), set_struct),
-        "shingle-sets",
-    )
-
     # A hot token's group is in several tasks, each with a first of its own: pair these too.
-    firsts = shared.where("hot").select("token", "pivot").distinct()
-    tops = firsts.groupBy("token").agg(F.min("pivot").alias("top"))
-    bridges = firsts.join(tops, "token").where("pivot != top")
+    firsts = shared.where("hot").select("token", "pivot", "pivot_n").distinct()
+    tops = firsts.groupBy("token").agg(F.min(F.struct("pivot_n", "pivot")).alias("top"))
+    bridges = firsts.join(tops, "token").select(
+        F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "top.pivot", "top.pivot_n"
+    )
     tried = stage(
-        shared.where("node != pivot")
-        .select(*_pair(F.col("node"), F.col("pivot")))
-        .unionAll(bridges.select(*_pair(F.col("pivot"), F.col("top"))))
+        shared.select("node", "n", "pivot", "pivot_n")
+        .unionAll(bridges)
+        .where((F.col("node") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
+        .select(*_pair("node", "pivot"))
         .distinct(),
         "pivot-pairs",
     )
-    first = stage(_verified(tried, sets), "pivot-links")
+    first = stage(_verified(docs, classes, tried), "pivot-links")
     placed = components(first)
 
     # What the groups still hold apart.
@@ -346,16 +398,15 @@ def linked(docs: DataFrame) -> DataFrame:
     outside = F.col("x.component") != F.col("x.largest")
     # Both outside the largest: formed once, from the smaller node.
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    sized = (5 * F.least("x.n", "y.n")) >= (4 * F.greatest("x.n", "y.n"))
     rest = (
         x.where(outside)
         .join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.component") != F.col("y.component")) & once & sized)
-        .select(*_pair(F.col("x.node"), F.col("y.node")))
+        .where((F.col("x.component") != F.col("y.component")) & once & _sizes_fit("x.n", "y.n"))
+        .select(*_pair("x.node", "y.node"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
-    second = stage(_verified(stage(rest, "open-pairs"), sets), "open-links")
+    second = stage(_verified(docs, classes, stage(rest, "open-pairs")), "open-links")
     found = components(first.unionAll(second))
     return (
         rows.join(found, "node", "left")
