@@ -1,12 +1,15 @@
-"""A small shop in memory: users, products, events and experiments with fixed seeds."""
+"""A small shop in memory.  Values come from plain arithmetic and sit on the edges that
+matter: tier bounds, empty stock, equal scores, products nobody buys, users without events."""
 
 from __future__ import annotations
 
 import datetime as dt
-import random
 
-CATEGORIES = ["Eyewear", "Electronics", "Home", "Fashion", "Beauty", "Sports"]
-START = dt.datetime(2024, 1, 1)
+from vitrine import fixed
+
+CATEGORIES = list(fixed.CATEGORY_CODES)
+FIRST_DAY = dt.datetime(2024, 1, 1)
+PRICES = [8.0, 49.5, 50.0, 99.0, 149.5, 150.0, 240.0, 349.5, 350.0, 699.5, 700.0, 1250.0]
 
 USER_SCHEMA = (
     "user_id string, recency_days int, purchase_freq_90d bigint, avg_order_value double, "
@@ -26,55 +29,61 @@ EVENT_SCHEMA = (
 )
 
 
-def user_rows(n=100, seed=1):
-    r = random.Random(seed)
+def user_id(i: int) -> str:
+    return f"u{i:03d}"
+
+
+def product_id(i: int) -> str:
+    return f"p{i:03d}"
+
+
+def user_rows(n=100):
+    segments = list(fixed.SEGMENT_CODES)
     return [
         (
-            f"U{i:05d}", r.randint(1, 364), r.randint(0, 19), round(r.uniform(20, 500), 2),
-            round(r.uniform(50, 10000), 2), r.randint(30, 1800), round(r.random(), 3),
-            r.randint(0, 14), round(r.random(), 3), r.choice(["VIP", "Regular", "New", "Lapsed"]),
-            r.choice(CATEGORIES), *[round(r.random(), 3) for _ in CATEGORIES],
+            user_id(i), 3 * i, i % 4, 10.0 + 7 * (i % 31), 100.0 * (i % 17), 40 + 5 * i,
+            i % 8 / 8, i % 6, i % 5 / 4, segments[i * i % 7 % 4], CATEGORIES[i % 6],
+            *[(i * (k + 2) + k) % 16 / 16 for k in range(6)],
         )
         for i in range(n)
     ]
 
 
-def product_rows(n=50, seed=2):
-    r = random.Random(seed)
+def product_rows(n=50):
     rows = []
     for i in range(n):
-        base, stock = round(r.uniform(15, 800), 2), r.randint(0, 499)
+        price = PRICES[i % len(PRICES)]
+        stock = 0 if i % 9 == 0 else 4 * i
         rows.append(
             (
-                f"P{i:05d}", r.choice(CATEGORIES), r.choice("ABCDEF"), base,
-                round(base * r.uniform(0.7, 1.0), 2), round(base * r.uniform(0.3, 0.6), 2), stock,
-                stock + r.randint(0, 299), r.randint(5, 49), r.randint(1, 179),
-                round(r.uniform(2.5, 5), 1), r.randint(0, 4999), round(r.random(), 3),
-                r.randint(0, 1), r.randint(0, 19), round(r.random(), 3),
+                product_id(i), CATEGORIES[i * i % 6], "xyz"[i % 3], price, price * (8 - i % 3) / 8,
+                price * (1 + i % 3) / 8, stock, stock + 10 * (i % 8), 1 + i % 12, 4 * i,
+                1.0 + i % 9 / 2, i % 13 * 11, i * 7 % 32 / 32, int(i % 10 == 0), i % 4,
+                i * 5 % 16 / 16,
             )
         )
     return rows
 
 
-def event_rows(n=2000, users=100, products=50, seed=3):
-    r = random.Random(seed)
-    kinds = ["purchase", "add_to_cart", "wishlist", "view"]
-    return [
-        (
-            i, f"U{r.randrange(users):05d}", f"P{r.randrange(products):05d}",
-            START + dt.timedelta(days=r.randrange(365), hours=r.randrange(24)),
-            r.choices(kinds, [0.25, 0.2, 0.1, 0.45])[0], round(r.uniform(10, 700), 2),
-            r.randint(1, 3), "web",
+def event_rows(n=2000, users=100, products=50):
+    """Every user but the last ten, every product but the last two; one busy user and product."""
+    kinds = ["view", "purchase", "view", "add_to_cart", "purchase", "wishlist", "view"]
+    rows = []
+    for i in range(n):
+        who = 7 if i % 11 == 0 else i * 37 % (users - 10)
+        what = 3 if i % 13 == 0 else (i * 29 + i // 50) % (products - 2)
+        at = FIRST_DAY + dt.timedelta(days=i * 53 % 300, hours=i % 5)
+        rows.append(
+            (i, user_id(who), product_id(what), at, kinds[i * i % 23 % 7], 5.0 + i % 90, 1 + i % 2, "web")
         )
-        for i in range(n)
-    ]
+    return rows
 
 
-def experiment_rows(n=500, products=50, seed=4):
-    r = random.Random(seed)
+def experiment_rows(n=500, products=50):
+    """Conversion rises with the discount, in steps that differ by product."""
     rows = []
-    for _ in range(n):
-        discount = round(r.uniform(0, 0.5), 3)
-        rate = min(1.0, r.uniform(0.01, 0.15) + r.uniform(0.5, 3) * discount)
-        rows.append((f"P{r.randrange(products):05d}", discount, round(rate, 4)))
+    for i in range(n):
+        discount = i % 21 / 40
+        rate = 0.03125 + i % 9 / 128 + discount * (1 + i % 5) / 8
+        rows.append((product_id(i * 17 % products), discount, rate))
     return rows

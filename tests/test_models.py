@@ -29,7 +29,7 @@ def daily_table(spark, counts):
 
 
 def test_25_sale_days_give_five_training_rows(spark):
-    daily = daily_table(spark, [("P00000", d, 1) for d in range(25)])
+    daily = daily_table(spark, [("p000", d, 1) for d in range(25)])
     rows = D.training_days(daily).orderBy("day_no").collect()
     assert [r.day_no for r in rows] == [15, 16, 17, 18, 19]
     assert all(r.demand_7d == 7 and r.demand_14d == 14 and r.target_demand_7d == 7 for r in rows)
@@ -49,12 +49,12 @@ def test_windows_count_sale_days(spark):
 
 
 def test_latest_features(spark, shop):
-    counts = [("P00001", d, d + 1) for d in range(20)] + [("P00002", d, 2) for d in range(5)]
+    counts = [("p001", d, d + 1) for d in range(20)] + [("p002", d, 2) for d in range(5)]
     latest = D.latest_features(
         daily_table(spark, counts), shop["products"], CODES, as_of=F.lit("2024-02-03").cast("date")
     )
     rows = {r.product_id: r for r in latest.collect()}
-    one, two, none = rows["P00001"], rows["P00002"], rows["P00003"]
+    one, two, none = rows["p001"], rows["p002"], rows["p003"]
     assert one.demand_7d == sum(range(14, 21)) and one.demand_30d == sum(range(1, 21))
     assert one.velocity == pytest.approx((119 - 70) / 70, abs=1e-6)
     assert (one.day_of_week, one.month, one.is_weekend) == (5, 2, 1)
@@ -71,7 +71,7 @@ def test_training_set_imputes_missing_products(spark, shop):
 
 
 def test_spike_falls_back_to_trend_with_few_samples(spark, shop):
-    daily = daily_table(spark, [("P00001", d, 1) for d in range(25)])
+    daily = daily_table(spark, [("p001", d, 1) for d in range(25)])
     latest = D.latest_features(daily, shop["products"], CODES)
     spikes = D.demand_spikes(D.predict_closed_form(latest), D.demand_baseline(daily), shop["products"])
     trends = {r.product_id: r.trend_score for r in shop["products"].collect()}
@@ -127,14 +127,14 @@ def test_inventory_features_fill_nulls(spark):
 
 
 def test_user_features_defaults(spark, shop):
-    events = shop["events"].filter("user_id <> 'U00007'")
+    events = shop["events"].filter("user_id <> 'u007'")
     rows = {r.user_id: r for r in U.user_features(shop["users"], events).collect()}
-    assert rows["U00007"].purchase_count_30d == 0
-    assert rows["U00007"].avg_price_paid == rows["U00007"].avg_order_value
-    event_rows = [e for e in small.event_rows() if e[4] == "purchase" and e[1] == "U00003"]
-    assert rows["U00003"].avg_price_paid == pytest.approx(sum(e[5] for e in event_rows) / len(event_rows))
-    newest = max(e[3] for e in small.event_rows() if e[1] != "U00007")
-    assert rows["U00003"].purchase_count_30d == sum(e[3] >= newest - dt.timedelta(days=30) for e in event_rows)
+    assert rows["u007"].purchase_count_30d == 0
+    assert rows["u007"].avg_price_paid == rows["u007"].avg_order_value
+    event_rows = [e for e in small.event_rows() if e[4] == "purchase" and e[1] == "u003"]
+    assert rows["u003"].avg_price_paid == pytest.approx(sum(e[5] for e in event_rows) / len(event_rows))
+    newest = max(e[3] for e in small.event_rows() if e[1] != "u007")
+    assert rows["u003"].purchase_count_30d == sum(e[3] >= newest - dt.timedelta(days=30) for e in event_rows)
 
 
 def test_vectors(shop):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators import drift, metrics, sampling
 from vitrine.operators.ordering import dense_index, lowest_by_hash, running_totals
-from vitrine.operators.skew import hot_keys, keyed_join, lookup_join, salted_join
+from vitrine.operators.skew import hot_keys, keyed_join, lookup_join, salted_join, size_in_bytes
 
 
 def digest(value):
@@ -29,7 +29,53 @@ def keyed_table(spark):
 
 
 def test_hot_keys_found(hot_rows):
-    assert [r.hot_key for r in hot_keys(hot_rows, "k").collect()] == [7]
+    found = hot_keys(hot_rows, "k").collect()
+    assert [r.hot_key for r in found] == [7]
+    # Half of the rows are about four of the eight partitions; each gets two salts.
+    assert 7 <= found[0].salts <= 8
+
+
+@pytest.mark.parametrize(
+    "text, size",
+    [("10485760", 10 << 20), ("10MB", 10 << 20), ("10m", 10 << 20), ("1g", 1 << 30), ("-1", -1), ("64KiB", 64 << 10), ("5b", 5)],
+)
+def test_size_settings(text, size):
+    assert size_in_bytes(text) == size
+
+
+def spread_of(spark, rows, table, partitions, unique=None):
+    """Largest part of the hot key's rows that one partition gets."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.enabled": "false",
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = salted_join(rows, table, "k", unique=unique).filter("k = 1")
+        counts = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return max(counts) / sum(counts), sum(counts)
+
+
+def test_one_percent_of_the_rows_is_spread(spark):
+    rows = spark.range(200_000).select(
+        "id", F.when(F.col("id") % 100 == 0, 1).otherwise(1000 + F.col("id") % 50_000).cast("int").alias("k")
+    )
+    table = spark.createDataFrame([(1, "x"), (1001, "y")], "k int, v string")
+    largest, total = spread_of(spark, rows, table, 400)
+    assert total == 2000 and largest < 0.5
+
+
+def test_equal_rows_are_spread_by_a_unique_column(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("event_id"), F.lit(1).alias("k"), F.lit("same").alias("x"))
+    table = spark.createDataFrame([(1, "x")], "k int, v string")
+    largest, total = spread_of(spark, rows, table, 32, unique="event_id")
+    assert total == 20_000 and largest < 0.3
 
 
 def test_no_hot_keys_in_even_rows(spark):
@@ -61,7 +107,7 @@ def test_salted_join_spreads_the_hot_key(spark, hot_rows, keyed_table):
 def test_lookup_join_both_ways(monkeypatch, hot_rows, keyed_table):
     expected = sorted(hot_rows.join(keyed_table, "k", "left").collect(), key=repr)
     assert sorted(lookup_join(hot_rows, keyed_table, "k", "left").collect(), key=repr) == expected
-    monkeypatch.setattr("vitrine.operators.skew.MAX_BROADCAST_ROWS", 10)
+    monkeypatch.setattr("vitrine.sources.staging.MAX_BROADCAST_BYTES", 0)
     assert sorted(lookup_join(hot_rows, keyed_table, "k", "left").collect(), key=repr) == expected
 
 

@@ -10,6 +10,7 @@ from vitrine.operators import diversity as D
 from vitrine.operators import experiments as X
 from vitrine.operators import features as U
 from vitrine.operators import ranking as R
+from vitrine.operators import sampling
 from vitrine.sources.staging import stage
 from vitrine.streaming import serving
 
@@ -187,7 +188,7 @@ def test_ranking_needs_one_shuffle_of_the_requests(shop, shelf):
 
 def test_cold_start_for_unknown_users(spark, shop, shelf):
     requests = spark.createDataFrame(
-        [("a", "U00001", 5), ("b", "stranger", 5), ("c", "other", 3)], "request_id string, user_id string, top_k int"
+        [("a", "u001", 5), ("b", "stranger", 5), ("c", "other", 3)], "request_id string, user_id string, top_k int"
     ).withColumns({"candidate_pool": F.lit(20), "weight_preset": F.lit("dyson"), "apply_diversity": F.lit(True)})
     rows = R.recommend_all(requests, shop["users"], shelf).collect()
     found = {}
@@ -205,9 +206,63 @@ def test_cold_start_for_unknown_users(spark, shop, shelf):
         assert r.optimal_discount_pct == 0.0 and r.total_candidates == 50
 
 
+def test_cold_start_is_as_long_as_asked(spark, shelf):
+    requests = spark.createDataFrame(
+        [("a", "x", 45), ("b", "y", None), ("c", "z", 500)], "request_id string, user_id string, top_k int"
+    )
+    counts = {r.request_id: r["count"] for r in R.cold_start(requests, shelf).groupBy("request_id").count().collect()}
+    assert counts == {"a": 45, "b": 20, "c": 50}
+
+
+@pytest.mark.parametrize("pool, expected", [(None, 50), (0, 0), (9, 0), (10, 10), (500, 50), (10**6, 0)])
+def test_pool_sizes(spark, shop, shelf, pool, expected):
+    requests = spark.createDataFrame(
+        [("a", "u001", 5, pool, "balanced", True)],
+        "request_id string, user_id string, top_k int, candidate_pool int, weight_preset string, apply_diversity boolean",
+    )
+    rows = R.recommend(requests, shop["users"], shelf).collect()
+    assert {r.total_candidates for r in rows} == ({expected} if expected else set())
+
+
+def test_candidates_of_raw_pools(spark):
+    requests = spark.createDataFrame([(1, "a", None), (2, "a", 0), (3, "a", 10**6)], "request_id int, user_id string, candidate_pool int")
+    got = {r.request_id: r["count"] for r in sampling.with_candidates(requests, 1000).groupBy("request_id").count().collect()}
+    assert got == {1: 100, 3: 1000}
+    assert sampling.with_candidates(requests, 0).count() == 0
+
+
+@pytest.mark.parametrize("diverse", [True, False])
+def test_whole_catalogue_equals_ranking_every_product(shop, shelf, diverse):
+    """A pool as large as the shop gives the same picks as the lists per segment."""
+    asked = all_requests(shop, candidate_pool=50, apply_diversity=diverse, weight_preset="clearance", top_k=12)
+    names = ["user_id", "rank", "product_id", "pick_score", "final_score", "weights_used", "total_candidates"]
+    pick = lambda t: sorted(tuple(r[n] for n in names) for r in t.collect())
+    assert pick(R.recommend_whole(asked, shop["users"], shelf)) == pick(R.recommend(asked, shop["users"], shelf))
+
+
+def test_whole_catalogue_mixes_settings(shop, shelf):
+    asked = all_requests(shop, top_k=7).withColumn("top_k", F.when(F.col("user_id") < "u050", 3).otherwise(F.col("top_k")))
+    rows = R.recommend_whole(asked, shop["users"], shelf)
+    counts = {r.user_id: r["count"] for r in rows.groupBy("user_id").count().collect()}
+    assert all(n == (3 if user < "u050" else 7) for user, n in counts.items()) and len(counts) == 100
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert R.recommend_whole(asked.filter("false"), shop["users"], shelf).count() == 0
+
+
+def test_every_request_is_answered(spark, shop, shelf):
+    requests = spark.createDataFrame(
+        [(1, "u001", 5, 20), (2, "stranger", 5, 20), (3, "u001", 0, 20), (4, None, 5, 20), (5, "u001", 5, 10**6)],
+        "request_id int, user_id string, top_k int, candidate_pool int",
+    ).withColumns({"weight_preset": F.lit("dyson"), "apply_diversity": F.lit(True)})
+    rows = R.answer(requests, shop["users"], shelf).collect()
+    assert {r.request_id: r.reject_reason for r in rows if r.reject_reason} == {3: "top_k", 4: "user_id", 5: "candidate_pool"}
+    assert sorted(r.request_id for r in rows if not r.reject_reason) == [1] * 5 + [2] * 5
+
+
 def test_score_pairs_and_errors(spark, shop, shelf):
     requests = spark.createDataFrame(
-        [(1, "U00001", "P00001", "amazon"), (2, "nobody", "P00001", "amazon"), (3, "U00001", "nothing", "amazon")],
+        [(1, "u001", "p001", "amazon"), (2, "nobody", "p001", "amazon"), (3, "u001", "nothing", "amazon")],
         "request_id int, user_id string, product_id string, weight_preset string",
     )
     rows = {r.request_id: r for r in R.score_pairs(requests, shop["users"], shelf).collect()}
@@ -262,13 +317,13 @@ def test_storefront_flags(spark):
 def test_stream_resumes_and_replaces(spark, shop, shelf, tmp_path):
     base = str(tmp_path)
     asked = all_requests(shop)
-    asked.filter("user_id < 'U00050'").write.mode("append").parquet(f"{base}/in")
+    asked.filter("user_id < 'u050'").write.mode("append").parquet(f"{base}/in")
     run = lambda: serving.serve(
         spark.readStream.schema(asked.schema).parquet(f"{base}/in"), shop["users"], shelf, f"{base}/out", f"{base}/progress"
     ).awaitTermination()
     run()
     assert spark.read.parquet(f"{base}/out").select("user_id").distinct().count() == 50
-    asked.filter("user_id >= 'U00050'").write.mode("append").parquet(f"{base}/in")
+    asked.filter("user_id >= 'u050'").write.mode("append").parquet(f"{base}/in")
     run()
     answers = spark.read.parquet(f"{base}/out")
     assert answers.count() == 1000 and answers.select("batch").distinct().count() == 2

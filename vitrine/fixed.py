@@ -91,7 +91,6 @@ TRENDING_ABOVE = 0.7
 # Request limits: default, smallest, largest.
 TOP_K = (20, 1, 100)
 CANDIDATE_POOL = (100, 10, 500)
-COLD_START_PRODUCTS = 200
 DEFAULT_SCORE = 0.5
 
 # Values for a product that is missing from the catalogue.
@@ -110,6 +109,13 @@ CHI_LEVELS = (0.05, 0.01)
 ZSCORE_LEVELS = (2.0, 3.0)
 PSI_FLOOR = 1e-10
 DRIFT_BINS = 10
+PSI_TEXT = "Distribution shift detected in '%s' (PSI=%.4f)"
+CHI_TEXT = "%s in '%s' (p=%.6f)"
+CHI_LEAD = {"critical": "Categorical distribution shift", "warning": "Possible categorical drift"}
+SCORE_TEXT = "%s: mean shifted %.1fσ from baseline"
+SCORE_LEAD = {"critical": "Score distribution anomaly", "warning": "Score distribution warning"}
+ALERT_TEXT = "%s [%s] %s: %s=%.4f (threshold=%s)"
+NOT_FOUND_TEXT = "User or product not found"
 LEVEL_MARK = {"none": "✅", "warning": "⚠️", "critical": "🚨"}
 
 # Feature orders.

@@ -252,10 +252,12 @@ def psi(profile: Profile, current: DataFrame) -> DataFrame:
         seen.join(F.broadcast(index), "feature", "left")
         .select(
             "feature",
-            S.rnd(F.coalesce("psi", F.lit(0.0)), 6).alias("psi"),
+            F.coalesce("psi", F.lit(0.0)).alias("psi"),
             F.col("out_of_range_count"),
         )
+        # Decided on the index itself, not on what is shown of it.
         .withColumn("level", level(F.col("psi"), fixed.PSI_LEVELS))
+        .withColumn("psi", S.rnd(F.col("psi"), 6))
     )
 
 
@@ -299,10 +301,10 @@ p_values = F.pandas_udf(kernels.chi_square_tails, DoubleType())
 
 def chi_square_levels(statistics: DataFrame) -> DataFrame:
     """Add the p-value and the level, on one row per feature."""
-    p = S.rnd(p_values(F.col("statistic"), F.col("dof")), 6)
-    return statistics.withColumn("p_value", p).withColumn(
+    rated = statistics.withColumn("p_value", p_values(F.col("statistic"), F.col("dof")))
+    return rated.withColumn(
         "level", level(F.col("p_value"), fixed.CHI_LEVELS, rising=False)
-    )
+    ).withColumn("p_value", S.rnd(F.col("p_value"), 6))
 
 
 def score_drift(
@@ -324,9 +326,7 @@ ALERT_COLUMNS = ["feature", "metric", "value", "threshold", "level", "message"]
 
 
 def psi_alerts(index: DataFrame) -> DataFrame:
-    text = F.format_string(
-        "Distribution shift detected in '%s' (PSI=%.4f)", F.col("feature"), F.col("psi")
-    )
+    text = F.format_string(fixed.PSI_TEXT, F.col("feature"), F.col("psi"))
     return index.filter(F.col("level") != "none").select(
         "feature",
         F.lit("PSI").alias("metric"),
@@ -340,10 +340,8 @@ def psi_alerts(index: DataFrame) -> DataFrame:
 def chi_square_alerts(rated: DataFrame) -> DataFrame:
     critical = F.col("level") == "critical"
     warning_at, critical_at = fixed.CHI_LEVELS
-    lead = F.when(critical, "Categorical distribution shift").otherwise(
-        "Possible categorical drift"
-    )
-    text = F.format_string("%s in '%s' (p=%.6f)", lead, F.col("feature"), F.col("p_value"))
+    lead = F.when(critical, fixed.CHI_LEAD["critical"]).otherwise(fixed.CHI_LEAD["warning"])
+    text = F.format_string(fixed.CHI_TEXT, lead, F.col("feature"), F.col("p_value"))
     return rated.filter(F.col("level") != "none").select(
         "feature",
         F.lit("chi2_pvalue").alias("metric"),
@@ -357,8 +355,8 @@ def chi_square_alerts(rated: DataFrame) -> DataFrame:
 def score_alerts(rated: DataFrame, group: str) -> DataFrame:
     critical = F.col("level") == "critical"
     warning_at, critical_at = fixed.ZSCORE_LEVELS
-    lead = F.when(critical, "Score distribution anomaly").otherwise("Score distribution warning")
-    text = F.format_string("%s: mean shifted %.1fσ from baseline", lead, F.col("z"))
+    lead = F.when(critical, fixed.SCORE_LEAD["critical"]).otherwise(fixed.SCORE_LEAD["warning"])
+    text = F.format_string(fixed.SCORE_TEXT, lead, F.col("z"))
     return rated.filter(F.col("level") != "none").select(
         F.col(group).alias("feature"),
         F.lit("zscore").alias("metric"),
@@ -369,9 +367,14 @@ def score_alerts(rated: DataFrame, group: str) -> DataFrame:
     )
 
 
-def check(profile: Profile, current: DataFrame) -> DataFrame:
-    """All alerts for the current table; no rows means no drift."""
-    parts = []
+def check(
+    profile: Profile, current: DataFrame, scores: DataFrame | None = None, group: str = "group"
+) -> DataFrame:
+    """All alerts for the current table; no rows means no drift.
+
+    ``scores`` adds the alerts of a result of ``score_drift`` by ``group``.
+    """
+    parts = [] if scores is None else [score_alerts(scores, group)]
     if shared_columns(profile.numeric_names, current):
         parts.append(psi_alerts(psi(profile, current)))
     if shared_columns(profile.category_names, current):
@@ -391,7 +394,7 @@ def alert_text(alerts: DataFrame) -> DataFrame:
     for name, sign in fixed.LEVEL_MARK.items():
         mark = F.when(F.col("level") == name, sign).otherwise(mark)
     line = F.format_string(
-        "%s [%s] %s: %s=%.4f (threshold=%s)",
+        fixed.ALERT_TEXT,
         mark,
         F.upper("level"),
         F.col("feature"),

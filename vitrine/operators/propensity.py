@@ -21,8 +21,8 @@ def training_pairs(
 ) -> DataFrame:
     """Labelled samples with the training columns; unknown users and products are skipped."""
     samples = training_union(events, ratio).select("event_id", "user_id", "product_id", "label")
-    pairs = keyed_join(samples, users, "user_id", sketch=events)
-    pairs = keyed_join(pairs, products, "product_id", sketch=events)
+    pairs = keyed_join(samples, users, "user_id", sketch=events, unique="event_id")
+    pairs = keyed_join(pairs, products, "product_id", sketch=events, unique="event_id")
     columns = propensity_columns(users, category_codes)
     return pairs.select(
         "event_id",
@@ -37,10 +37,10 @@ def purchase_rates(
     events: DataFrame, users: DataFrame, products: DataFrame, ratio: int = 3
 ) -> DataFrame:
     """Smoothed purchase rate of each customer segment in each category."""
-    samples = training_union(events, ratio).select("user_id", "product_id", "label")
+    samples = training_union(events, ratio).select("event_id", "user_id", "product_id", "label")
     segments, categories = users.select("user_id", "segment"), products.select("product_id", "category")
-    pairs = keyed_join(samples, segments, "user_id", sketch=events)
-    pairs = keyed_join(pairs, categories, "product_id", sketch=events)
+    pairs = keyed_join(samples, segments, "user_id", sketch=events, unique="event_id")
+    pairs = keyed_join(pairs, categories, "product_id", sketch=events, unique="event_id")
     return (
         pairs.groupBy("segment", "category")
         .agg(F.count(F.lit(1)).alias("n_samples"), F.sum("label").alias("n_purchases"))

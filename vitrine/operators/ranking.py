@@ -9,6 +9,7 @@ from vitrine import fixed
 from vitrine.functions import scalars as S
 from vitrine.operators import diversity as D
 from vitrine.operators import experiments as X
+from vitrine.operators.features import validate_requests
 from vitrine.operators.inventory import with_labels
 from vitrine.operators.ordering import dense_index
 from vitrine.operators.propensity import closed_form_propensity
@@ -154,11 +155,12 @@ def recommend(
 
     ``requests`` has ``key``, user_id, top_k, candidate_pool, weight_preset and
     apply_diversity; ``scorer`` adds ``propensity_score`` to (request, product) rows.
+    Requests outside the limits get no products, so no pool is larger than they allow.
     """
-    wanted = requests.select(
-        key, "user_id", "top_k", "candidate_pool", "weight_preset", "apply_diversity"
+    wanted = accepted(requests, key)
+    asked = X.join_presets(
+        keyed_join(wanted, users, "user_id", unique=key), "weight_preset"
     )
-    asked = X.join_presets(keyed_join(wanted, users, "user_id"), "weight_preset")
     pairs = scorer(candidate_pairs(asked, staged_catalogue, key))
     pairs = pairs.withColumns(
         {
@@ -198,13 +200,12 @@ def recommend(
 
 
 def cold_start_list(scored: DataFrame, k: int) -> DataFrame:
-    """Trending, high-margin products among the first 200 ids."""
-    pool = scored.orderBy("product_id").limit(fixed.COLD_START_PRODUCTS)
+    """The k best products for a stranger: trending, high margin, well rated."""
     score = (
         0.5 * F.col("trend_score") + 0.3 * F.col("margin_score") + 0.2 * F.col("avg_rating") / 5.0
     )
     return (
-        pool.withColumn("score", score)
+        scored.withColumn("score", score)
         .orderBy(F.desc("score"), "product_id")
         .limit(k)
         .select("*", F.row_number().over(Window.orderBy(F.desc("score"), "product_id")).alias("rank"))
@@ -212,8 +213,12 @@ def cold_start_list(scored: DataFrame, k: int) -> DataFrame:
 
 
 def cold_start(requests: DataFrame, scored: DataFrame, k: int | None = None) -> DataFrame:
-    """The same list for every request, cut to its top_k; at most 100 products long."""
-    longest = k or fixed.TOP_K[2]
+    """The same list for every request, cut to its top_k, or to the default without one.
+
+    The list is as long as the longest request, or ``k``.
+    """
+    wanted = F.coalesce("top_k", F.lit(fixed.TOP_K[0]))
+    longest = k or requests.agg(F.max(wanted)).first()[0] or 0
     item = with_labels(cold_start_list(scored, longest)).select(
         F.col("rank"),
         F.col("product_id"),
@@ -236,7 +241,7 @@ def cold_start(requests: DataFrame, scored: DataFrame, k: int | None = None) ->
     names = item.columns
     items = item.agg(F.sort_array(F.collect_list(F.struct(*names)))).scalar()
     total = scored.agg(F.count(F.lit(1))).scalar()
-    listed = requests.withColumn("item", F.explode(F.slice(items, 1, F.col("top_k"))))
+    listed = requests.withColumn("item", F.explode(F.slice(items, 1, wanted)))
     empty = F.struct(*[F.lit(None).cast("double").alias(signal) for signal in fixed.SIGNALS])
     flat = listed.select(
         "request_id", "user_id", *[F.col("item")[name].alias(name) for name in names]
@@ -254,6 +259,121 @@ def cold_start(requests: DataFrame, scored: DataFrame, k: int | None = None) ->
     )
 
 
+def accepted(requests: DataFrame, key: str) -> DataFrame:
+    """Requests within the limits, with the defaults filled in."""
+    names = [key, "user_id", "top_k", "candidate_pool", "weight_preset", "apply_diversity"]
+    valid = validate_requests(requests.select(*dict.fromkeys(names)))
+    return valid.filter("reject_reason is null").drop("reject_reason")
+
+
+LIST = ["segment", "preset", "top_k", "apply_diversity"]
+
+
+def whole_lists(asked: DataFrame, staged_catalogue: DataFrame) -> DataFrame:
+    """The list for each segment, preset, top_k and diversity setting that is asked for, from
+    the whole catalogue.
+
+    Under the default scorer a score depends on segment, preset and product only.  Products
+    of equal cluster, category and price tier carry equal penalties, so of each such cell
+    only its best k can be picked: a window group limit cuts the cells down before the
+    shuffle, and the picks run on what is left.
+    """
+    signals = [*fixed.SIGNALS[:-1], "demand_spike_weight", "diversity"]
+    lists = stage(asked.select(*LIST, *signals).distinct(), "lists")
+    kinds = ["segment", "preset", *signals[:-1]]
+    # Segments and presets are a handful; so are their combinations.
+    used = lists.groupBy(*kinds).agg(F.max("top_k").alias("most")).collect()
+    types = dict(lists.dtypes) | {"most": "int"}
+    fields = ", ".join(f"{n}:{types[n]}" for n in [*kinds, "most"])
+    combinations = F.array(
+        *[F.struct(*[F.lit(row[n]).alias(n) for n in [*kinds, "most"]]) for row in used]
+    ).cast(f"array<struct<{fields}>>")
+    scored = rated(
+        staged_catalogue.withColumn("kind", F.explode(combinations)).select("*", "kind.*")
+    ).withColumns(
+        {
+            "score": weighted_score(F.col("propensity_score")),
+            "cluster": F.col("style_cluster"),
+            "tier": S.price_tier(F.col("current_price")),
+        }
+    )
+    cell = Window.partitionBy("segment", "preset", "cluster", "category", "tier").orderBy(
+        F.desc("score"), "product_id"
+    )
+    most = max((row["most"] for row in used), default=0)
+    pools = (
+        scored.withColumn("place", F.row_number().over(cell))
+        .filter(F.col("place") <= most)
+        .groupBy(F.col("segment").alias("segment_"), F.col("preset").alias("preset_"))
+        .agg(D.sorted_candidates(F.col("score"), ["propensity_score"]).alias("candidates"))
+    )
+    same = F.col("segment").eqNullSafe(F.col("segment_")) & (F.col("preset") == F.col("preset_"))
+    picks = D.mmr_picks(
+        lists.join(pools, same), F.col("top_k"), F.col("diversity"), F.col("apply_diversity")
+    )
+    return picks.select(
+        *LIST, "rank", "product_id", "pick_score", "final_score",
+        F.col("candidate.propensity_score").alias("propensity_score"),
+    )
+
+
+def recommend_whole(
+    requests: DataFrame, users: DataFrame, staged_catalogue: DataFrame, key: str = "request_id"
+) -> DataFrame:
+    """Ranked products of the whole catalogue for every request of a known user, under the
+    default scorer.
+
+    Lists are worked out per segment and setting and joined to the requests, so no pairs of
+    users and products are formed.
+    """
+    known = keyed_join(
+        accepted(requests, key), users.select("user_id", "segment"), "user_id", unique=key
+    )
+    asked = X.join_presets(known, "weight_preset")
+    picks = whole_lists(asked, staged_catalogue)
+    described = staged_catalogue.drop("product_index", "style_cluster", "segment_rates")
+    full = with_labels(picks.join(broadcast_if_small(described), "product_id"))
+    weights = X.join_presets(
+        full.drop("demand_spike_weight").withColumnRenamed("preset", "list_preset"), "list_preset"
+    ).withColumn("preset", F.col("list_preset"))
+    list_key = F.to_json(F.struct(*LIST))
+    shown = stage(
+        weights.select(
+            list_key.alias("list_key"),
+            "rank",
+            "product_id",
+            S.rnd(F.col("pick_score"), 6).alias("pick_score"),
+            *response_columns(),
+            score_breakdown(F.col("propensity_score")).alias("score_breakdown"),
+        ),
+        "whole_lists",
+    )
+    total = staged_catalogue.agg(F.count(F.lit(1))).scalar()
+    rows = asked.select(key, "user_id", "weight_preset", list_key.alias("list_key"))
+    listed = lookup_join(rows, shown, "list_key").drop("list_key")
+    names = [name for name in listed.columns if name not in (key, "user_id", "weight_preset")]
+    return listed.select(
+        key, "user_id", *names, F.col("weight_preset").alias("weights_used"),
+        total.alias("total_candidates"),
+    )
+
+
+def answer(
+    requests: DataFrame, users: DataFrame, staged_catalogue: DataFrame, scorer=rated
+) -> DataFrame:
+    """Every request answered: ranked products for known users, the cold start list for
+    unknown ones, and one row with the ``reject_reason`` for requests outside the limits."""
+    checked = validate_requests(requests)
+    valid = checked.filter("reject_reason is null").drop("reject_reason")
+    ranked = recommend_all(valid, users, staged_catalogue, scorer)
+    rejected = checked.filter("reject_reason is not null").select(
+        "request_id", "user_id", "reject_reason"
+    )
+    return ranked.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(
+        rejected, allowMissingColumns=True
+    )
+
+
 def recommend_all(
     requests: DataFrame, users: DataFrame, staged_catalogue: DataFrame, scorer=rated
 ) -> DataFrame:
@@ -296,7 +416,7 @@ def score_pairs(
         "product_id",
         *[F.when(known, column).alias(name) for name, column in columns.items()],
         F.col("weight_preset").alias("weights_used"),
-        F.when(~known, "User or product not found").alias("error"),
+        F.when(~known, fixed.NOT_FOUND_TEXT).alias("error"),
     )
 
 

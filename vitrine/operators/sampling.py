@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine import fixed
 from vitrine.functions import scalars as S
 from vitrine.operators.features import NEGATIVE_TYPES, negatives_only, purchases_only
 from vitrine.operators.ordering import lowest_by_hash
@@ -43,7 +44,8 @@ def train_split(rows: DataFrame, key: Column, train_share: int = 80) -> DataFram
 
 
 def sample_users(users: DataFrame, n: int) -> DataFrame:
-    return users.orderBy(F.md5(F.col("user_id").cast("string")), "user_id").limit(n)
+    """The n users of least hash: a threshold is worked out, no rows meet in one task."""
+    return users.filter(lowest_by_hash(users, "user_id", F.lit(n)))
 
 
 def with_candidates(requests: DataFrame, n_products: int) -> DataFrame:
@@ -51,8 +53,11 @@ def with_candidates(requests: DataFrame, n_products: int) -> DataFrame:
 
     A user starts at a hashed position and walks with a hashed stride that shares no
     factor with the catalogue size, so no position comes up twice.  Start and stride are
-    worked out once per request, the positions by plain arithmetic.
+    worked out once per request, the positions by plain arithmetic.  Without a pool size the
+    default counts; a pool under one is empty, and so is an empty catalogue's.
     """
+    if not n_products:
+        return requests.withColumn("product_index", F.lit(0).cast("bigint")).filter(F.lit(False))
     digest = F.md5(F.col("user_id").cast("string"))
 
     def number(first: int) -> Column:
@@ -67,8 +72,10 @@ def with_candidates(requests: DataFrame, n_products: int) -> DataFrame:
             "walk_stride": F.get(usable, F.pmod(number(9), F.size(usable)).cast("int")),
         }
     )
-    last = F.least(F.col("candidate_pool"), F.lit(n_products)).cast("bigint") - 1
-    steps = walks.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    wanted = F.coalesce("candidate_pool", F.lit(fixed.CANDIDATE_POOL[0]))
+    last = F.least(wanted, F.lit(n_products)).cast("bigint") - 1
+    first = F.lit(0).cast("bigint")
+    steps = walks.withColumn("step", F.explode(F.when(last >= 0, F.sequence(first, last))))
     place = F.col("walk_start") + F.col("step") * F.col("walk_stride")
     return steps.withColumn("product_index", F.pmod(place, F.lit(n_products).cast("bigint"))).drop(
         "walk_start", "walk_stride", "step"

@@ -279,8 +279,6 @@ CTES: dict[str, str] = {
                {case("o_orderpriority", REQUEST_PRESETS, "null")} as weight_preset,
                o_orderstatus = 'O' as apply_diversity
         from orders""",
-    "resolved": """
-        select r.*, coalesce(p.preset, 'balanced') as preset_used from requests r left join presets p on p.preset = r.weight_preset""",
 }
 
 
@@ -330,7 +328,6 @@ def mmr(source: str, rid: str, steps: int) -> dict[str, str]:
         f"select *, {t}::int as rank, score - pen as pick_score from pick_{t}" for t in range(1, steps + 1)
     )
     worse = rnd(f"a.diversity * {similarity('a', 'b')}", 4)
-    final = rnd("greatest(0.0::double, any_value(a.score) - coalesce(max(worse), 0))", 6)
     parts["picks"] = f"""
         select {rid}, rank, product_id, {rnd("any_value(pick_score)", 6)} as pick_score,
                greatest(0.0::double, any_value(score) - coalesce(max(worse), 0.0::double)) as kept
@@ -444,6 +441,16 @@ def ranking(requests: str, steps: int, diverse: bool = True, rid: str = "request
     return parts
 
 
+def whole(requests: str, steps: int) -> dict[str, str]:
+    """CTEs to ``of_segment``: the list of one user of each segment, given to all its users."""
+    parts = ranking(requests, steps)
+    parts["walked"] = "select a.*, product_index from asked a cross join (select product_index from catalogue)"
+    parts["of_segment"] = """
+        select r.* exclude (user_id), u.user_id from ranked r
+        join users v on v.user_id = r.user_id join users u on u.segment = v.segment"""
+    return parts
+
+
 RANKED = f"""
     user_id, rank, product_id, {rnd("pick_score", 6)} as pick_score, final_score,
     {", ".join(f"{rnd(c, 4)} as {c}" for c in ["propensity_score", "inventory_pressure", "margin_score", "trend_score", "demand_spike"])},
@@ -560,7 +567,12 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
                   strftime(end_time, '%Y-%m-%dT%H:%M:%S') as end_time from run_base""",
         RUNS,
     ),
-    "read_runs": ("select * from run_maps", RUNS),
+    "read_runs": (
+        """select * from run_maps union all
+           select distinct 'status_' || l_linestatus, null, 'corrupt', null, null::double,
+                  '{"run_name": "cut_status_' || l_linestatus || '", "params": {"a' from lineitem""",
+        RUNS,
+    ),
     "log_run": ("select * from run_maps", RUNS),
     "feature_tables": BOTH_STORES,
     # Projections
@@ -705,9 +717,9 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
         from requests r join presets p on p.preset =
             (case when r.weight_preset in (select preset from presets) then r.weight_preset else 'balanced' end)""",
     "product_score_join": f"""
-        select product_id, {rnd("coalesce(inventory_pressure, 0.5)", 6)} as inventory_pressure, {at(6, "demand_spike")}
-        from products left join (select * from pressure where inventory_pressure >= 0.35::double) using (product_id)
-        left join spikes using (product_id)""",
+        select product_id, {at(6, "inventory_pressure")}, {rnd("coalesce(demand_spike, 0.5)", 6)} as demand_spike
+        from products left join pressure using (product_id)
+        left join (select * from spikes where product_id in (select l_partkey from lineitem)) using (product_id)""",
     # Aggregations
     "purchase_count_30d": "select user_id, purchase_count_30d from history where purchase_count_30d > 0",
     "avg_price_paid": f"select user_id, {at(4, 'avg_price_paid')} from history",
@@ -793,7 +805,7 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
             "listed": """
                 select *, row_number() over (order by score desc, product_id) as rank
                 from (select *, 0.5::double * trend_score + 0.3::double * margin_score + 0.2::double * avg_rating / 5.0::double as score
-                      from (select * from catalogue order by product_id limit 200)) order by score desc, product_id limit 20""",
+                      from catalogue) order by score desc, product_id limit 20""",
         },
     ),
     "training_union": "select event_id, user_id, product_id, label from samples",
@@ -821,10 +833,47 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "weighted_score": ("select user_id, product_id, score from scored", POOL),
     "recommend": (f"select {RANKED} from ranked", ranking(asked(), 20)),
     "recommend_stream": (f"select {RANKED} from ranked", ranking(asked(), 20)),
+    "nested_response": (f"select {RANKED} from ranked", ranking(asked(), 20)),
+    "recommend_whole": (
+        f"select {RANKED} from of_segment",
+        whole("""select segment as request_id, min(user_id) as user_id, 20 as top_k, 'balanced' as weight_preset
+                 from users group by segment""", 20),
+    ),
+    "recommend_whole_presets": (
+        "select user_id, weight_preset as weights_used, rank, product_id, final_score from of_segment",
+        whole("""select segment || ':' || preset as request_id, user_id, 5 as top_k, preset as weight_preset
+                 from (select segment, min(user_id) as user_id from users group by segment) cross join presets""", 5),
+    ),
     "recommend_plain": (
         f"select {RANKED} from ranked",
         ranking(asked(weight_preset="'clearance'"), 10, diverse=False),
     ),
+    "answer_requests": (
+        """select request_id, user_id, weight_preset as weights_used, total_candidates,
+                  null as reject_reason, least(top_k, total_candidates) as n_products, first_product
+           from (select request_id, user_id, any_value(weight_preset) as weight_preset, any_value(top_k) as top_k, count(*) as total_candidates,
+                        arg_min(product_id, place) as first_product
+                 from (select *, row_number() over (partition by request_id order by score desc, product_id) as place from scored)
+                 group by 1, 2)
+           union all
+           select request_id, user_id, 'cold_start', (select count(*) from part), null, least(top_k, (select count(*) from part)),
+                  (select product_id from catalogue order by 0.5::double * trend_score + 0.3::double * margin_score
+                                                       + 0.2::double * avg_rating / 5.0::double desc, product_id limit 1)
+           from checked where reject_reason is null and user_id not in (select user_id from web)
+           union all
+           select request_id, user_id, null, null, reject_reason, 0, null from checked where reject_reason is not null""",
+        {
+            "checked": """
+                select request_id, user_id, coalesce(top_k, 20) as top_k, coalesce(candidate_pool, 100) as candidate_pool,
+                       coalesce(weight_preset, 'balanced') as weight_preset,
+                       case when user_id is null then 'user_id' when top_k not between 1 and 100 then 'top_k'
+                            when candidate_pool not between 10 and 500 then 'candidate_pool' end as reject_reason
+                from requests""",
+            "asked": "select * from checked where reject_reason is null and user_id in (select user_id from web)",
+            "walked": walk("asked"),
+            "scored": scored("walked"),
+        },
+    ),
     "score_pair": (
         "select request_id, wanted_user as user_id, wanted_product as product_id, "
         + f"case when known then {rnd(TOTAL, 4)} end as final_score, "
@@ -896,7 +945,16 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "psi": ("select feature, psi, out_of_range_count from psi_table", TWO),
     "psi_level": ("select feature, level from psi_levels", TWO),
     "drift_check": (
-        "select feature, 'PSI' as metric, psi as value, 0.1::double as threshold, level from psi_levels where level <> 'none'",
+        """select feature, 'PSI' as metric, psi as value, 0.1::double as threshold, level from psi_levels where level <> 'none'
+           union all
+           select feature, 'chi2_pvalue', null::double, case when statistic > q99 then 0.01 else 0.05 end::double,
+                  case when statistic > q99 then 'critical' else 'warning' end
+           from (select feature, sum(pow(observed + 1e-10::double - (share * size + 1e-10::double), 2) / (share * size + 1e-10::double)) as statistic,
+                        count(*) - 1 as dof from chi_rows group by 1)
+           join (values (1, 3.841458820694124, 6.634896601021213), (2, 5.991464547107979, 9.210340371976180),
+                        (3, 7.814727903251179, 11.34486673014437), (4, 9.487729036781154, 13.27670413598760),
+                        (5, 11.07049769351635, 15.08627246938899), (6, 12.59158724374398, 16.81189382977093)) q(dof, q95, q99) using (dof)
+           where statistic > q95""",
         TWO,
     ),
     "chi_square": (

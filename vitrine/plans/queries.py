@@ -263,7 +263,7 @@ def run_entries(base: DataFrame) -> DataFrame:
         ("metrics", "n_lines", F.col("n_lines").cast("double").cast("string"), 0),
         ("metrics", "mean_discount", F.lit("0.0"), 0),
         ("metrics", "mean_discount", F.col("mean_discount").cast("string"), 1),
-        ("tags", "summary", F.substring(F.concat(F.lit("lines of "), "run_name"), 1, 250), 0),
+        ("tags", "summary", F.concat(F.lit("lines of "), "run_name"), 0),
     ]
     late = F.col("ship_year") >= 1998
     entries.append(
@@ -326,7 +326,25 @@ def write_runs(s: Store) -> DataFrame:
 
 @query
 def read_runs(s: Store) -> DataFrame:
-    return flat_maps(write_and_read(s).filter("corrupt_record is null"))
+    """The runs as written, and a damaged line as a row that keeps its text."""
+    path = f"{staging.session_folder(s.spark)}/runs-{staging.uuid.uuid4().hex}"
+    runlog.write_runs(logged_runs(s), path)
+    # One line of the log of each experiment is cut off in the middle.
+    names = s.table("lineitem").select(F.concat(F.lit("status_"), "l_linestatus").alias("experiment"))
+    cut = F.concat(F.lit('{"run_name": "cut_'), "experiment", F.lit('", "params": {"a'))
+    names.distinct().select("experiment", cut.alias("value")).write.mode("append").partitionBy(
+        "experiment"
+    ).text(path)
+    read = runlog.read_runs(s.spark, path)
+    damaged = read.filter("corrupt_record is not null").select(
+        "experiment",
+        "run_name",
+        F.lit("corrupt").alias("kind"),
+        F.lit(None).cast("string").alias("key"),
+        F.lit(None).cast("double").alias("number"),
+        F.col("corrupt_record").alias("text"),
+    )
+    return flat_maps(read.filter("corrupt_record is null")).unionByName(damaged)
 
 
 @query
@@ -696,9 +714,9 @@ def preset_join(s: Store) -> DataFrame:
 
 @query
 def product_score_join(s: Store) -> DataFrame:
-    # Only pressed products have a stored score here, so the default shows for the others.
-    pressed = s.pressure.filter(F.col("inventory_pressure") >= 0.35)
-    scored = R.product_scores(s.staged_products, pressed, s.spikes)
+    # Scores of sold products only, so the default shows for the others.
+    sold = s.shipments.select("product_id").distinct()
+    scored = R.product_scores(s.staged_products, s.pressure, s.spikes.join(sold, "product_id", "left_semi"))
     return rounded(scored.select("product_id", "inventory_pressure", "demand_spike"))
 
 
@@ -1056,6 +1074,22 @@ def recommend_plain(s: Store) -> DataFrame:
     return shown(ranked_for(s, asked))
 
 
+@query
+def recommend_whole(s: Store) -> DataFrame:
+    """The whole catalogue as candidates, for users of every segment."""
+    catalogue = s.catalogue
+    return shown(R.recommend_whole(s.request_all(), s.staged_users, catalogue))
+
+
+@query
+def recommend_whole_presets(s: Store) -> DataFrame:
+    asked = X.under_every_preset(s.request_all(top_k=5).drop("weight_preset"))
+    asked = asked.withColumn("request_id", F.concat_ws(":", "user_id", "weight_preset"))
+    catalogue = s.catalogue
+    ranked = R.recommend_whole(asked, s.staged_users, catalogue)
+    return ranked.select("user_id", "weights_used", "rank", "product_id", "final_score")
+
+
 @query
 def recommend_stream(s: Store) -> DataFrame:
     """The requests of ``recommend`` arriving as a stream of files."""
@@ -1067,7 +1101,20 @@ def recommend_stream(s: Store) -> DataFrame:
         arriving, s.staged_users, catalogue, f"{base}/answers", f"{base}/progress"
     )
     answered.awaitTermination()
-    return shown(s.spark.read.parquet(f"{base}/answers").drop("batch"))
+    return shown(s.spark.read.parquet(f"{base}/answers").drop("batch", "reject_reason"))
+
+
+@query
+def answer_requests(s: Store) -> DataFrame:
+    """Requests with their own settings: ranked, cold start for users the store does not
+    know, and the reason for those outside the limits."""
+    catalogue = s.catalogue
+    store = s.staged_users.join(s.web.select("user_id").distinct(), "user_id", "left_semi")
+    answered = R.answer(s.requests, store, catalogue)
+    return answered.groupBy("request_id", "user_id", "weights_used", "total_candidates", "reject_reason").agg(
+        F.count("product_id").alias("n_products"),
+        F.min_by("product_id", "rank").alias("first_product"),
+    )
 
 
 @query
@@ -1110,7 +1157,10 @@ def sale_badge_report(s: Store) -> DataFrame:
 
 @query
 def nested_response(s: Store) -> DataFrame:
-    return R.nested_response(ranked_for(s, s.request_all()))
+    """Nested and unpacked again: nothing is lost on the way."""
+    nested = R.nested_response(ranked_for(s, s.request_all()))
+    flat = nested.select("request_id", "user_id", "weights_used", "total_candidates", F.inline("products"))
+    return shown(flat)
 
 
 @query
@@ -1215,8 +1265,10 @@ def score_zscore(s: Store) -> DataFrame:
 
 @query
 def drift_check(s: Store) -> DataFrame:
+    """All alerts; the p-value of a chi-square alert is ``chi_square_p``'s to show."""
     alerts = drift.check(*reference_and_current(s))
-    return alerts.filter("metric = 'PSI'").select("feature", "metric", "value", "threshold", "level")
+    value = F.when(F.col("metric") == "PSI", F.col("value"))
+    return alerts.select("feature", "metric", value.alias("value"), "threshold", "level")
 
 
 @query

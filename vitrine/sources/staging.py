@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,8 +12,8 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a side may have to be sent whole to every executor.
-MAX_BROADCAST_ROWS = 500_000
+# Bytes that a staged side may have in its files to be sent whole to every executor.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,13 +25,28 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="vitrine-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, removed when its JVM ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/staged/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def planned_bytes(table: DataFrame) -> int:
+    """The planner's size estimate, known without running anything; for a staged table
+    that of its files."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def stage(table: DataFrame, name: str) -> DataFrame:
     """Write a table once to the shared folder and read it back.
 
@@ -38,7 +54,7 @@ def stage(table: DataFrame, name: str) -> DataFrame:
     which the planner uses to choose between broadcast and shuffle joins.
     """
     spark = table.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
@@ -55,10 +71,13 @@ def together(
         return {name: future.result() for name, future in running.items()}
 
 
-def broadcast_if_small(staged: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a staged table for broadcast when its row count allows it.
+def is_small(staged: DataFrame) -> bool:
+    return planned_bytes(staged) <= MAX_BROADCAST_BYTES
+
+
+def broadcast_if_small(staged: DataFrame) -> DataFrame:
+    """Mark a staged table for broadcast when the bytes of its files allow it.
 
-    The count comes from the file footers.  Above the bound the table is returned
-    unmarked and the join shuffles.
+    Above the bound the table is returned unmarked and the join shuffles.
     """
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    return F.broadcast(staged) if is_small(staged) else staged

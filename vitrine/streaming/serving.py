@@ -10,12 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrine.operators import drift
-from vitrine.operators.features import validate_requests
-from vitrine.operators.ranking import recommend_all
+from vitrine.operators import ranking
 
 
 def each_batch(
@@ -37,13 +35,10 @@ def each_batch(
 def serve(
     requests: DataFrame, users: DataFrame, catalogue: DataFrame, output: str, checkpoint: str
 ) -> StreamingQuery:
-    """Answer a stream of recommendation requests; requests outside the limits are left out."""
-
-    def answer(batch: DataFrame) -> DataFrame:
-        valid = validate_requests(batch).filter(F.col("reject_reason").isNull())
-        return recommend_all(valid, users, catalogue)
-
-    return each_batch(requests, answer, output, checkpoint)
+    """Answer a stream of recommendation requests, each in some way (``ranking.answer``)."""
+    return each_batch(
+        requests, lambda batch: ranking.answer(batch, users, catalogue), output, checkpoint
+    )
 
 
 def watch(
