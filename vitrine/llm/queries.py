@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import decontaminate, jaccard, lines, mixing, pii, quality, ranker, rans, repeats, secrets
 from vitrine.llm.common import documents
+from vitrine.llm.span_sql import PII_SQL, SECRETS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -176,30 +177,5 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.star
 GROUP BY d.doc_id
 """
 
-SQL["op8_suffix_dedup"] = r"""
-WITH raw AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
-), starts AS (
-  SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS s, h FROM raw
-), strings AS (
-  SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS string FROM starts
-), firsts AS (
-  SELECT doc_id, s, min(doc_id) OVER (PARTITION BY hash(string), hash(string || 'x')) AS first FROM strings
-), bytes AS (
-  SELECT doc_id, unnest(range(0, length(h) // 2)) AS b, h FROM raw
-), flagged AS (
-  SELECT b.doc_id, b.b, substr(b.h, 2 * b.b + 1, 2) AS byte,
-         coalesce(max(CASE WHEN f.first < f.doc_id THEN 1 END) OVER (
-           PARTITION BY b.doc_id ORDER BY b.b ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone
-  FROM bytes b LEFT JOIN firsts f ON f.doc_id = b.doc_id AND f.s = b.b
-), edged AS (
-  SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS gone_before FROM flagged
-), summed AS (
-  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (gone = 1 AND gone_before = 0) AS n_spans,
-         string_agg(byte, '' ORDER BY b) FILTER (gone = 0) AS kept
-  FROM edged GROUP BY doc_id
-)
-SELECT r.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
-       coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-FROM raw r LEFT JOIN summed s ON s.doc_id = r.doc_id
-"""
+SQL["op6_pii"] = PII_SQL
+SQL["op9_secret_scans"] = SECRETS_SQL
