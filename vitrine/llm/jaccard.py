@@ -10,10 +10,11 @@ Rarity is a count over all documents in a fixed number of hash buckets.  Its err
 moves a shingle in the order; any order gives the same links.
 
 Equal sets are one class from the start.  Inside a group of documents that share a prefix
-shingle not all pairs are formed: first each is paired with one of the group, which joins
-groups of near copies.  Then, in groups that still hold several components, the documents
-outside the largest are paired with those of other components.  No link between components
-is lost, and links inside one cannot change it.
+shingle not all pairs are formed: first each is paired with the document that shares most
+of its prefix, an original rather than a copy, which joins groups of near copies.  Then, in
+groups that still hold several components, the documents outside the largest are paired
+with those of other components.  No link between components is lost, and links inside one
+cannot change it.
 
 Words are runs without ASCII white space, A-Z lower-cased.  Fewer than five words are one
 shingle.  Null, empty and blank texts have no shingles and link with nothing, not with each
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
@@ -48,6 +49,8 @@ SLICES = 64
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 # Documents above a bucket's usual load from which a shingle's group is spread over tasks.
 HOT = 10_000
+# Rounds of pairing with one pivot of each group.
+PIVOTS = 3
 SPREAD = 64
 
 
@@ -214,44 +217,35 @@ def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
 
 
 def _groups(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token: those that share it with another, next to the group's first.
-
-    Streams; of a group only the first row and the last are held.
-    """
+    """Rows sorted by token: those that share it with another.  Streams, holding one row."""
     held = None  # the last row seen, whose successor is not known yet
-    first = None  # token, node and size of the first of the group that is open
+    before = None  # the token before it
     for batch in batches:
-        columns = [np.asarray(batch.column(k)) for k in range(4)]
+        columns = [np.asarray(batch.column(k)) for k in range(5)]
         if held is not None:
             columns = [np.concatenate([[a], b]).astype(b.dtype) for a, b in zip(held, columns)]
         if not len(columns[0]):
             continue
         held = [c[-1] for c in columns]
-        done = [c[:-1] for c in columns]
-        if len(done[0]):
-            found, first = _shared(done, held[0], first, schema)
+        if len(columns[0]) > 1:
+            found = _shared([c[:-1] for c in columns], before, held[0], schema)
+            before = columns[0][-2]
             if found.num_rows:
                 yield found
     if held is not None:
-        found, _ = _shared([np.array([x]) for x in held], None, first, schema)
+        found = _shared([np.array([x]) for x in held], before, None, schema)
         if found.num_rows:
             yield found
 
 
-def _shared(columns, following, first, schema):
-    token, node, size, hot = columns
-    starts = np.append(True, token[1:] != token[:-1])
-    at = np.flatnonzero(starts)[np.cumsum(starts) - 1]
-    pivot, pivot_size = node[at].copy(), size[at].copy()
-    before = ~starts
-    if first is not None and token[0] == first[0]:
-        pivot[at == 0], pivot_size[at == 0] = first[1], first[2]
-        before[0] = True
-    after = np.append(token[1:] == token[:-1], following is not None and token[-1] == following)
-    pick = before | after | hot.astype(bool)
-    arrays = token, node, size.astype(np.int32), pivot, pivot_size.astype(np.int32), hot.astype(bool)
-    found = pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in arrays], schema=schema)
-    return found, (token[-1], pivot[-1], pivot_size[-1])
+def _shared(columns, before, following, schema) -> pa.RecordBatch:
+    token, node, size, place, hot = columns
+    same = token[1:] == token[:-1]
+    pick = np.append(before is not None and token[0] == before, same)
+    pick |= np.append(same, following is not None and token[-1] == following)
+    pick |= hot.astype(bool)  # a hot token's other rows may be in another task
+    arrays = token, node, size.astype(np.int32), place.astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in arrays], schema=schema)
 
 
 def profiles(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -330,6 +324,124 @@ def _sizes_fit(x: str, y: str) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
+def _groups_once(shared: DataFrame) -> DataFrame:
+    """(token, node, n, pos, weight): one token for each group of nodes.
+
+    Copies share many tokens, all with the same nodes; one of these is enough, with each
+    node's first place among them.  A node's weight is the share of its prefix that others
+    have too: an original has a higher one than its edited copies.
+    """
+    alike = (
+        shared.groupBy("token")
+        .agg(
+            F.count("*").alias("nodes"),
+            F.sum(F.shiftright(F.xxhash64("node"), 20)).alias("sum"),
+            F.bit_xor(F.xxhash64(F.lit("x"), "node")).alias("mixed"),
+        )
+        .where("nodes > 1")
+    )
+    alike = stage(alike, "token-groups")
+    named = alike.groupBy("nodes", "sum", "mixed").agg(F.min("token").alias("group"))
+    group_of = alike.join(named, ["nodes", "sum", "mixed"]).select("token", "group")
+    weights = shared.groupBy("node").agg((F.count("*") / F.max("n")).alias("weight"))
+    return (
+        shared.join(group_of, "token")
+        .groupBy(F.col("group").alias("token"), "node")
+        .agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+        .join(weights, "node")
+        .select("token", "node", "n", "pos", "weight")
+    )
+
+
+def _may_link(n: str, pos: str, other_n: str, other_pos: str) -> Column:
+    """Whether sizes and places leave room for enough common shingles.
+
+    If a common prefix shingle is a pair's first, all others come after it in both sets.
+    Linked sets pass at their first common shingle, so they pass somewhere.
+    """
+    rest = F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos))
+    return _sizes_fit(n, other_n) & (9 * rest >= 4 * (F.col(n) + F.col(other_n)))
+
+
+def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links (a, b) that join what is linked: not all links, but all that join components.
+
+    In each round the rows outside their group's largest component are paired with one
+    pivot of the group, by falling weight.  What is still apart after the last round is
+    paired with all rows of other components, so nothing is missed.
+    """
+    heaviest = Window.partitionBy("token").orderBy(F.desc("weight"), "node")
+    pivots = stage(
+        groups.withColumn("place", F.row_number().over(heaviest))
+        .where(F.col("place") <= PIVOTS)
+        .select(
+            "token",
+            "place",
+            F.col("node").alias("pivot"),
+            F.col("n").alias("pivot_n"),
+            F.col("pos").alias("pivot_pos"),
+        ),
+        "pivots",
+    )
+    tried, links = None, None
+    for place in range(1, PIVOTS + 2):
+        if links is None:
+            members = groups.withColumn("component", F.col("node"))
+            outside = open_rows = members.withColumn("largest", F.lit(None).cast("long"))
+        else:
+            placed = components(links)
+            members = groups.join(placed, "node", "left").withColumn(
+                "component", F.coalesce("component", "node")
+            )
+            members = stage(members, "group-members")
+            parts = members.groupBy("token", "component").count()
+            torn = (
+                parts.groupBy("token")
+                .agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("largest"))
+                .where("parts > 1")
+                .select("token", "largest")
+            )
+            open_rows = stage(members.join(torn, "token"), "open-groups")
+            outside = open_rows.where("component != largest")
+            if not outside.limit(1).count():
+                break
+        if place <= PIVOTS:
+            these = pivots.where(F.col("place") == place).drop("place")
+            if links is not None:
+                of_pivot = members.select("token", F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
+                these = these.join(of_pivot, ["token", "pivot"])
+            else:
+                these = these.withColumn("of_pivot", F.col("pivot"))
+            pairs = (
+                outside.join(these, "token")
+                .where(
+                    (F.col("component") != F.col("of_pivot"))
+                    & _may_link("n", "pos", "pivot_n", "pivot_pos")
+                )
+                .select(*_pair("node", "pivot"))
+            )
+        else:
+            x, y = outside.alias("x"), open_rows.alias("y")
+            # Both outside the largest: formed once, from the smaller node.
+            once = (F.col("y.component") == F.col("y.largest")) | (
+                F.col("x.node") < F.col("y.node")
+            )
+            apart = F.col("x.component") != F.col("y.component")
+            pairs = (
+                x.join(y, F.col("x.token") == F.col("y.token"))
+                .where(apart & once & _may_link("x.n", "x.pos", "y.n", "y.pos"))
+                .select(*_pair("x.node", "y.node"))
+            )
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "candidate-pairs")
+        new = stage(_verified(docs, classes, pairs), "verified-pairs")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        links = new if links is None else links.unionAll(new)
+    return links
+
+
 def linked(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n, node, component): component is a node, the same for linked rows."""
     rows, load = profiles(docs)
@@ -345,69 +457,23 @@ def linked(docs: DataFrame) -> DataFrame:
         lambda b: _prefixes(b, schema, known), struct
     )
     index = prefixes.select(
-        "node", "n", F.explode(F.arrays_zip("prefix", "hot")).alias("p")
-    ).select(F.col("p.prefix").alias("token"), "node", "n", F.col("p.hot").alias("hot"))
+        "node", "n", F.posexplode(F.arrays_zip("prefix", "hot")).alias("pos", "p")
+    ).select(F.col("p.prefix").alias("token"), "node", "n", "pos", F.col("p.hot").alias("hot"))
     salt = F.when(F.col("hot"), F.pmod("node", F.lit(SPREAD))).otherwise(0)
     dealt = index.withColumn("salt", salt).repartition("token", "salt").sortWithinPartitions(
-        "token", "salt", "n", "node"
-    )
-    group_struct = StructType.fromDDL(
-        "token long, node long, n int, pivot long, pivot_n int, hot boolean"
+        "token", "salt"
     )
+    group_struct = StructType.fromDDL("token long, node long, n int, pos int")
     group_schema = to_arrow_schema(group_struct)
     shared = stage(
-        dealt.select("token", "node", "n", "hot").mapInArrow(
+        dealt.select("token", "node", "n", "pos", "hot").mapInArrow(
             lambda b: _groups(b, group_schema), group_struct
         ),
         "shared-prefixes",
     )
-
-    # A hot token's group is in several tasks, each with a first of its own: pair these too.
-    firsts = shared.where("hot").select("token", "pivot", "pivot_n").distinct()
-    tops = firsts.groupBy("token").agg(F.min(F.struct("pivot_n", "pivot")).alias("top"))
-    bridges = firsts.join(tops, "token").select(
-        F.col("pivot").alias("node"), F.col("pivot_n").alias("n"), "top.pivot", "top.pivot_n"
-    )
-    tried = stage(
-        shared.select("node", "n", "pivot", "pivot_n")
-        .unionAll(bridges)
-        .where((F.col("node") != F.col("pivot")) & _sizes_fit("n", "pivot_n"))
-        .select(*_pair("node", "pivot"))
-        .distinct(),
-        "pivot-pairs",
-    )
-    first = stage(_verified(docs, classes, tried), "pivot-links")
-    placed = components(first)
-
-    # What the groups still hold apart.
-    members = stage(
-        shared.select("token", "node", "n")
-        .join(placed, "node", "left")
-        .withColumn("component", F.coalesce("component", "node")),
-        "group-members",
-    )
-    parts = members.groupBy("token", "component").count()
-    torn = (
-        parts.groupBy("token")
-        .agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("largest"))
-        .where("parts > 1")
-        .select("token", "largest")
-    )
-    open_rows = stage(members.join(torn, "token"), "open-groups")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    outside = F.col("x.component") != F.col("x.largest")
-    # Both outside the largest: formed once, from the smaller node.
-    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.node") < F.col("y.node"))
-    rest = (
-        x.where(outside)
-        .join(y, F.col("x.token") == F.col("y.token"))
-        .where((F.col("x.component") != F.col("y.component")) & once & _sizes_fit("x.n", "y.n"))
-        .select(*_pair("x.node", "y.node"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    second = stage(_verified(docs, classes, stage(rest, "open-pairs")), "open-links")
-    found = components(first.unionAll(second))
+    groups = stage(_groups_once(shared), "prefix-groups")
+    links = _links(docs, classes, groups)
+    found = components(links)
     return (
         rows.join(found, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
