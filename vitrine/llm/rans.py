@@ -47,8 +47,9 @@ STEPS = 256
 # Tokens from which a block is closed; it ends with a whole document.
 BLOCK = 1 << 18
 MAGIC = b"RANS"
-# Words whose ids a worker remembers.
-REMEMBERED = 500_000
+# Pieces of text whose ids a worker remembers, and characters that are encoded together.
+REMEMBERED = 800_000
+GROUP = 1 << 19
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -154,11 +155,27 @@ def decode(payload: bytes, table: Table, checkpoint: int = 0) -> np.ndarray:
     return out
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
+    return x ^ (x >> np.uint64(29))
+
+
+STEP = 0xD6E8FEB86659FD93
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+MARK = "\x01"
+LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+STOP[list(b".,;:!?|")] = True
+
+
 class Encoder:
-    """Ids of texts, white-space pieces remembered across the worker's tasks.
+    """Ids of texts, pieces between spaces and newlines remembered across the worker's tasks.
 
-    No token spans ASCII space or newline, so a text's ids are those of its pieces in order.
-    New pieces are encoded many at a time, with a piece between them whose id is known.
+    No token spans a space or newline, or a letter and a stop after it, so a text's ids are
+    those of its pieces in order.  Equal pieces of many texts are looked up once, and where
+    the tokenizer ignores case so does the lookup.  New pieces are encoded many at a time:
+    words of letters are told apart by their word ends, other pieces by a piece of known id
+    between them.
     """
 
     def __init__(self, path: str):
@@ -168,51 +185,107 @@ class Encoder:
         # This module travels by value and is made anew for each task; the library stays.
         kept = tokenizers.__dict__.setdefault("remembered_pieces", {})
         if path not in kept:
-            kept[path] = (tokenizers.Tokenizer.from_file(path), {"": b""})
-        self.tokenizer, self.pieces = kept[path]
-        self.mark = "\x01"
-        self.mark_ids = self._ids(self.mark)
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if self.mark not in p]
-        for piece in set(new) - set(plain):
-            self.pieces[piece] = np.array(self._ids(piece), "<u2").tobytes()
-        if len(self.mark_ids) != 1:
-            for piece in plain:
-                self.pieces[piece] = np.array(self._ids(piece), "<u2").tobytes()
-            return
-        for low in range(0, len(plain), 2000):
-            some = plain[low : low + 2000]
-            ids = np.array(self._ids(f" {self.mark} ".join(some)), "<u2")
+            tokenizer = tokenizers.Tokenizer.from_file(path)
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+            kept[path] = tokenizer, {}, ends
+        self.tokenizer, self.pieces, self.ends = kept[path]
+        self.mark_ids = self._ids(MARK)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        self.caseless = all(
+            (self._ids(f"{c}x{c}") == self._ids(f"{c}x{c}".upper())).all()
+            if len(self._ids(f"{c}x{c}")) == len(self._ids(f"{c}x{c}".upper()))
+            else False
+            for c in letters
+        )
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, "<u2")
+
+    def _learn(self, new: list[bytes]) -> None:
+        words: list[bytes] = []
+        others: list[bytes] = []
+        for piece in new:
+            text = piece.decode()
+            # In lower case, as the tokenizer sees it, some letters become letter and mark.
+            (words if text.isalpha() and text.lower().isalpha() else others).append(piece)
+        for low in range(0, len(words), 500):
+            some = words[low : low + 500]
+            ids = self._ids(b" ".join(some).decode())
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                others += some  # a vocabulary without word ends
+                continue
+            for piece, a, b in zip(some, np.append(0, cuts[:-1]), cuts):
+                self.pieces[piece] = ids[a:b].tobytes()
+        mark = MARK.encode()
+        single = [p for p in others if mark in p or len(self.mark_ids) != 1]
+        for piece in single:
+            self.pieces[piece] = self._ids(piece.decode()).tobytes()
+        others = [p for p in others if p not in self.pieces] if single else others
+        for low in range(0, len(others), 500):
+            some = others[low : low + 500]
+            ids = self._ids(f" {MARK} ".join(p.decode() for p in some))
             cuts = np.flatnonzero(ids == self.mark_ids[0])
             for piece, a, b in zip(some, np.append(0, cuts + 1), np.append(cuts, len(ids))):
                 self.pieces[piece] = ids[a:b].tobytes()
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        needed = set().union(*split)
-        new = needed.difference(self.pieces)
+        data = [t.encode() for t in texts]
+        joined = b"\n".join([*data, b""])
+        if self.caseless and b"<|" not in joined:  # special tokens are told by case
+            joined = joined.lower()
+        raw = np.frombuffer(joined, np.uint8)
+        blank = (raw == 32) | (raw == 10)
+        first = np.flatnonzero(~blank & np.append(True, blank[:-1]))
+        after = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
+        # A stop after a letter at the end of a piece is a piece of its own.
+        cut = STOP[raw[after - 1]] & (after - first > 1) & LETTER[raw[np.maximum(after - 2, 0)]]
+        place = np.arange(len(first)) + np.cumsum(cut) - cut
+        begins, stops = (np.empty(len(first) + int(cut.sum()), np.int64) for _ in range(2))
+        begins[place], stops[place] = first, after - cut
+        begins[place[cut] + 1], stops[place[cut] + 1] = after[cut] - 1, after[cut]
+        first, after = begins, stops
+        power = np.cumprod(np.full(len(raw), STEP, np.uint64))
+        inverse = np.cumprod(np.full(len(raw), pow(STEP, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTES[raw] * power)])
+        hashes = mix((sums[after] - sums[first]) * inverse[first] ^ (after - first).astype(np.uint64))
+        _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        spans = zip(first[example].tolist(), after[example].tolist())
+        distinct = [joined[a:b] for a, b in spans]
+        new = [p for p in distinct if p not in self.pieces]
         if len(self.pieces) + len(new) > REMEMBERED:
             self.pieces.clear()
-            self.pieces[""] = b""
-            new = needed - {""}
+            new = distinct
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
+        found = [self.pieces[p] for p in distinct]
+        flat = np.frombuffer(b"".join(found), "<u2")
+        sizes = np.array([len(x) // 2 for x in found], np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        length = sizes[which]
+        starts = np.cumsum(length) - length
+        ids = flat[np.repeat(offsets[which] - starts, length) + np.arange(length.sum())]
+        ends = np.cumsum([len(d) + 1 for d in data])
+        edges = np.searchsorted(first, np.append(0, ends))
+        bounds = np.append(starts, len(ids))[edges]
         tail = np.array([end], "<u2").tobytes()
-        lookup = self.pieces.__getitem__
-        return [b"".join(map(lookup, pieces)) + tail for pieces in split]
+        return [ids[a:b].tobytes() + tail for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], schema: pa.Schema, path: str, end: int):
     """(doc_id, part, at, ids): at counts the tokens of the part before the document."""
     encoder, at = Encoder(path), 0
     for whole in batches:
-        for low in range(0, whole.num_rows, 256):
-            batch = whole.slice(low, 256)
-            ids = encoder.encode([t.as_py() for t in batch.column("text")], end)
+        low = 0
+        while low < whole.num_rows:
+            texts = whole.column("text")[low : low + 512].to_pylist()
+            upto = int(np.searchsorted(np.cumsum([len(t) for t in texts]), GROUP))
+            batch = whole.slice(low, max(1, min(upto, len(texts))))
+            low += batch.num_rows
+            ids = encoder.encode(texts[: batch.num_rows], end)
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
             starts = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
