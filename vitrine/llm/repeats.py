@@ -50,12 +50,12 @@ CONTEXT = WIDTH + WINDOWS - 1
 # Bits of a sample filter: 16 MB, whatever the corpus.
 FILTER_BITS = 1 << 27
 # Text bytes for each bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 # Text bytes that are sampled together, and samples that a map task holds before sending.
 SLICE = 1 << 16
 HELD = 1 << 19
 # Windows sorted in one pass.
-PASS = 1 << 22
+PASS = 1 << 20
 FIRST = -(1 << 63)
 
 U = np.uint64
@@ -372,7 +372,7 @@ def repeats(texts: DataFrame, total_bytes: int) -> DataFrame:
     sent = StructType.fromDDL("bucket long, blob binary")
     sent_schema = to_arrow_schema(sent)
 
-    def strings(key, part: pd.DataFrame) -> pd.DataFrame:
+    def strings(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         low = np.sort(np.concatenate([np.frombuffer(b, "<u4") for b in part["blob"]]))
         twice = np.unique(low[1:][low[1:] == low[:-1]])
         share = FILTER_BITS // buckets
@@ -472,7 +472,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("covers")),
         "covered-bytes",
     )
-    covers = broadcast_below(covers, 64 + 16 * F.size("covers")).alias("c")
+    covers = covers.alias("c")
     later = broadcast_below(
         stage(equal.where("last > first").select("hash", "first"), "copied-texts"), 64
     ).alias("e")
