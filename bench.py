@@ -17,7 +17,8 @@ HEADLINE = [
     "users_view", "products_view", "user_features", "demand_training_set", "demand_spike",
     "training_pairs", "propensity_score", "optimal_discount", "inventory_pressure",
     "similar_products", "auc", "drift_check", "sale_badge_report", "recommend",
-    "preset_comparison", "inventory_train",
+    "preset_comparison", "recommend_whole", "inventory_train", "propensity_train",
+    "elasticity_train", "demand_train",
 ]
 
 

@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.classification import GBTClassifier
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import fixed
@@ -21,10 +21,12 @@ from vitrine.operators import elasticity as E
 from vitrine.operators import metrics
 from vitrine.operators.inventory import inventory_features, pressure
 from vitrine.operators.sampling import train_split
-from vitrine.sources.staging import stage
+from vitrine.sources.staging import planned_bytes, stage, together
 
 SEED = 42
-TREES = {"propensity": 50, "elasticity": 40, "inventory": 40, "demand": 50}
+TREES = {"propensity": 300, "elasticity": 200, "inventory": 250, "demand": 300}
+# Bytes of a training partition: each tree level is a job, so small sets get few tasks.
+PARTITION_BYTES = 4 << 20
 
 
 def settings(name: str, depth: int, trees: int | None) -> dict:
@@ -41,6 +43,7 @@ def settings(name: str, depth: int, trees: int | None) -> dict:
 def held_out(rows: DataFrame, key: Column, name: str) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows, staged because boosting reads them many times."""
     rows = stage(train_split(rows, key), name)
+    rows = rows.coalesce(max(1, -(-planned_bytes(rows) // PARTITION_BYTES)))
     return rows.filter("split = 'train'"), rows.filter("split = 'val'")
 
 
@@ -123,13 +126,17 @@ def train_elasticity(
     rows = E.experiment_features(experiments, products, category_codes)
     key = F.concat_ws(":", "product_id", "discount_pct", "conversion_rate")
     train, val = held_out(rows, key, "experiments")
-    models = []
-    for arm in (0, 1):
+
+    def fit(arm: int) -> PipelineModel:
         stages = [
             VectorAssembler(inputCols=ELASTICITY_INPUT, outputCol="features"),
             GBTRegressor(labelCol="conversion_rate", **settings("elasticity", 5, trees)),
         ]
-        models.append(Pipeline(stages=stages).fit(train.filter(F.col("treated") == arm)))
+        return Pipeline(stages=stages).fit(train.filter(F.col("treated") == arm))
+
+    # The arms share nothing, and each is many short jobs.
+    fitted = together(rows.sparkSession, control=lambda: fit(0), treated=lambda: fit(1))
+    models = [fitted["control"], fitted["treated"]]
     errors = []
     for arm, model in enumerate(models):
         scored = model.transform(val.filter(F.col("treated") == arm))
@@ -232,3 +239,20 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def save_all(path: str, models: dict[str, PipelineModel], **tables: DataFrame) -> None:
+    """Write models, each with its scaler, and the tables that scoring needs besides them."""
+    for name, model in models.items():
+        save(model, f"{path}/models/{name}")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path}/tables/{name}")
+
+
+def load_all(
+    spark: SparkSession, path: str, models: list[str], tables: list[str]
+) -> tuple[dict[str, PipelineModel], dict[str, DataFrame]]:
+    return (
+        {name: load(f"{path}/models/{name}") for name in models},
+        {name: spark.read.parquet(f"{path}/tables/{name}") for name in tables},
+    )

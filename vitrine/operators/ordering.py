@@ -45,25 +45,41 @@ def dense_index(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(numbered, key)
 
 
-def lowest_by_hash(rows: DataFrame, key: str, n: Column | int) -> Column:
+def slice_sizes(rows: DataFrame, key: str, **counts: Column) -> DataFrame:
+    """Staged counts of each slice, as many as are asked for, from one pass over the rows."""
+    sliced = rows.withColumn("slice_no", slice_of(key)).groupBy("slice_no")
+    wanted = counts or {"size": F.lit(True)}
+    return stage(sliced.agg(*[F.count_if(c).alias(n) for n, c in wanted.items()]), "slice_sizes")
+
+
+def lowest_by_hash(
+    rows: DataFrame, key: str, n: Column | int, sizes: DataFrame | None = None
+) -> Column:
     """Condition that holds for the n rows whose unique key has the lowest md5.
 
     The slice in which the n-th row lies is found from the slices' sizes and only that
     slice is ranked.  The result is a comparison with one value, so the sample itself is
-    a filter of a scan.  ``n`` is a number or a scalar subquery.
+    a filter of a scan.  ``n`` is a number or a scalar subquery; ``sizes`` may come from
+    ``slice_sizes``, with a row for each slice and its ``size``.
     """
     wanted = F.lit(n) if isinstance(n, int) else n
-    sliced = rows.select(key).withColumn("slice_no", slice_of(key))
+    sizes = slice_sizes(rows, key) if sizes is None else sizes
+    earlier = Window.orderBy("slice_no").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "slice_no", "size", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before")
+    )
     has_last = (F.col("before") < wanted) & (F.col("before") + F.col("size") >= wanted)
     order = Window.partitionBy("slice_no").orderBy(digest(key), key)
     place = F.struct(digest(key).alias("hash"), F.col(key).alias("key"))
     last = (
-        sliced.join(F.broadcast(slice_starts(sliced).filter(has_last)), "slice_no")
+        rows.select(key)
+        .withColumn("slice_no", slice_of(key))
+        .join(F.broadcast(starts.filter(has_last)), "slice_no")
         .withColumn("inside", F.row_number().over(order))
         .filter(F.col("inside") == wanted - F.col("before"))
         .select(place)
     ).scalar()
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).scalar()
     return (wanted > total) | F.coalesce(place <= last, F.lit(False))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vitrine import fixed
 from vitrine.functions import scalars as S
-from vitrine.operators.features import NEGATIVE_TYPES, negatives_only, purchases_only
-from vitrine.operators.ordering import lowest_by_hash
+from vitrine.operators.features import NEGATIVE_TYPES, negatives_only
+from vitrine.operators.ordering import lowest_by_hash, slice_sizes
 
 # Strides for walking the catalogue.  A stride that divides its size is passed over;
 # no catalogue is a multiple of all of them.
@@ -16,8 +16,13 @@ STRIDES = [7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 860281
 
 
 def sampled_negative(events: DataFrame, ratio: int) -> Column:
-    n_positive = purchases_only(events).agg(F.count(F.lit(1))).scalar()
-    return lowest_by_hash(negatives_only(events), "event_id", n_positive * ratio)
+    """Condition of the sampled negatives; the counts of both kinds come from one pass."""
+    kind = F.col("event_type")
+    sizes = slice_sizes(
+        events, "event_id", size=kind.isin(NEGATIVE_TYPES), positives=kind == "purchase"
+    )
+    n_positive = sizes.agg(F.coalesce(F.sum("positives"), F.lit(0))).scalar()
+    return lowest_by_hash(negatives_only(events), "event_id", n_positive * ratio, sizes)
 
 
 def negative_sample(events: DataFrame, ratio: int = 3) -> DataFrame:

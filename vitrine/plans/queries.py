@@ -29,6 +29,7 @@ from vitrine.streaming import serving
 
 CODES = fixed.PART_TYPE_CODES
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+FITTED: dict[tuple[str, str, str], tuple] = {}
 
 
 def query(function: Callable[["Store"], DataFrame]) -> Callable[["Store"], DataFrame]:
@@ -133,6 +134,38 @@ class Store:
         self.need("users", "products")
         return P.fit_rates(self.web, self.staged_users, self.staged_products)
 
+    @cached_property
+    def training_pairs(self) -> DataFrame:
+        self.need("users", "products")
+        pairs = P.training_pairs(self.web, self.staged_users, self.staged_products, CODES)
+        return staging.stage(pairs, "training_pairs")
+
+    def fitted(self, name: str) -> tuple:
+        """Trained models and their metrics.  Trained once for a folder and session, since
+        several queries score with them."""
+        key = self.spark.sparkContext.applicationId, self.folder, name
+        if key not in FITTED:
+            FITTED[key] = getattr(self, f"_fit_{name}")()
+        return FITTED[key]
+
+    def _fit_propensity(self) -> tuple:
+        columns = list(V.propensity_columns(self.staged_users, CODES))
+        model, table = L.train_propensity(self.training_pairs, columns)
+        return model, staging.stage(table, "propensity_metrics")
+
+    def _fit_elasticity(self) -> tuple:
+        control, treated, table = L.train_elasticity(self.experiments, self.staged_products, CODES)
+        return control, treated, staging.stage(table, "elasticity_metrics")
+
+    def _fit_inventory(self) -> tuple:
+        model, table = L.train_inventory(self.staged_products, CODES)
+        return model, staging.stage(table, "inventory_metrics")
+
+    def _fit_demand(self) -> tuple:
+        self.need("products", "daily")
+        model, table = L.train_demand(D.training_set(self.daily, self.staged_products, CODES))
+        return model, staging.stage(table, "demand_metrics")
+
     @property
     def discounts(self) -> DataFrame:
         return E.optimal_discounts(self.staged_products, self.line_model)
@@ -367,14 +400,39 @@ def feature_tables(s: Store) -> DataFrame:
 
 @query
 def save_load_model(s: Store) -> DataFrame:
-    model, _ = L.train_inventory(s.staged_products, CODES, trees=10)
-    path = f"{staging.shared_folder(s.spark)}/models-{staging.uuid.uuid4().hex}"
-    L.save(model, path)
-    before = L.model_pressure(s.staged_products, model, CODES)
-    after = L.model_pressure(s.staged_products, L.load(path), CODES)
-    return before.join(
-        after.withColumnRenamed("inventory_pressure", "loaded_pressure"), "product_id"
-    )
+    """Scores of all models before they are saved and after they are loaded."""
+    control, treated = s.fitted("elasticity")[:2]
+    models = {
+        "propensity": s.fitted("propensity")[0],
+        "control": control,
+        "treated": treated,
+        "inventory": s.fitted("inventory")[0],
+    }
+    if s.fitted("demand")[0]:
+        models["demand"] = s.fitted("demand")[0]
+    path = f"{staging.session_folder(s.spark)}/models-{staging.uuid.uuid4().hex}"
+    L.save_all(path, models, baseline=D.demand_baseline(s.daily))
+    loaded, kept = L.load_all(s.spark, path, list(models), ["baseline"])
+
+    def scores(m: dict, baseline: DataFrame) -> DataFrame:
+        pairs = L.with_propensity(s.training_pairs, m["propensity"])
+        uplift = L.grid_uplift(s.staged_products, m["control"], m["treated"], CODES)
+        parts = [
+            pairs.select(F.lit("propensity").alias("model"), F.col("event_id").alias("id"), F.col("propensity_score").alias("score")),
+            uplift.where("discount > 0.29 and discount < 0.31").select(F.lit("elasticity"), "product_id", "uplift"),
+            L.model_pressure(s.staged_products, m["inventory"], CODES).select(F.lit("inventory"), "product_id", "inventory_pressure"),
+        ]
+        if "demand" in m:
+            spikes = D.demand_spikes(L.model_demand(s.latest, m["demand"]), baseline, s.staged_products)
+            parts.append(spikes.select(F.lit("demand"), "product_id", "demand_spike"))
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.unionAll(part)
+        return table
+
+    before = scores(models, D.demand_baseline(s.daily))
+    after = scores(loaded, kept["baseline"]).withColumnRenamed("score", "loaded_score")
+    return before.join(after, ["model", "id"])
 
 
 # Projections and scalar rules
@@ -958,10 +1016,7 @@ def sample_users(s: Store) -> DataFrame:
 
 @query
 def propensity_train(s: Store) -> DataFrame:
-    s.need("users", "products")
-    pairs = P.training_pairs(s.web, s.staged_users, s.staged_products, CODES)
-    columns = list(V.propensity_columns(s.staged_users, CODES))
-    return L.train_propensity(pairs, columns)[1]
+    return s.fitted("propensity")[1]
 
 
 @query
@@ -972,11 +1027,8 @@ def propensity_score(s: Store) -> DataFrame:
 
 @query
 def propensity_score_trees(s: Store) -> DataFrame:
-    s.need("users", "products")
-    pairs = P.training_pairs(s.web, s.staged_users, s.staged_products, CODES)
-    columns = list(V.propensity_columns(s.staged_users, CODES))
     catalogue = s.catalogue
-    model, _ = L.train_propensity(pairs, columns, trees=20)
+    model = s.fitted("propensity")[0]
     score = L.propensity_scorer(model, s.staged_users, CODES)
     ranked = R.recommend(s.request_all(), s.staged_users, catalogue, score)
     return ranked.select("user_id", "rank", "product_id", "propensity_score", "final_score")
@@ -984,7 +1036,7 @@ def propensity_score_trees(s: Store) -> DataFrame:
 
 @query
 def elasticity_train(s: Store) -> DataFrame:
-    return L.train_elasticity(s.experiments, s.staged_products, CODES)[2]
+    return s.fitted("elasticity")[2]
 
 
 @query
@@ -1005,13 +1057,13 @@ def optimal_discount(s: Store) -> DataFrame:
 
 @query
 def optimal_discount_trees(s: Store) -> DataFrame:
-    control, treated, _ = L.train_elasticity(s.experiments, s.staged_products, CODES, trees=10)
+    control, treated, _ = s.fitted("elasticity")
     return E.best_of_grid(L.grid_uplift(s.staged_products, control, treated, CODES))
 
 
 @query
 def inventory_train(s: Store) -> DataFrame:
-    return L.train_inventory(s.staged_products, CODES)[1]
+    return s.fitted("inventory")[1]
 
 
 @query
@@ -1021,13 +1073,13 @@ def inventory_pressure(s: Store) -> DataFrame:
 
 @query
 def inventory_pressure_trees(s: Store) -> DataFrame:
-    model, _ = L.train_inventory(s.staged_products, CODES, trees=20)
+    model = s.fitted("inventory")[0]
     return inventory.with_labels(L.model_pressure(s.staged_products, model, CODES))
 
 
 @query
 def demand_train(s: Store) -> DataFrame:
-    return L.train_demand(D.training_set(s.daily, s.staged_products, CODES))[1]
+    return s.fitted("demand")[1]
 
 
 @query
@@ -1037,7 +1089,7 @@ def predict_demand(s: Store) -> DataFrame:
 
 @query
 def demand_spike_trees(s: Store) -> DataFrame:
-    model, _ = L.train_demand(D.training_set(s.daily, s.staged_products, CODES), trees=20)
+    model = s.fitted("demand")[0]
     predicted = L.model_demand(s.latest, model) if model else D.predict_closed_form(s.latest)
     return D.demand_spikes(predicted, D.demand_baseline(s.daily), s.staged_products)
 
