@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from tests.compare import connect, difference
+from vitrine.plans.oracle import statements
 
 FOLDER = "/root/testdata/sf0.001"
-SQL = contract.oracle_sql()
+SQL = statements()
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def duck():
 
 
 def test_every_statement_belongs_to_a_query():
-    assert set(SQL) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
