@@ -97,7 +97,7 @@ def targets(documents: DataFrame) -> DataFrame:
 def quotas(sources: DataFrame, block_words: int) -> DataFrame:
     """Block length, number of blocks and number of draws of each source."""
     size = F.col("source_size")
-    blocks = F.ceil(size / block_words)
+    blocks = F.greatest(F.ceil(size / block_words), F.lit(1))
     return (
         sources.withColumn("block", F.greatest(F.ceil(size / blocks), F.lit(1)))
         .withColumn("n_blocks", F.ceil(size / F.col("block")))
