@@ -85,3 +85,21 @@ def test_similarity_values(spark):
     assert like(1, "a", 0) >= 0.8
     assert like(2, "b", 4) == 0.04
     assert like(1, "b", 2) == 0.62
+
+
+def test_rounding_next_to_ties(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [0.123449995, 0.12345, 0.1234499999, 0.12344999999999999, -0.12345, -0.123449995, 2.00005, 1e9 + 0.00005, 0.0, -0.0]
+    values += [k / 20000 for k in range(1, 4000, 37)] + [(k + 0.4999999) / 10000 for k in range(50)]
+
+    def exact(x):
+        twelve = Decimal(repr(x)).quantize(Decimal("1e-12"), ROUND_HALF_UP)
+        return float(twelve.quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+    assert column_of(spark, values, "double", lambda c: S.rnd(c, 4)) == [exact(x) for x in values]
+
+
+def test_rounding_of_what_fits_no_decimal(spark):
+    got = column_of(spark, [1e25, float("inf"), None], "double", lambda c: S.rnd(c, 2))
+    assert got == [1e25, float("inf"), None]

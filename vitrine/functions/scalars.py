@@ -9,14 +9,13 @@ from vitrine import fixed
 
 
 def rnd(value: Column, places: int) -> Column:
-    """Round half away from zero.
+    """Round half away from zero, as decimals are rounded.
 
-    A value within a ten-thousandth of a tie counts as the tie, so the order in which a
-    sum was added up cannot move the last place.  Plain arithmetic on doubles: it stays
-    in generated code and does not overflow.  Adding zero turns -0.0 into 0.0.
+    The value is taken to twelve decimal places first, which is below any meaning and above
+    the noise that the order of a sum leaves.  What does not fit a decimal stays as it is.
     """
-    scaled = value.cast("double") * float(10**places)
-    return F.rint(scaled + F.signum(scaled) * 1e-4) / float(10**places) + 0.0
+    exact = value.cast("double").try_cast("decimal(30,12)")
+    return F.coalesce(F.round(exact, places).cast("double"), value.cast("double"))
 
 
 def clip(value: Column, low: float, high: float) -> Column:

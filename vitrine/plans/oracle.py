@@ -16,8 +16,7 @@ KINDS = list(fixed.PART_TYPE_CODES)
 
 
 def rnd(value: str, places: int) -> str:
-    scaled = f"(({value})::double * {10**places}::double)"
-    return f"(round({scaled} + sign({scaled}) * 0.0001::double) / {10**places}::double + 0.0::double)"
+    return f"round(({value})::double::decimal(30, 12), {places})::double"
 
 
 def case(value: str, names: dict, other: str) -> str:
