@@ -141,16 +141,17 @@ def spike_score(predicted: Column, baseline: Column) -> Column:
     return S.rnd(F.least(F.lit(1.0), predicted / (usable * fixed.SPIKE_FACTOR)), 4)
 
 
-def demand_spikes(predicted: DataFrame, baseline: DataFrame, products: DataFrame) -> DataFrame:
-    """Spike per product; the trend score stands in where there is too little to learn from."""
-    samples = baseline.agg(F.coalesce(F.sum("n_samples"), F.lit(0))).scalar()
+def demand_spikes(
+    predicted: DataFrame, baseline: DataFrame, products: DataFrame, fallback: bool = False
+) -> DataFrame:
+    """Spike per product.  With ``fallback`` the trend score stands in for it, which is for
+    callers whose model could not be trained."""
+    spike = spike_score(F.col("predicted_demand"), F.col("baseline"))
     return (
         predicted.join(baseline.select("product_id", "baseline"), "product_id", "left")
         .join(products.select("product_id", "trend_score"), "product_id")
         .select(
             "product_id",
-            F.when(samples < fixed.MIN_DEMAND_SAMPLES, F.col("trend_score"))
-            .otherwise(spike_score(F.col("predicted_demand"), F.col("baseline")))
-            .alias("demand_spike"),
+            (F.col("trend_score") if fallback else spike).alias("demand_spike"),
         )
     )

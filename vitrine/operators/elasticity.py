@@ -124,8 +124,8 @@ def outcome() -> list[Column]:
     ]
 
 
-def optimal_discounts(products: DataFrame, model: DataFrame) -> DataFrame:
-    """Best discount of every product under the response lines, without any shuffle."""
+def with_discounts(products: DataFrame, model: DataFrame) -> DataFrame:
+    """Products with their best discount under the response lines as columns."""
     options = F.transform(
         discounts(),
         lambda d: F.struct(
@@ -136,8 +136,11 @@ def optimal_discounts(products: DataFrame, model: DataFrame) -> DataFrame:
             (d * unit_margin()).alias("loss"),
         ),
     )
-    return (
-        with_lines(products, model)
-        .withColumn("best", F.array_max(options))
-        .select("product_id", *outcome())
-    )
+    best = with_lines(products, model).withColumn("best", F.array_max(options))
+    return best.select(*[F.col(f"`{name}`") for name in products.columns], *outcome())
+
+
+def optimal_discounts(products: DataFrame, model: DataFrame) -> DataFrame:
+    """Best discount of every product, without any shuffle."""
+    names = ["optimal_discount_pct", "expected_uplift", "expected_margin_loss", "true_margin_loss"]
+    return with_discounts(products, model).select("product_id", *names)

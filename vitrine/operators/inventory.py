@@ -9,7 +9,8 @@ from vitrine import fixed
 from vitrine.functions import scalars as S
 
 
-def inventory_features(products: DataFrame, category_codes: dict[str, int]) -> DataFrame:
+def feature_columns(category_codes: dict[str, int]) -> dict[str, Column]:
+    """The features of a product row, zero where something is missing."""
     initial = F.when(
         F.col("initial_stock").isNotNull(), F.greatest("initial_stock", F.lit(1))
     )
@@ -30,25 +31,35 @@ def inventory_features(products: DataFrame, category_codes: dict[str, int]) -> D
         "category_encoded": S.encode(F.col("category"), category_codes),
     }
     columns["ageing_score"] = columns["days_normalized"] * (1 - F.col("sell_through_rate"))
-    filled = [
-        F.coalesce(columns[name].cast("double"), F.lit(0.0)).alias(name)
+    return {
+        name: F.coalesce(columns[name].cast("double"), F.lit(0.0))
         for name in fixed.INVENTORY_COLUMNS
-    ]
-    return products.select("product_id", *filled)
+    }
 
 
-def pressure() -> Column:
-    """Deadstock pressure of a row of ``inventory_features``."""
+def inventory_features(products: DataFrame, category_codes: dict[str, int]) -> DataFrame:
+    filled = feature_columns(category_codes)
+    return products.select("product_id", *[c.alias(name) for name, c in filled.items()])
+
+
+def pressure(features: dict[str, Column] | None = None) -> Column:
+    """Deadstock pressure of features, by default of a row of ``inventory_features``."""
+    of = features or {name: F.col(name) for name in fixed.INVENTORY_COLUMNS}
     total = (
-        0.35 * F.col("ageing_score")
-        + 0.30 * (1 - F.col("sell_through_rate"))
-        + 0.20 * F.col("days_normalized")
-        + 0.10 * (1 - F.col("trend_score"))
-        + 0.05 * (1 - S.clip(F.col("stock_buffer"), 0.0, 1.0))
+        0.35 * of["ageing_score"]
+        + 0.30 * (1 - of["sell_through_rate"])
+        + 0.20 * of["days_normalized"]
+        + 0.10 * (1 - of["trend_score"])
+        + 0.05 * (1 - S.clip(of["stock_buffer"], 0.0, 1.0))
     )
     return S.clip(total, 0.0, 1.0)
 
 
+def with_pressure(products: DataFrame, category_codes: dict[str, int]) -> DataFrame:
+    """Products with their pressure as a column: no join."""
+    return products.withColumn("inventory_pressure", pressure(feature_columns(category_codes)))
+
+
 def inventory_pressure(products: DataFrame, category_codes: dict[str, int]) -> DataFrame:
     return inventory_features(products, category_codes).select(
         "product_id", pressure().alias("inventory_pressure")

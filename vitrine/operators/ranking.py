@@ -24,19 +24,24 @@ KEPT = ["category", "brand", *fixed.PRODUCT_TRAINING]
 
 def product_scores(
     products: DataFrame,
-    pressure: DataFrame,
+    pressure: DataFrame | None,
     spikes: DataFrame,
     discounts: DataFrame | None = None,
     rates: DataFrame | None = None,
 ) -> DataFrame:
     """Everything ranking needs to know of a product, computed once for all users.
 
-    Missing pressure and spike count as one half.  Each input holds a product once, but
+    What ``products`` already has of pressure and discount is taken as it is and needs no
+    join.  Missing pressure and spike count as one half.  Each input holds a product once, but
     ``rates``, which is a model from ``fit_rates``.
     """
     half = F.lit(fixed.DEFAULT_SCORE)
-    scored = products.select("product_id", "style_cluster", *KEPT)
-    scored = scored.join(pressure, "product_id", "left").join(spikes, "product_id", "left")
+    known = ["inventory_pressure", "optimal_discount_pct", "expected_uplift"]
+    known = [name for name in known if name in products.columns]
+    scored = products.select("product_id", "style_cluster", *KEPT, *known)
+    if pressure is not None:
+        scored = scored.join(pressure, "product_id", "left")
+    scored = scored.join(spikes, "product_id", "left")
     scored = scored.withColumns(
         {
             "inventory_pressure": F.coalesce("inventory_pressure", half),

@@ -16,7 +16,7 @@ KINDS = list(fixed.PART_TYPE_CODES)
 
 
 def rnd(value: str, places: int) -> str:
-    return f"round(({value})::double::decimal(30, 12), {places})::double"
+    return f"round(({value})::double::varchar::decimal(30, 12), {places})::double"
 
 
 def case(value: str, names: dict, other: str) -> str:
@@ -226,8 +226,7 @@ CTES: dict[str, str] = {
         from product_features left join tails using (product_id), day""",
     "spikes": f"""
         select product_id,
-               case when (select sum(n_samples) from baseline) < 100 then p.trend_score
-                    else {rnd("least(1.0::double, demand_7d / ((case when coalesce(baseline, 0) = 0 then 1.0 else baseline end) * 1.5::double))", 4)} end as demand_spike
+               {rnd("least(1.0::double, demand_7d / ((case when coalesce(baseline, 0) = 0 then 1.0 else baseline end) * 1.5::double))", 4)} as demand_spike
         from latest left join baseline using (product_id) join products p using (product_id)""",
     "arm_lines": """
         select category, treated, regr_slope(conversion_rate, discount_pct) as slope,

@@ -181,13 +181,8 @@ class Store:
             lines=lambda: self.line_model,
             rates=lambda: self.rate_model,
         )
-        scored = R.product_scores(
-            products,
-            self.pressure,
-            parts["spikes"],
-            E.optimal_discounts(products, parts["lines"]),
-            parts["rates"],
-        )
+        priced = E.with_discounts(inventory.with_pressure(products, CODES), parts["lines"])
+        scored = R.product_scores(priced, None, parts["spikes"], None, parts["rates"])
         return R.catalogue(scored, parts["positions"])
 
     def request_all(self, **options) -> DataFrame:
@@ -1091,7 +1086,9 @@ def predict_demand(s: Store) -> DataFrame:
 def demand_spike_trees(s: Store) -> DataFrame:
     model = s.fitted("demand")[0]
     predicted = L.model_demand(s.latest, model) if model else D.predict_closed_form(s.latest)
-    return D.demand_spikes(predicted, D.demand_baseline(s.daily), s.staged_products)
+    return D.demand_spikes(
+        predicted, D.demand_baseline(s.daily), s.staged_products, fallback=model is None
+    )
 
 
 @query
@@ -1203,7 +1200,11 @@ def mmr_rerank(s: Store) -> DataFrame:
 @query
 def sale_badge_report(s: Store) -> DataFrame:
     return R.sale_badges(
-        R.product_scores(s.staged_products, s.pressure, s.spikes, s.discounts)
+        R.product_scores(
+            E.with_discounts(inventory.with_pressure(s.staged_products, CODES), s.line_model),
+            None,
+            staging.stage(s.spikes, "spikes"),
+        )
     )
 
 
