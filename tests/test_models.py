@@ -73,9 +73,13 @@ def test_training_set_imputes_missing_products(spark, shop):
 def test_spike_falls_back_to_trend_with_few_samples(spark, shop):
     daily = daily_table(spark, [("p001", d, 1) for d in range(25)])
     latest = D.latest_features(daily, shop["products"], CODES)
-    spikes = D.demand_spikes(D.predict_closed_form(latest), D.demand_baseline(daily), shop["products"])
+    predicted, baseline = D.predict_closed_form(latest), D.demand_baseline(daily)
+    spikes = D.demand_spikes(predicted, baseline, shop["products"], fallback=True)
     trends = {r.product_id: r.trend_score for r in shop["products"].collect()}
     assert {r.product_id: r.demand_spike for r in spikes.collect()} == trends
+    # Without a model there is nothing to fall back from: the closed form needs no samples.
+    plain = {r.product_id: r.demand_spike for r in D.demand_spikes(predicted, baseline, shop["products"]).collect()}
+    assert plain != trends and all(0 <= v <= 1 for v in plain.values())
     model, metrics = L.train_demand(D.training_set(daily, shop["products"], CODES))
     assert model is None and tuple(metrics.first()) == (0.0, 0.0, 0)
 
