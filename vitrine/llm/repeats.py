@@ -53,7 +53,7 @@ FILTER_BITS = 1 << 27
 BUCKET_BYTES = 8 << 20
 # Text bytes that are sampled together, and samples that a map task holds before sending.
 SLICE = 1 << 16
-HELD = 1 << 19
+HELD = 1 << 18
 # Windows sorted in one pass.
 PASS = 1 << 20
 FIRST = -(1 << 63)
