@@ -42,14 +42,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SCALE = 20
 LOW = np.uint64(1 << 31)
 HALF = np.uint64(32)
-LANES = 512
-STEPS = 256
+LANES = 1024
+STEPS = 128
 # Tokens from which a block is closed; it ends with a whole document.
 BLOCK = 1 << 18
 MAGIC = b"RANS"
 # Pieces of text whose ids a worker remembers, and characters that are encoded together.
-REMEMBERED = 800_000
-GROUP = 1 << 19
+REMEMBERED = 1_000_000
+GROUP = 1 << 20
 
 
 def scaled(counts: np.ndarray) -> np.ndarray:
@@ -255,13 +255,14 @@ class Encoder:
         _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         spans = zip(first[example].tolist(), after[example].tolist())
         distinct = [joined[a:b] for a, b in spans]
-        new = [p for p in distinct if p not in self.pieces]
+        found = list(map(self.pieces.get, distinct))
+        new = [p for p, ids in zip(distinct, found) if ids is None]
         if len(self.pieces) + len(new) > REMEMBERED:
             self.pieces.clear()
-            new = distinct
+            new, found = distinct, [None] * len(distinct)
         if new:
             self._learn(new)
-        found = [self.pieces[p] for p in distinct]
+            found = [self.pieces[p] if ids is None else ids for p, ids in zip(distinct, found)]
         flat = np.frombuffer(b"".join(found), "<u2")
         sizes = np.array([len(x) // 2 for x in found], np.int64)
         offsets = np.cumsum(sizes) - sizes
@@ -304,8 +305,8 @@ def _tokenized(batches: Iterator[pa.RecordBatch], schema: pa.Schema, path: str,
 def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     counts = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for ids in batch.column("ids"):
-            counts += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=1 << 16)
+        ids = b"".join(batch.column("ids").to_pylist())
+        counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=1 << 16)
     used = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], schema=schema)
 
