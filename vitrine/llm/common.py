@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Rows of an Arrow batch that a Python task works on at a time.
+PORTION = 512
 # Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 # Most bytes of a table that is sent whole to every executor.
@@ -36,3 +44,10 @@ def broadcast_below(staged: DataFrame, row_bytes: int | Column) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, where repeating it would compute it again."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def portions(batches: Iterator, rows: int = PORTION) -> Iterator:
+    """The batches in small pieces, so that what is made of a piece stays small."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from vitrine.llm.common import broadcast_below, text_key
+from vitrine.llm.common import broadcast_below, portions, text_key
 from vitrine.llm.components import components
 from vitrine.sources.staging import stage
 
@@ -132,7 +132,7 @@ def _profile(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[p
     """Set size and fingerprint of each text, and at the end the bucket counts in slices."""
     counts = np.zeros(1 << BUCKET_BITS, np.uint32)
     shift = np.uint64(64 - BUCKET_BITS)
-    for batch in batches:
+    for batch in portions(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         if not sets:
             continue
@@ -173,7 +173,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], schema: pa.Schema, shared) -> I
     """(node, n, prefix, hot): the rarest shingles of each set, and whether each is hot."""
     shift = np.uint64(64 - BUCKET_BITS)
     load, usual = shared.value
-    for batch in batches:
+    for batch in portions(batches):
         nodes, sizes, first, hot, lengths = [], [], [], [], []
         for values in shingle_sets(batch.column("text").to_pylist()):
             heavy = load[(values >> shift).astype(np.int64)]
@@ -201,7 +201,7 @@ def _sets(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.R
 
     Of the prefixes half of each hash is kept, which can only let more candidates through.
     """
-    for batch in batches:
+    for batch in portions(batches):
         rows: list[list] = [[], [], [], []]
         for values in shingle_sets(batch.column("text").to_pylist()):
             p = prefix_length(len(values))

@@ -21,6 +21,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.llm.common import portions
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SYMBOLS = "#*$%&|<>"
@@ -102,11 +104,8 @@ def measure(text: str, packer: zstandard.ZstdCompressor, bands=BANDS) -> tuple:
 
 
 def _measured(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    import gc
-
-    gc.disable()  # millions of short-lived tuples, no cycles
     packer = zstandard.ZstdCompressor(level=LEVEL)
-    for batch in batches:
+    for batch in portions(batches):
         found = [
             measure(text.as_py() or "", packer) for text in batch.column(batch.num_columns - 1)
         ]
@@ -136,11 +135,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     struct = docs.schema
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
-
-        gc.disable()
         packer = zstandard.ZstdCompressor(level=LEVEL)
-        for batch in batches:
+        for batch in portions(batches):
             at = batch.schema.get_field_index("text")
             mask = [measure(text.as_py() or "", packer)[6] for text in batch.column(at)]
             yield batch.filter(pa.array(mask, pa.bool_()))
