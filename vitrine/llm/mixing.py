@@ -15,7 +15,8 @@
    construction, and orders them by hash.
 
 All draws are hashes of a seed, so a lost task gives the same rows again.  Null text has no
-words.  Null is a source of its own.  Rows alike in doc_id, source and text are copies of
+words.  Null is a source of its own.  Sources are few against documents: what is worked out
+for them, a row each, passes through one task; what is worked out for documents never does.  Rows alike in doc_id, source and text are copies of
 one another and are streamed one after the other.  An empty table gives no rows, and a
 corpus without words takes nothing.
 """
