@@ -48,7 +48,7 @@ STEPS = 128
 BLOCK = 1 << 18
 MAGIC = b"RANS"
 # Pieces of text whose ids a worker remembers, and characters that are encoded together.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 GROUP = 1 << 20
 
 
