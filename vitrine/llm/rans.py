@@ -48,7 +48,7 @@ STEPS = 128
 BLOCK = 1 << 18
 MAGIC = b"RANS"
 # Pieces of text whose ids a worker remembers, and characters that are encoded together.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 GROUP = 1 << 20
 
 
@@ -189,8 +189,8 @@ class Encoder:
             vocabulary = tokenizer.get_vocab()
             ends = np.zeros(max(vocabulary.values()) + 1, bool)
             ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-            kept[path] = tokenizer, {}, ends
-        self.tokenizer, self.pieces, self.ends = kept[path]
+            kept[path] = tokenizer, [{}, {}], ends
+        self.tokenizer, self.generations, self.ends = kept[path]
         self.mark_ids = self._ids(MARK)
         letters = "abcdefghijklmnopqrstuvwxyz"
         self.caseless = all(
@@ -255,14 +255,23 @@ class Encoder:
         _, example, which = np.unique(hashes, return_index=True, return_inverse=True)
         spans = zip(first[example].tolist(), after[example].tolist())
         distinct = [joined[a:b] for a, b in spans]
+        # Pieces in use move to the young generation; those that are not go with the old one.
+        self.pieces, old = self.generations
         found = list(map(self.pieces.get, distinct))
-        new = [p for p, ids in zip(distinct, found) if ids is None]
-        if len(self.pieces) + len(new) > REMEMBERED:
-            self.pieces.clear()
-            new, found = distinct, [None] * len(distinct)
+        new = []
+        for at, ids in enumerate(found):
+            if ids is None:
+                piece = distinct[at]
+                ids = old.get(piece)
+                if ids is None:
+                    new.append(piece)
+                else:
+                    self.pieces[piece] = found[at] = ids
         if new:
             self._learn(new)
             found = [self.pieces[p] if ids is None else ids for p, ids in zip(distinct, found)]
+        if len(self.pieces) > REMEMBERED // 2:
+            self.generations[:] = {}, self.pieces
         flat = np.frombuffer(b"".join(found), "<u2")
         sizes = np.array([len(x) // 2 for x in found], np.int64)
         offsets = np.cumsum(sizes) - sizes
