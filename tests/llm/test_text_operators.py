@@ -229,3 +229,33 @@ def test_repeats_of_chance_and_design(spark, seed, monkeypatch):
     monkeypatch.setattr(repeats, "SLICE", 400)
     monkeypatch.setattr(repeats, "HELD", 64)
     check_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), texts)
+
+
+def test_repeats_send_a_frequent_string_once(spark, monkeypatch):
+    """Runs and a passage that all documents hold: a row for each rank and portion held."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(300))
+    # Some texts hold the passage several times, so that places wait for their rank.
+    texts = {
+        i: "-" * 400 + f" {i} " + passage + f" own {i * i} " + (passage + f" and {i}") * (i % 4) + " " * 300
+        for i in range(60)
+    }
+    monkeypatch.setattr(repeats, "SLICE", 2000)
+    monkeypatch.setattr(repeats, "HELD", 4000)
+    check_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3), texts)
+
+    ids = list(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "key": ids, "text": list(texts.values())})
+    schema = pa.schema([("bucket", pa.int64()), ("blob", pa.binary())])
+    buckets = 16
+    whole = np.full(repeats.FILTER_BITS // 8 + 1, 255, np.uint8)
+    for sent in repeats._ranked([batch], schema, buckets, whole, repeats.SAMPLE):
+        for bucket, blob in zip(sent.column("bucket").to_pylist(), sent.column("blob").to_pylist()):
+            if bucket < buckets:
+                rows = np.frombuffer(blob, repeats.SPAN, -1, 4 + 16 * int(np.frombuffer(blob, "<u4", 1)[0]))
+                assert len(np.unique(rows[["a", "c"]])) == len(rows)

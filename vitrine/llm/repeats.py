@@ -16,8 +16,13 @@ doc_id.  The corpus is never sorted as a whole, and no suffix is compared beyond
    Their windows are sorted, again one bucket at a time and in passes of bounded size.
 
 Texts that are equal as a whole are one text with the smallest doc_id, from the start.  Map
-tasks send one row for each rank and bucket, however often it occurs, so frequent passages
-reach a bucket once per task.
+tasks rank what they hold, up to HELD samples, before they send it.  A sample that ties with
+a smaller doc_id there is covered and passes by the buckets.  Of the others one row for each
+rank goes to its bucket, so a frequent string reaches it once from each portion held; the
+further places of that document wait outside and join by rank and doc_id if it turns out to
+be covered.  Step 3 sends a rank's least document of each portion with all its places, and a
+string's different contexts meet in one bucket in both steps: a string whose contexts nearly
+all differ is the largest group that a task gets.
 
 Null text is empty.  Texts under 50 bytes keep all bytes.  A null doc_id is smaller than any
 other.  Rows that share a doc_id do not remove each other's bytes.  Strings are known by
@@ -64,6 +69,12 @@ POWERS = np.cumprod(np.full(CONTEXT + 2, STEP, U))
 INVERSES = np.cumprod(np.full(CONTEXT + 2, pow(STEP, -1, 1 << 64), U))
 SAMPLE = np.dtype([("a", "<u8"), ("c", "<u8"), ("d", "<u4"), ("lo", "<u4"), ("n", "u1")])
 EDGE = np.dtype([*SAMPLE.descr, ("text", "u1", CONTEXT)])
+# Bytes [low, high) of samples of one rank, and whether the document has more of it; bytes
+# that are covered.
+SPAN = np.dtype(
+    [("a", "<u8"), ("c", "<u8"), ("d", "<u4"), ("low", "<u4"), ("high", "<u4"), ("more", "u1")]
+)
+COVER = np.dtype([("d", "<u4"), ("low", "<u4"), ("high", "<u4")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -178,6 +189,14 @@ def passing(a: np.ndarray, chosen: np.ndarray, buckets: int) -> np.ndarray:
     return (chosen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _packed(part: np.ndarray, ids: np.ndarray, keys: np.ndarray) -> bytes:
+    used, place = np.unique(part["d"], return_inverse=True)
+    part = part.copy()
+    part["d"] = place
+    head = np.array([len(used)], "<u4").tobytes()
+    return head + ids[used].tobytes() + keys[used].tobytes() + part.tobytes()
+
+
 def _sent(rows: np.ndarray, buckets: int, ids=None, keys=None):
     """(bucket, blob) of rows that are sorted by their string."""
     bucket = bucket_of(rows if rows.dtype.names is None else rows["a"], buckets)
@@ -186,14 +205,57 @@ def _sent(rows: np.ndarray, buckets: int, ids=None, keys=None):
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for low, high in zip(cuts, np.append(cuts[1:], len(rows))):
         part = rows[low:high]
-        if ids is None:
-            yield int(bucket[low]), part.astype(np.uint32).tobytes()
-        else:
-            used, place = np.unique(part["d"], return_inverse=True)
-            part = part.copy()
-            part["d"] = place
-            head = np.array([len(used)], "<u4").tobytes()
-            yield int(bucket[low]), head + ids[used].tobytes() + keys[used].tobytes() + part.tobytes()
+        blob = part.astype(np.uint32).tobytes() if ids is None else _packed(part, ids, keys)
+        yield int(bucket[low]), blob
+
+
+def _merged(group: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """Union of each group's spans, which are sorted by group and low."""
+    reach = np.maximum.accumulate((group << 33) + high)
+    new = np.append(True, (group[1:] << 33) + low[1:] > reach[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(group)) - 1
+    return group[first], low[first], reach[last] & ((1 << 33) - 1)
+
+
+def _spans(kind: np.dtype, d, low, high, **more) -> np.ndarray:
+    spans = np.zeros(len(d), kind)
+    for name, values in {"d": d, "low": low, "high": high, **more}.items():
+        spans[name] = values
+    return spans
+
+
+def _settled(rows: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int):
+    """(bucket, blob) of samples sorted by string, context and doc_id.
+
+    One span of each rank's least document goes to the bucket of its string.  What is covered
+    already, and the least document's further spans, go to buckets beyond those, even and odd
+    ones, by a hash that has nothing to do with strings.
+    """
+    doc = ids[rows["d"]]
+    _, new, smallest = _classes(rows, doc)
+    rank = np.cumsum(new) - 1
+    low = rows["lo"].astype(np.int64)
+    high = low + rows["n"] + (WIDTH - 1)
+    beyond = buckets + 2 * int(mix(keys[:1].astype(U))[0] % U(buckets))
+    gone = np.flatnonzero(doc > smallest)
+    if len(gone):
+        gone = gone[np.lexsort((low[gone], rows["d"][gone]))]
+        found = _merged(rows["d"][gone].astype(np.int64), low[gone], high[gone])
+        yield beyond, _packed(_spans(COVER, *found), ids, keys)
+    stay = np.flatnonzero(doc == smallest)
+    d = rows["d"][stay]
+    first = np.append(True, (rank[stay][1:] != rank[stay][:-1]) | (d[1:] != d[:-1]))
+    group, low, high = _merged(np.cumsum(first) - 1, low[stay], high[stay])
+    at = stay[np.flatnonzero(first)][group]
+    spans = _spans(SPAN, rows["d"][at], low, high, a=rows["a"][at], c=rows["c"][at])
+    head = np.append(True, rank[at][1:] != rank[at][:-1])
+    # Nothing is smaller than a null doc_id.
+    rest = spans[~head & (doc[at] > FIRST)]
+    spans["more"] = (np.bincount(rank[at]) > 1)[rank[at]]
+    yield from _sent(spans[head], buckets, ids, keys)
+    if len(rest):
+        yield beyond + 1, _packed(rest, ids, keys)
 
 
 def _batch(sent, schema: pa.Schema) -> pa.RecordBatch:
@@ -223,8 +285,8 @@ def _strings(batches, schema: pa.Schema, buckets: int):
 
 
 def _ranked(batches, schema: pa.Schema, buckets: int, chosen: np.ndarray, kind: np.dtype):
-    """Samples that pass the filter: for each string and context those of the least doc_id,
-    and ``kind`` permitting the others too, which their bucket will find covered."""
+    """Samples that pass the filter, for each string and context those of the least doc_id;
+    as samples also what that covers."""
     held: list[np.ndarray] = []
     ids: list[np.ndarray] = []
     keys: list[np.ndarray] = []
@@ -234,11 +296,10 @@ def _ranked(batches, schema: pa.Schema, buckets: int, chosen: np.ndarray, kind:
         rows, doc_ids, doc_keys = np.concatenate(held), np.concatenate(ids), np.concatenate(keys)
         order = np.lexsort((doc_ids[rows["d"]], rows["c"], rows["a"]))
         rows = rows[order]
-        if kind is EDGE:
-            doc = doc_ids[rows["d"]]
-            new = np.append(True, (rows["a"][1:] != rows["a"][:-1]) | (rows["c"][1:] != rows["c"][:-1]))
-            smallest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            rows = rows[doc == smallest]
+        if kind is SAMPLE:
+            return _batch(_settled(rows, doc_ids, doc_keys, buckets), schema)
+        doc = doc_ids[rows["d"]]
+        rows = rows[doc == _classes(rows, doc)[2]]
         return _batch(_sent(rows, buckets, doc_ids, doc_keys), schema)
 
     for some_ids, some_keys, samples in sliced(batches):
@@ -262,7 +323,7 @@ def _ranked(batches, schema: pa.Schema, buckets: int, chosen: np.ndarray, kind:
         yield send()
 
 
-def _opened(blobs: pd.Series, kind: np.dtype):
+def _unpacked(blobs: pd.Series, kind: np.dtype):
     rows, ids, keys, docs = [], [], [], 0
     for blob in blobs:
         n = int(np.frombuffer(blob, "<u4", 1)[0])
@@ -273,11 +334,15 @@ def _opened(blobs: pd.Series, kind: np.dtype):
         docs += n
         rows.append(part)
     rows, ids, keys = np.concatenate(rows), np.concatenate(ids), np.concatenate(keys)
-    order = np.lexsort((ids[rows["d"]], rows["c"], rows["a"]))
-    rows = rows[order]
     return rows, ids[rows["d"]], keys[rows["d"]]
 
 
+def _opened(blobs: pd.Series, kind: np.dtype):
+    rows, doc, key = _unpacked(blobs, kind)
+    order = np.lexsort((doc, rows["c"], rows["a"]))
+    return rows[order], doc[order], key[order]
+
+
 def _classes(rows: np.ndarray, doc: np.ndarray):
     """Number of each row's rank, whether it is the first of a string, and the rank's doc_id."""
     string = np.append(True, rows["a"][1:] != rows["a"][:-1])
@@ -286,27 +351,47 @@ def _classes(rows: np.ndarray, doc: np.ndarray):
     return string, new, doc[np.flatnonzero(new)][rank]
 
 
-COVERS = "doc_id long, key long, low int, high int, bits binary"
+COVERS = "doc_id long, key long, low int, high int"
+RANKED = f"kind int, a long, c long, {COVERS}, bits binary"
+COVERED, MARK, WAITING, LOST = range(4)
 
 
 def _covers(doc, key, low, high) -> pd.DataFrame:
     return pd.DataFrame(
-        {"doc_id": doc, "key": key, "low": low.astype(np.int32), "high": high.astype(np.int32), "bits": None}
+        {"doc_id": doc, "key": key, "low": low.astype(np.int32), "high": high.astype(np.int32)}
     )
 
 
+def _ranks(kind: int, rows: np.ndarray, doc: np.ndarray, key: np.ndarray) -> pd.DataFrame:
+    found = _covers(doc, key, rows["low"], rows["high"]).assign(kind=kind, a=0, c=0, bits=None)
+    if kind != COVERED:
+        found["a"], found["c"] = rows["a"].view(np.int64), rows["c"].view(np.int64)
+    return found
+
+
 def covered_by_rank(bucket: int, blobs: pd.Series, buckets: int) -> pd.DataFrame:
-    rows, doc, key = _opened(blobs, SAMPLE)
+    """Covered spans; those that wait for their rank; ranks lost to a smaller doc_id for
+    which some wait; and a mark of the strings with several ranks."""
+    names = [field.split()[0] for field in RANKED.split(", ")]
+    if bucket >= buckets:
+        kind, dtype = (WAITING, SPAN) if (bucket - buckets) % 2 else (COVERED, COVER)
+        return _ranks(kind, *_unpacked(blobs, dtype))[names]
+    rows, doc, key = _opened(blobs, SPAN)
     string, new, smallest = _classes(rows, doc)
     gone = doc > smallest
-    lo, n = rows["lo"][gone].astype(np.int64), rows["n"][gone]
-    found = _covers(doc[gone], key[gone], lo, lo + n + WIDTH - 1)
+    lost = gone & (rows["more"] == 1)
     group = np.cumsum(string) - 1
     several = np.bincount(group[new]) > 1
     strings = rows["a"][np.flatnonzero(string)][several]
     bits = bits_set(bit_of(strings, buckets) - bucket * (FILTER_BITS // buckets), buckets)
-    mark = pd.DataFrame({"doc_id": [0], "key": [bucket], "low": [-1], "high": [-1], "bits": [bits]})
-    return pd.concat([found, mark]) if len(found) else mark
+    mark = {"kind": MARK, "a": 0, "c": 0, "doc_id": 0, "key": bucket, "low": -1, "high": -1, "bits": bits}
+    parts = [pd.DataFrame([mark])]
+    if gone.any():
+        parts.append(_ranks(COVERED, rows[gone], doc[gone], key[gone]))
+    if lost.any():
+        ranks = _ranks(LOST, rows[lost], doc[lost], key[lost])
+        parts.append(ranks.drop_duplicates(["a", "c", "doc_id"]))
+    return pd.concat(parts)[names]
 
 
 BYTES = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -367,6 +452,7 @@ def _filter(rows: DataFrame, buckets: int) -> np.ndarray:
 
 def repeats(texts: DataFrame, total_bytes: int) -> DataFrame:
     """(doc_id, key, low, high): covered bytes of distinct texts (doc_id, key, text)."""
+    spans = ["doc_id", "key", "low", "high"]
     buckets = max(16, -(-total_bytes // BUCKET_BYTES))
     spark = texts.sparkSession
     sent = StructType.fromDDL("bucket long, blob binary")
@@ -390,10 +476,10 @@ def repeats(texts: DataFrame, total_bytes: int) -> DataFrame:
             lambda b: _ranked(b, sent_schema, buckets, shared.value, SAMPLE), sent
         )
         .groupBy("bucket")
-        .applyInPandas(lambda k, p: covered_by_rank(k[0], p["blob"], buckets), COVERS),
+        .applyInPandas(lambda k, p: covered_by_rank(k[0], p["blob"], buckets), RANKED),
         "ranked-samples",
     )
-    marks = ranked.where("bits is not null").select(F.col("key").alias("bucket"), "bits")
+    marks = ranked.where(F.col("kind") == MARK).select(F.col("key").alias("bucket"), "bits")
     edges = spark.sparkContext.broadcast(_filter(marks, buckets))
     shared.unpersist()
     sorted_ = (
@@ -401,7 +487,10 @@ def repeats(texts: DataFrame, total_bytes: int) -> DataFrame:
         .groupBy("bucket")
         .applyInPandas(lambda k, p: covered_by_sort(p["blob"]), COVERS)
     )
-    return ranked.where("bits is null").drop("bits").unionAll(sorted_.drop("bits"))
+    settled = ranked.where(F.col("kind") == COVERED).select(*spans)
+    lost = ranked.where(F.col("kind") == LOST).select("a", "c", "doc_id")
+    waiting = ranked.where(F.col("kind") == WAITING).join(lost, ["a", "c", "doc_id"]).select(*spans)
+    return settled.unionAll(waiting).unionAll(sorted_)
 
 
 def _kept(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
