@@ -97,6 +97,35 @@ def test_mix_pieces(sources):
     assert any(r.text == texts[r.doc_id].strip() for r in out)
 
 
+def test_mix_takes_whole_documents(sources):
+    """Of each source one document at most is cut; the places are those of the pieces."""
+    texts = {r.doc_id: (r.source, r.text or "") for r in sources.collect()}
+    cut = Counter()
+    for r in mixing.mixed(sources).collect():
+        source, text = texts[r.doc_id]
+        assert r.text in text
+        cut[source] += r.text != text.strip()
+    assert max(cut.values()) == 1
+    _, pieces = mixing.mix(sources)
+    expected = brute.grouped((r.doc_id, (r["pass"], r["first"], r.shard, r.slot)) for r in pieces.collect())
+    for r in mixing.taken(sources).collect():
+        assert list(zip(r.shard, r.slot)) == [p[2:] for p in sorted(expected.get(r.doc_id, []))]
+
+
+def test_mix_runs_of_long_documents(sources, monkeypatch):
+    """Blocks of a long document that do not follow on each other are rows of their own."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 20)
+    texts = {r.doc_id: r.text for r in sources.collect()}
+    _, pieces = mixing.mix(sources)
+    runs = Counter()
+    for (i, _), spans in brute.grouped(((r.doc_id, r["pass"]), (r["first"], r["last"])) for r in pieces.collect()).items():
+        spans.sort()
+        runs[i] += 1 + sum(a[1] != b[0] for a, b in zip(spans, spans[1:]))
+    rows = mixing.mixed(sources).collect()
+    assert all(r.text in texts[r.doc_id] for r in rows)
+    assert Counter(r.doc_id for r in rows) == runs and max(runs.values()) > 3
+
+
 def test_hypergeometric_draws(spark):
     """Mean and spread of the draws, and their limits."""
     frame = spark.range(4000).select(

@@ -4,21 +4,24 @@
    the size of the whole corpus in words.  A target stops at three times its source's size;
    the excess goes to the others by weight.  The end of that resharing is a water level: each
    target is the lesser of its cap and weight times level.
-2. Blocks.  A source's documents, in hash order, make one stream of words that is cut into
-   blocks of equal length.  The source's quota is an exact number of block draws.  Draw d
-   takes block rank d mod n of pass d div n, so no block is drawn again before all were drawn.
-3. Splitting tree.  The root holds every source's quota.  Each node deals half of its draws
+2. Blocks.  A document of up to BLOCK_WORDS words is a block; a longer one is cut into blocks
+   of nearly equal length.  The length is the same at every size of the corpus.  A source's
+   blocks, in hash order, make one stream of words, which is taken from the start up to three
+   times over until the quota is full, so no block is drawn again before all were drawn.  The
+   quota is an exact number of words: the last block that a source gives ends with it.
+3. Splitting tree.  The root holds every source's quota in draws, runs of words of which a
+   shard gets SHARD_DRAWS.  Each node deals half of its draws
    to either child: how many of each source is a multivariate hypergeometric draw, as if all
    draws had been shuffled and cut in two.  The leaves are the output shards.  Only counts
    pass through the tree, never blocks.
-4. Shards.  A shard takes the next draws of each source, so shards are disjoint by
-   construction, and orders them by hash.
+4. Shards.  A shard takes the next draws of each source, with the blocks that begin there, so
+   shards are disjoint by construction, and orders its blocks by hash.
 
 All draws are hashes of a seed, so a lost task gives the same rows again.  Null text has no
 words.  Null is a source of its own.  Sources are few against documents: what is worked out
-for them, a row each, passes through one task; what is worked out for documents never does.  Rows alike in doc_id, source and text are copies of
-one another and are streamed one after the other.  An empty table gives no rows, and a
-corpus without words takes nothing.
+for them, a row each, passes through one task; what is worked out for documents never does.
+Rows alike in doc_id, source and text are copies of one another, each with its own place in
+the stream.  An empty table gives no rows, and a corpus without words takes nothing.
 """
 
 from __future__ import annotations
@@ -34,11 +37,14 @@ from vitrine.sources.staging import stage
 SEED = 20_011
 # Words of a shard, about; there are eight shards at least.
 SHARD_WORDS = 1 << 22
-# Documents in one cell of a source's stream, about.
-CELL_DOCUMENTS = 4096
+# Draws of a shard, about: how finely the tree deals the quotas out.
+SHARD_DRAWS = 1 << 10
+BLOCK_WORDS = 4096
+# Blocks in one cell of a source's stream, about.
+CELL_BLOCKS = 4096
+# Parts of a shard that are ordered by themselves: 2 ** 6, by the first bits of the hash.
+PART_BITS = 6
 MAX_PASSES = 3
-# A prime beyond any number of blocks, so that multiplying by it permutes them.
-STEP = (1 << 61) - 1
 # A piece with the white space before it: pieces of a text joined give the text.
 PIECE = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
@@ -59,10 +65,14 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def blocks_of(size: Column) -> Column:
+    return F.ceil(size / BLOCK_WORDS)
+
+
 def targets(documents: DataFrame) -> DataFrame:
-    """(source, source_no, source_size, n_docs, target) for each source."""
+    """(source, source_no, source_size, n_blocks, target) for each source."""
     totals = documents.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count("*").alias("n_docs")
+        F.sum("size").alias("source_size"), F.sum(blocks_of(F.col("size"))).alias("n_blocks")
     )
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     number = F.row_number().over(by_name)
@@ -90,28 +100,16 @@ def targets(documents: DataFrame) -> DataFrame:
         "source",
         "source_no",
         "source_size",
-        "n_docs",
+        "n_blocks",
         F.least(cap, F.col("weight") * F.coalesce(level, F.lit(0.0))).alias("target"),
     )
 
 
-def quotas(sources: DataFrame, block_words: int) -> DataFrame:
-    """Block length, number of blocks and number of draws of each source."""
-    size = F.col("source_size")
-    blocks = F.greatest(F.ceil(size / block_words), F.lit(1))
-    return (
-        sources.withColumn("block", F.greatest(F.ceil(size / blocks), F.lit(1)))
-        .withColumn("n_blocks", F.ceil(size / F.col("block")))
-        .withColumn(
-            "draws",
-            F.when(
-                size > 0,
-                F.least(
-                    F.round(F.col("target") * F.col("n_blocks") / size).cast("long"),
-                    MAX_PASSES * F.col("n_blocks"),
-                ),
-            ).otherwise(0),
-        )
+def quotas(sources: DataFrame, draw_words: int) -> DataFrame:
+    """Adds each source's quota in words and in draws."""
+    quota = F.least(F.round("target").cast("long"), MAX_PASSES * F.col("source_size"))
+    return sources.withColumn("quota", quota).withColumn(
+        "draws", F.ceil(F.col("quota") / draw_words)
     )
 
 
@@ -225,22 +223,30 @@ def shard_ranges(sources: DataFrame, levels: int) -> DataFrame:
 
 
 def streamed(documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds each document's first word in its source's stream.
+    """The documents' blocks, words [from, to), each with its first word in the source's stream.
 
     A stream is cut into cells by hash, so that no task holds a whole source.
     """
     placed = documents.join(
         sources.select(
-            F.col("source").alias("s"), "source_no", "source_size", "n_docs", "block", "n_blocks", "draws"
+            F.col("source").alias("s"), "source_no", "source_size", "n_blocks", "quota", "draws"
         ),
         F.col("source").eqNullSafe(F.col("s")),
     ).drop("s")
-    order = F.xxhash64(F.lit(SEED), "doc_id", "text_key")
-    cells = F.ceil(F.col("n_docs") / CELL_DOCUMENTS)
-    celled = placed.withColumn("order", order).withColumn(
-        "cell", F.pmod(F.xxhash64("order"), cells)
+    n, number = F.col("n"), F.col("number")
+    order = F.xxhash64(F.lit(SEED), "doc_id", "text_key", "copy", "number")
+    celled = (
+        placed.where("size > 0")
+        .withColumn("n", blocks_of(F.col("size")))
+        .withColumn("number", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+        .withColumn("from", F.floor(F.col("size") * number / n))
+        .withColumn("to", F.floor(F.col("size") * (number + 1) / n))
+        .withColumn("order", order)
+        .withColumn("cell", F.pmod(F.xxhash64("order"), F.ceil(F.col("n_blocks") / CELL_BLOCKS)))
+        .drop("n", "n_blocks")
     )
-    starts = celled.groupBy("source_no", "cell").agg(F.sum("size").alias("words"))
+    words = F.col("to") - F.col("from")
+    starts = celled.groupBy("source_no", "cell").agg(F.sum(words).alias("words"))
     before = Window.partitionBy("source_no").orderBy("cell").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -249,14 +255,33 @@ def streamed(documents: DataFrame, sources: DataFrame) -> DataFrame:
     )
     inside = (
         Window.partitionBy("source_no", "cell")
-        .orderBy("order", "doc_id", "text_key", "copy")
+        .orderBy("order", "doc_id", "text_key", "copy", "number")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        celled.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        celled.withColumn("inside", F.coalesce(F.sum(words).over(inside), F.lit(0)))
         .join(starts, ["source_no", "cell"])
         .withColumn("start", F.col("cell_start") + F.col("inside"))
-        .drop("inside", "cell_start", "cell", "order")
+        .drop("inside", "cell_start", "cell", "order", "number")
+    )
+
+
+def slotted(pieces: DataFrame) -> DataFrame:
+    """Adds ``slot``, the place in the shard's order by hash, counted part by part."""
+    names = ["doc_id", "text_key", "copy", "pass", "first"]
+    ordered = pieces.withColumn("h", F.xxhash64(F.lit(SEED), F.lit("slot"), "source_no", *names))
+    parted = ordered.withColumn("bits", F.shiftright("h", 64 - PART_BITS))
+    upto = Window.partitionBy("shard").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy("shard", "bits").count()
+    before = counts.select(
+        "shard", "bits", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before")
+    )
+    inside = Window.partitionBy("shard", "bits").orderBy("h", "source_no", *names)
+    return (
+        parted.withColumn("place", F.row_number().over(inside))
+        .join(before, ["shard", "bits"])
+        .withColumn("slot", F.col("before") + F.col("place"))
+        .drop("h", "bits", "place", "before")
     )
 
 
@@ -268,9 +293,9 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     documents = stage(sized(docs), "mix-sizes")
     total = documents.agg(F.sum("size")).first()[0] or 0
-    block_words = min(4096, max(16, total >> 20))
     levels = max(3, math.ceil(math.log2(max(1, total / SHARD_WORDS))))
-    sources = stage(quotas(targets(documents), block_words), "mix-sources")
+    draw_words = max(1, total // (SHARD_DRAWS << levels))
+    sources = stage(quotas(targets(documents), draw_words), "mix-sources")
     by_source = broadcast_below(sources, 256)
     ranges = shard_ranges(sources, levels).join(
         by_source.select("source_no", "draws"), "source_no"
@@ -281,37 +306,21 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ranges.select(
             "shard",
             "source_no",
-            "first",
-            "last",
+            F.col("first").alias("first_draw"),
+            F.col("last").alias("last_draw"),
             F.explode(
                 F.sequence(F.floor(F.col("first") / width), F.floor((F.col("last") - 1) / width))
             ).alias("cell"),
         ),
         "mix-shards",
     )
-    words = F.col("size")
-    block, start = F.col("block"), F.col("start")
-    touched = (
-        streamed(documents, by_source)
-        .where(words > 0)
-        .withColumn(
-            "b",
-            F.explode(
-                F.sequence(F.floor(start / block), F.floor((start + words - 1) / block))
-            ),
-        )
-    )
-    rank = F.pmod(
-        F.col("b") * F.pmod(F.lit(STEP), F.col("n_blocks"))
-        + F.pmod(F.xxhash64(F.lit(SEED), "source_no"), F.col("n_blocks")),
-        F.col("n_blocks"),
-    )
     passes = F.array(*[F.lit(p) for p in range(MAX_PASSES)])
     drawn = (
-        touched.withColumn("rank", rank)
+        streamed(documents, by_source)
         .withColumn("pass", F.explode(passes))
-        .withColumn("draw", F.col("pass") * F.col("n_blocks") + F.col("rank"))
-        .where(F.col("draw") < F.col("draws"))
+        .withColumn("at", F.col("pass") * F.col("source_size") + F.col("start"))
+        .where("at < quota")
+        .withColumn("draw", F.floor(F.col("at") / draw_words))
         .select(
             "doc_id",
             "source",
@@ -321,47 +330,49 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             "pass",
             "draw",
             F.floor(F.col("draw") / width).alias("cell"),
-            F.greatest(F.col("b") * block - start, F.lit(0)).alias("from"),
-            F.least((F.col("b") + 1) * block - start, words).alias("to"),
+            F.col("from").alias("first"),
+            F.least(F.col("to"), F.col("from") + F.col("quota") - F.col("at")).alias("last"),
         )
     )
-    pieces = (
+    pieces = stage(
         drawn.join(broadcast_below(ranges, 64), ["source_no", "cell"])
-        .where("draw >= first and draw < last")
-        .withColumn(
-            "slot",
-            F.row_number().over(
-                Window.partitionBy("shard").orderBy(
-                    F.xxhash64(F.lit(SEED), "source_no", "draw"), "source_no", "draw", "doc_id",
-                    "text_key", "copy",
-                )
-            ),
-        )
+        .where("draw >= first_draw and draw < last_draw")
         .select(
-            "shard", "slot", "doc_id", "source", "text_key", "copy", "pass",
-            F.col("from").alias("first"), F.col("to").alias("last"),
-        )
+            "shard", "doc_id", "source", "source_no", "text_key", "copy", "pass", "first", "last"
+        ),
+        "mix-pieces",
     )
     shown = documents.join(
         by_source.select(F.col("source").alias("s"), "source_size", "target"),
         F.col("source").eqNullSafe(F.col("s")),
     ).drop("s")
-    return shown, pieces
+    return shown, slotted(pieces).select(
+        "shard", "slot", "doc_id", "source", "text_key", "copy", "pass", "first", "last"
+    )
 
 
 IDENTITY = ("doc_id", "source", "text_key", "copy")
 
 
 def taken(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for each document."""
+    """(doc_id, size, source_size, target, taken, shard, slot) for each document.
+
+    ``shard`` and ``slot`` are arrays that say where each piece of the document went, in order
+    of passes and words.
+    """
     documents, pieces = mix(docs)
-    words = pieces.groupBy(*IDENTITY).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
+    places = F.array_sort(F.collect_list(F.struct("pass", "first", "shard", "slot")))
+    words = pieces.groupBy(*IDENTITY).agg(
+        F.sum(F.col("last") - F.col("first")).alias("taken"), places.alias("places")
+    )
+    nowhere = F.array().cast("array<bigint>")
     return _matched(documents, words, IDENTITY, "left").select(
         F.col("l.doc_id").alias("doc_id"),
         "size",
         "source_size",
         "target",
         F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        *(F.coalesce(F.col(f"places.{name}"), nowhere).alias(name) for name in ("shard", "slot")),
     )
 
 
@@ -372,27 +383,42 @@ def _matched(left: DataFrame, right: DataFrame, names: tuple[str, ...], how: str
     return left.alias("l").join(right.alias("r"), same, how)
 
 
+def runs_of(pieces: Column) -> Column:
+    """Pieces (first, last) in order, those that follow on each other as one."""
+
+    def add(done: Column, p: Column) -> Column:
+        end = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(end["first"].alias("first"), p["last"].alias("last"))
+        return F.when(
+            end["last"] == p["first"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
+        ).otherwise(F.concat(done, F.array(p)))
+
+    return F.aggregate(pieces, F.array().cast("array<struct<first:bigint,last:bigint>>"), add)
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a row for each pass over each
-    document that takes words of it, holding those words as they stand in the text."""
+    """The mix as documents with the columns of ``docs``: for each pass over a document a row
+    for each run of words that it takes, holding those words as they stand in the text."""
     _, pieces = mix(docs)
-    runs = pieces.groupBy(*IDENTITY, "pass").agg(
-        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")
+    found = pieces.groupBy(*IDENTITY, "pass").agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("pieces")
     )
+    runs = found.withColumn("runs", runs_of(F.col("pieces"))).drop("pieces")
     names = IDENTITY[:3]
     texts = docs.withColumn("text_key", text_key()).dropDuplicates(list(names))
     words = F.regexp_extract_all(F.col("l.text"), F.lit(PIECE), F.lit(0))
 
-    def joined(w: Column) -> Column:
-        parts = F.transform(
-            F.col("runs"), lambda r: F.slice(w, r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int"))
+    def cut(w: Column) -> Column:
+        return F.transform(
+            F.col("r.runs"),
+            lambda r: F.array_join(
+                F.slice(w, r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int")), ""
+            ),
         )
-        return F.array_join(F.flatten(parts), "")
 
-    text = let(words, joined)
-    picked = _matched(texts, runs, names, "inner")
+    picked = _matched(texts, runs, names, "inner").withColumn("__run", F.explode(let(words, cut)))
     shown = {
-        "text": F.regexp_replace(text, r"\A[\x20\x09-\x0D]+", ""),
+        "text": F.regexp_replace("__run", r"\A[\x20\x09-\x0D]+", ""),
     }
     columns = [
         shown.get(name, F.col(f"l.`{name}`")).alias(name) for name in docs.columns
