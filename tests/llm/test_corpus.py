@@ -273,6 +273,15 @@ def test_fit_orders_by_preference():
     assert (ranker.score(x, model) == found).all()
 
 
+def test_fit_with_mostly_bad_labels():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 4))
+    value = x @ np.array([2.0, -1.0, 0.5, 0])
+    good = value > np.quantile(value, 0.8)
+    found = ranker.score(x, ranker.fit(x, good))
+    assert ((found >= ranker.CUT) == good).mean() > 0.97
+
+
 def test_pipeline_stages(spark):
     """Each stage on what the one before kept, against brute force."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

@@ -95,7 +95,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = 10) ->
             break
     scores = z @ w
     # Of the quantiles of the scores, the one that splits the labels best.
-    quantiles = np.unique(np.quantile(scores, np.linspace(0.0, 0.6, 601)))
+    quantiles = np.unique(np.quantile(scores, np.linspace(0.0, 1.0, 1001)))
     order = np.argsort(scores, kind="stable")
     bad_below = np.concatenate([[0], np.cumsum(~good[order])])
     good_below = np.concatenate([[0], np.cumsum(good[order])])
