@@ -225,6 +225,16 @@ def test_token_corpus(spark, odd, texts, none, clashing, monkeypatch):
     assert len(again) == 7 and {r.doc_id for r in again if r.start < 40} <= {None, 7}
 
 
+def test_capitals_that_compose_only_in_lower_case():
+    path, plain = tokenizer()
+    marked = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c"]
+    texts = [*marked, *(f"THE {m}ouse, a{m} {m.lower()} ÉCOLE Don\u2019T end" for m in marked), "PLAIN Words, ALL."]
+    expected = [np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u2").tobytes() for t in texts]
+    assert rans.Encoder(path).encode(texts, 2) == expected
+    beside = rans.Encoder(path).encode([*texts, "x <|endoftext|> Y"], 2)
+    assert beside[:-1] == expected
+
+
 def test_damaged_block_is_found(spark, odd):
     path, _ = tokenizer()
     folder = rans.write_corpus(odd, path)

@@ -173,7 +173,8 @@ class Encoder:
 
     No token spans a space or newline, or a letter and a stop after it, so a text's ids are
     those of its pieces in order.  Equal pieces of many texts are looked up once, and where
-    the tokenizer ignores case so does the lookup.  New pieces are encoded many at a time:
+    the tokenizer ignores case so does the lookup of ASCII letters, but for those that a mark
+    may follow: it composes before it lower-cases.  New pieces are encoded many at a time:
     words of letters are told apart by their word ends, other pieces by a piece of known id
     between them.
     """
@@ -235,9 +236,13 @@ class Encoder:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         data = [t.encode() for t in texts]
         joined = b"\n".join([*data, b""])
-        if self.caseless and b"<|" not in joined:  # special tokens are told by case
-            joined = joined.lower()
         raw = np.frombuffer(joined, np.uint8)
+        if self.caseless:
+            # Special tokens are told by case.
+            plain = np.repeat([b"<|" not in d for d in data], [len(d) + 1 for d in data])
+            upper = (raw >= 65) & (raw <= 90) & np.append(raw[1:] < 128, True)
+            raw = np.where(upper & plain, raw | np.uint8(32), raw)
+            joined = raw.tobytes()
         blank = (raw == 32) | (raw == 10)
         first = np.flatnonzero(~blank & np.append(True, blank[:-1]))
         after = np.flatnonzero(blank & np.append(False, ~blank[:-1]))
