@@ -5,9 +5,12 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -51,3 +54,15 @@ def portions(batches: Iterator, rows: int = PORTION) -> Iterator:
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
             yield batch.slice(low, rows)
+
+
+def map_batches(frame: DataFrame, function, ddl: str, *more) -> DataFrame:
+    """``mapInArrow`` of a function of (batches, Arrow schema of the result, more)."""
+    struct = StructType.fromDDL(ddl)
+    schema = to_arrow_schema(struct)
+    return frame.mapInArrow(lambda batches: function(batches, schema, *more), struct)
+
+
+def record_batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    arrays = [pa.array(values, field.type) for values, field in zip(columns, schema)]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)

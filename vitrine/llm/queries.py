@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, jaccard, lines, mixing, pii, quality, ranker, rans, repeats, secrets
+from vitrine.llm import decontaminate, jaccard, lines, mixing, packing, pii, quality, ranker, rans, repeats, secrets
 from vitrine.llm.common import documents
 from vitrine.llm.span_sql import PII_SQL, SECRETS_SQL
 
@@ -84,6 +84,16 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return ranker.classify(docs, ranker.train(docs, labels))
 
 
+@query
+def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(documents(spark, folder), path).select(
+        "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset"
+    )
+
+
 SQL["op3_benchmark_decontamination"] = r"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text,
