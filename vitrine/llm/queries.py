@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, jaccard, lines, mixing, packing, pii, quality, ranker, rans, repeats, secrets
+from vitrine.llm import (
+    decontaminate,
+    divergence,
+    jaccard,
+    lines,
+    mixing,
+    packing,
+    phrases,
+    pii,
+    quality,
+    ranker,
+    rans,
+    repeats,
+    secrets,
+)
 from vitrine.llm.common import documents
 from vitrine.llm.span_sql import PII_SQL, SECRETS_SQL
 
@@ -94,6 +108,16 @@ def op11_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
+
+
 SQL["op3_benchmark_decontamination"] = r"""
 WITH words AS (
   SELECT 'd' AS side, doc_id AS id, text,
@@ -189,3 +213,95 @@ GROUP BY d.doc_id
 
 SQL["op6_pii"] = PII_SQL
 SQL["op9_secret_scans"] = SECRETS_SQL
+
+SQL["op12_source_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT id, lang, source,
+         unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 3
+), counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), groups AS (
+  SELECT DISTINCT lang, source FROM docs
+), sizes AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1))
+             // (sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) + v) AS p
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN sizes s ON s.lang = g.lang
+  LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT k.lang, k.term,
+         1 + (1000000000::HUGEINT * (sum(c.c) + 1)) // (sum(sum(c.c)) OVER (PARTITION BY k.lang) + any_value(v)) AS q
+  FROM kept k JOIN sizes s ON s.lang = k.lang JOIN counts c ON c.lang = k.lang AND c.term = k.term
+  GROUP BY k.lang, k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item,
+         coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN grid x ON x.lang = a.lang AND x.source = a.source
+  LEFT JOIN grid y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY ALL
+), terms AS (
+  SELECT g.lang, g.source, g.term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+  FROM grid g JOIN whole w ON g.lang = w.lang AND g.term = w.term
+  WHERE g.c > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked
+WHERE part = 'pair' OR rank <= 200
+"""
+
+SQL["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+                                        lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut
+  FROM f WHERE k > 1
+), scored AS (
+  SELECT c.lang, c.k, c.phrase, c.a, c.cut, l.f AS l, r.f AS r,
+         (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM cuts c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+), lowest AS (
+  SELECT * FROM scored
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_phrases AS (
+  SELECT lang, array_to_string(w[s:s + n - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, a, w, k, n, unnest(range(1, k - n + 2)) AS s
+        FROM (SELECT DISTINCT lang, a, w, k, unnest(range(2, k)) AS n FROM cuts WHERE k > 2))
+  GROUP BY ALL
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longer IS NULL OR 100 * i.longer < 80 * s.a
+)
+SELECT r.lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
