@@ -60,18 +60,24 @@ def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
             for low in range(0, len(terms), AT_ONCE):
                 some = terms[low : low + AT_ONCE]
                 columns = [
-                    [lang] * len(some), [source] * len(some), some,
-                    [number[t] for t in some], [holders[t] for t in some],
+                    pa.repeat(lang, len(some)), pa.repeat(source, len(some)), pa.array(some),
+                    pa.array([number[t] for t in some], pa.int64()),
+                    pa.array([holders[t] for t in some], pa.int64()),
                 ]
-                yield record_batch(columns, schema)
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
         groups.clear()
 
     for batch in portions(batches):
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
             number, holders = groups.setdefault((lang, source), (Counter(), Counter()))
             # Only A to Z: bytes outside ASCII stay as they are.
-            matches = TERM.finditer(text.encode().lower().decode())
-            seen: set[str] = set()
+            text = text.encode().lower().decode()
+            if len(text) <= AT_ONCE:
+                terms = TERM.findall(text)
+                number.update(terms)
+                holders.update(set(terms))
+                continue
+            matches, seen = TERM.finditer(text), set()
             while some := [m[0] for m in islice(matches, AT_ONCE)]:
                 number.update(some)
                 seen.update(some)
