@@ -3,7 +3,8 @@
 Repetitive text compresses to a small part of its bytes, random text to nearly all of
 them.  Both ends are cut off by limits that depend on the length, since a short text
 compresses worse than a long one of the same kind.  Whole texts and fixed chunks are
-judged, so one bad half does not hide behind a good one.
+judged, so one bad half does not hide behind a good one; a last chunk of under half the size
+counts with the one before it.  An empty table gives no rows.
 
 Null or empty text has no words and fails the base rules.  Rows are judged one by one, so
 repeated rows get equal results; other columns are left alone.
@@ -83,7 +84,8 @@ def measure(text: str, packer: zstandard.ZstdCompressor, bands=BANDS) -> tuple:
     packed = len(packer.compress(data)) if data else 0
     chunks = [data[at : at + CHUNK] for at in range(0, len(data), CHUNK)]
     if len(chunks) > 1 and len(chunks[-1]) < CHUNK // 2:
-        chunks.pop()  # too short to say anything; the whole text covers it
+        last = chunks.pop()  # too short to say anything by itself
+        chunks[-1] += last
     if len(chunks) == 1:
         bad = 0 if in_band(len(data), packed, bands) else 1
     else:
