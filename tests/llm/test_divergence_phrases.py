@@ -165,11 +165,11 @@ def test_collocations(frame, corpus):
     assert {len(r[2].split()) for r in expected} == {2, 3, 4}
 
 
-@pytest.mark.parametrize("shard", [40, 300, 10**6])
-def test_collocations_by_shards(frame, corpus, monkeypatch, shard):
-    """Many small shards, whose thresholds are 1, and few, whose are not; bitmaps too small;
-    candidates in slices."""
-    for name, value in (("SHARD", shard), ("BLOCK", 50), ("HELD", 30), ("BITS", 1 << 12), ("BITS_EACH", 200)):
+@pytest.mark.parametrize("shards, part", [(1, 40), (3, 10**6), (50, 300)])
+def test_collocations_by_shards(frame, corpus, monkeypatch, shards, part):
+    """Few shards and one for each task; small parts; bitmaps too small; candidates in slices."""
+    limits = {"SHARDS": shards, "PART": part, "BLOCK": 50, "HELD": 30, "BITS": 1 << 12, "BITS_EACH": 200}
+    for name, value in limits.items():
         monkeypatch.setattr(phrases, name, value)
     assert mined(frame, support=6) == plain_collocations([(r[1], r[2]) for r in corpus], 6)
     assert mined(frame, support=6, most=4) == plain_collocations([(r[1], r[2]) for r in corpus], 6, 4)

@@ -1,21 +1,21 @@
 """Phrases of two to four words that occur together, by partitioned frequent-phrase mining.
 
 Text becomes blocks of word numbers once: ``blocks`` holds, for up to ``BLOCK`` words of one
-language, the distinct words and an array that says which word stands where; breaks between
-pieces of text are holes.  A shard is what a task holds of one language, up to ``SHARD``
-words.  For each length of phrase:
+language, the distinct words with their hashes and an array that says which word stands where;
+breaks between pieces of text are holes.  A shard is the blocks of every ``SHARDS``-th task of
+that step, so there are as many at every size of the corpus and a shard is mined by many
+tasks.  For each length of phrase:
 
 1. Every shard is mined completely at its share of the support: with n words of the
-   language's N, a phrase is locally frequent from ceil(support * n / N) on, at least 1.  A
-   phrase that is locally frequent in no shard is below the support.
-2. Local counts of the union are added up.  A shard that does not name a phrase has at most
-   its threshold - 1 of it; a phrase whose sum with these stays under the support is out.
+   language's N, a phrase is locally frequent from ceil(support * n / N) on.  A phrase that is
+   locally frequent in no shard is below the support.
+2. The union of the locally frequent phrases are the candidates.
 3. All candidates are counted in all shards, by their strings, and those below the support go.
 
-Step 1 skips phrases with an infrequent part, steps 1 and 3 look candidates up in bitmaps of
-hashes.  A bitmap lets a few others through, which costs rows and changes no result, since
-step 3 counts exactly whatever it is given.  Where candidates are more than ``BITS`` can tell
-apart, step 3 runs once for each slice of the hashes.
+Step 1 skips phrases with an infrequent part and knows phrases by 64-bit hashes; steps 1 and 3
+look hashes up in bitmaps.  A hash or a bit that two phrases share lets one through, which
+costs rows and changes no result, since step 3 counts exactly whatever it is given.  Where
+candidates are more than ``BITS`` can tell apart, step 3 runs once for each slice of the hashes.
 
 Null text is empty, null lang is 'und', an empty lang stays as it is.  Rows count as often as
 they occur.  Ties in score go to the more frequent phrase, then to the lower in UTF-8 order.
@@ -35,7 +35,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +47,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LONGEST = 4
 SUPPORT = 30
 KEPT = 2000
+SHARDS = 15
 BLOCK = 1 << 17
-SHARD = 4_000_000
+# Words of a shard that a task counts at a time.
+PART = 4_000_000
 # Distinct words that a task counts before it sends them on.
 HELD = 400_000
 # Bits of a bitmap at most, and bits for each hash in it.
@@ -63,7 +65,9 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
-    """Rows of blocks (lang, words, n, places), and rows of counted words (lang, word, h, count)."""
+    """Rows of blocks (lang, shard, words, hashes, n, places), and of counted words (lang,
+    word, h, count)."""
+    shard = TaskContext.get().partitionId() % SHARDS
     started: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
     counts: dict[str, Counter] = {}
 
@@ -75,7 +79,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
             return
         held = np.bincount(places[places >= 0], minlength=len(words))
         counts.setdefault(lang, Counter()).update(dict(zip(words, held.tolist())))
-        row = [lang, " ".join(words), int(held.sum()), places.astype("<i4").tobytes(), None, None, None]
+        hashes = word_hashes(lang, words).astype("<u8").tobytes()
+        row = [lang, shard, " ".join(words), hashes, int(held.sum()), places.astype("<i4").tobytes(), None, None, None]
         yield record_batch([[x] for x in row], schema)
 
     def send():
@@ -85,7 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
                 words, count = zip(*some)
                 none = [None] * len(some)
                 yield record_batch(
-                    [[lang] * len(some), none, none, none, words, word_hashes(lang, words).view(np.int64), count],
+                    [[lang] * len(some), none, none, none, none, none, words, word_hashes(lang, words).view(np.int64), count],
                     schema,
                 )
         counts.clear()
@@ -96,8 +101,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
                 started[lang] = dict.fromkeys(BREAKS, -1), []
             numbers, parts = started[lang]
             # Only A to Z: bytes outside ASCII stay as they are.
-            matches = WORD.finditer(text.encode().lower().decode())
-            while some := [m[0] for m in islice(matches, BLOCK)]:
+            text = text.encode().lower().decode()
+            matches = iter(WORD.findall(text)) if len(text) <= BLOCK else (m[0] for m in WORD.finditer(text))
+            while some := list(islice(matches, BLOCK)):
                 for word in set(some).difference(numbers):
                     numbers[word] = len(numbers) - len(BREAKS)
                 parts.append(np.fromiter(map(numbers.get, some), np.int32, len(some)))
@@ -132,58 +138,59 @@ def listed(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]):
-    """(lang, words, places, hashes, inside, n): up to SHARD words of a language in the task."""
-    held: dict[str, list[tuple]] = {}
+def _parts(batches: Iterator[pa.RecordBatch], with_words: bool = False):
+    """(lang, shard, words, places, hashes, inside): what the task holds of a shard, up to PART
+    words at a time."""
+    held: dict[tuple[str, int], list[tuple]] = {}
 
-    def joined(lang: str):
-        blocks = held.pop(lang)
-        words = [w for block, _ in blocks for w in block]
-        first = np.cumsum([0] + [len(block) for block, _ in blocks[:-1]])
-        places = np.concatenate([np.where(p < 0, -1, p + f) for (_, p), f in zip(blocks, first)])
+    def joined(key: tuple[str, int]):
+        blocks = held.pop(key)
+        words = [w for block, *_ in blocks for w in block.split(" ")] if with_words else None
+        places, first = [], 0
+        for _, h, p in blocks:
+            places.append(np.where(p < 0, np.int32(-1), p + np.int32(first)))
+            first += len(h)
+        places, own = np.concatenate(places), np.concatenate([h for _, h, _ in blocks])
         inside = places >= 0
-        hashes = np.where(inside, word_hashes(lang, words)[places], np.uint64(0))
-        return lang, words, places, hashes, inside, int(inside.sum())
+        return *key, words, places, np.where(inside, own[places], np.uint64(0)), inside
 
     for batch in portions(batches, 8):
         for row in batch.to_pylist():
-            blocks = held.setdefault(row["lang"], [])
-            blocks.append((row["words"].split(" "), np.frombuffer(row["places"], "<i4")))
-            if sum(len(places) for _, places in blocks) >= SHARD:
-                yield joined(row["lang"])
-    for lang in list(held):
-        yield joined(lang)
+            key = row["lang"], row["shard"]
+            blocks = held.setdefault(key, [])
+            blocks.append(
+                (row.get("words"), np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["places"], "<i4"))
+            )
+            if sum(len(places) for *_, places in blocks) >= PART:
+                yield joined(key)
+    for key in list(held):
+        yield joined(key)
 
 
-def _mined(
-    batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, support: int,
-    totals: dict[str, int], parts: np.ndarray,
-):
-    """(lang, h, count, missed): what is locally frequent, and at most how many a shard that
-    does not name a phrase can have of it; that number once more without h for each shard."""
-    for lang, _, _, hashes, inside, n in _shards(batches):
-        least = max(1, -(-support * n // totals[lang]))
+def _mined(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, parts: np.ndarray):
+    """(lang, shard, h, count) of the phrases of k words whose parts are frequent."""
+    for lang, shard, _, _, hashes, inside in _parts(batches):
         shorter, ok = phrase_hashes(hashes, inside, k - 1)
-        ok &= listed(parts, shorter)
+        ok = ok & listed(parts, shorter)
         h, whole = phrase_hashes(hashes, inside, k)
         h = np.sort(h[whole & ok[:-1] & ok[1:]])
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+        if not len(h):
+            continue
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(starts, len(h)))
-        frequent = count >= least
-        h, count = h[starts[frequent]].view(np.int64), count[frequent]
+        h = h[starts].view(np.int64)
         for low in range(0, len(h), 100_000):
-            some = h[low : low + 100_000]
-            yield record_batch(
-                [[lang] * len(some), some, count[low : low + 100_000], np.full(len(some), least - 1)], schema
-            )
-        yield record_batch([[lang], [None], [0], [least - 1]], schema)
+            some = pa.array(h[low : low + 100_000])
+            columns = [pa.repeat(lang, len(some)), pa.repeat(pa.scalar(shard, pa.int32()), len(some)), some]
+            counts = pa.array(count[low : low + 100_000].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*columns, counts], schema=schema)
 
 
 def _recounted(
     batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, candidates: np.ndarray, slices: int, which: int
 ):
     """(lang, phrase, h, count) for the candidates of a slice in each shard."""
-    for lang, words, places, hashes, inside, _ in _shards(batches):
+    for lang, _, words, places, hashes, inside in _parts(batches, True):
         h, ok = phrase_hashes(hashes, inside, k)
         ok = ok & listed(candidates, h)
         if slices > 1:
@@ -229,15 +236,23 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     and the number of words of each language."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     spark = docs.sparkSession
-    ddl = "lang string, words string, n long, places binary, word string, h long, count long"
+    ddl = "lang string, shard int, words string, hashes binary, n long, places binary, word string, h long, count long"
     folder = f"{session_folder(spark)}/blocks-{uuid.uuid4().hex}"
     # Small row groups: a row is a block, and readers take a row group at a time.
     map_batches(texts, _blocks, ddl).write.option("compression", "zstd").option(
         "parquet.block.size", 8 << 20
     ).parquet(folder)
     table = spark.read.schema(ddl).parquet(folder)
-    blocks = table.where("word is null").select("lang", "words", "places")
-    totals = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect() if r["n"]}
+    blocks = table.where("word is null").select("lang", "shard", "words", "hashes", "places")
+    sizes = table.where("n is not null").groupBy("lang", "shard").agg(F.sum("n").alias("n")).collect()
+    totals: dict[str, int] = {}
+    for row in sizes:
+        totals[row["lang"]] = totals.get(row["lang"], 0) + row["n"]
+    # A row for each language and shard.
+    least = spark.createDataFrame(
+        [(r["lang"], r["shard"], -(-support * r["n"] // totals[r["lang"]])) for r in sizes],
+        "lang string, shard int, least long",
+    )
     found = stage(
         table.where("word is not null").groupBy("lang", "word").agg(F.sum("count").alias("f"), F.first("h").alias("h"))
         .where(F.col("f") >= support).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "h", "f"),
@@ -249,15 +264,11 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         if not n:
             break
         mined = map_batches(
-            blocks, _mined, "lang string, h long, count long, missed long", k, support, totals, bitmap(found, n)
-        )
-        summed = stage(
-            mined.groupBy("lang", "h").agg(F.sum("count").alias("low"), F.sum("missed").alias("missed")), "mined"
+            blocks.drop("words"), _mined, "lang string, shard int, h long, count int", k, bitmap(found, n)
         )
-        missed = summed.where("h is null").select("lang", F.col("missed").alias("all_missed"))
-        candidates = summed.where("h is not null").join(F.broadcast(missed), "lang").where(
-            F.col("low") + F.col("all_missed") - F.col("missed") >= support
-        ).select("h")
+        local = mined.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count"))
+        frequent = local.join(F.broadcast(least), ["lang", "shard"]).where("count >= least")
+        candidates = stage(frequent.select("lang", "h").distinct(), "candidates")
         n = candidates.count()
         slices = max(1, -(-n * BITS_EACH // (2 * BITS)))
         counted = None
