@@ -49,8 +49,8 @@ SLICES = 64
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 # Documents above a bucket's usual load from which a shingle's group is spread over tasks.
 HOT = 10_000
-# Rounds of pairing with one pivot of each group.
-PIVOTS = 3
+# Pivots of each group, by round of pairing with them.
+ROUNDS = ((1,), (2, 3))
 SPREAD = 64
 
 
@@ -363,17 +363,18 @@ def _may_link(n: str, pos: str, other_n: str, other_pos: str) -> Column:
     return _sizes_fit(n, other_n) & (9 * rest >= 4 * (F.col(n) + F.col(other_n)))
 
 
-def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links (a, b) that join what is linked: not all links, but all that join components.
+def _joined(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(node, component) of all nodes that have links.
 
-    In each round the rows outside their group's largest component are paired with one
-    pivot of the group, by falling weight.  What is still apart after the last round is
-    paired with all rows of other components, so nothing is missed.
+    Not all links are found, but all that join components.  In each round the rows outside
+    their group's largest component are paired with pivots of the group, by falling weight.
+    What is still apart after the last round is paired with all rows of other components, so
+    nothing is missed.
     """
     heaviest = Window.partitionBy("token").orderBy(F.desc("weight"), "node")
     pivots = stage(
         groups.withColumn("place", F.row_number().over(heaviest))
-        .where(F.col("place") <= PIVOTS)
+        .where(F.col("place") <= max(ROUNDS[-1]))
         .select(
             "token",
             "place",
@@ -384,7 +385,7 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
         "pivots",
     )
     tried, links = None, None
-    for place in range(1, PIVOTS + 2):
+    for places in (*ROUNDS, None):
         if links is None:
             members = groups.withColumn("component", F.col("node"))
             outside = open_rows = members.withColumn("largest", F.lit(None).cast("long"))
@@ -404,9 +405,9 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
             open_rows = stage(members.join(torn, "token"), "open-groups")
             outside = open_rows.where("component != largest")
             if not outside.limit(1).count():
-                break
-        if place <= PIVOTS:
-            these = pivots.where(F.col("place") == place).drop("place")
+                return placed
+        if places:
+            these = pivots.where(F.col("place").isin(*places)).drop("place")
             if links is not None:
                 of_pivot = members.select("token", F.col("node").alias("pivot"), F.col("component").alias("of_pivot"))
                 these = these.join(of_pivot, ["token", "pivot"])
@@ -439,7 +440,7 @@ def _links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
         new = stage(_verified(docs, classes, pairs), "verified-pairs")
         tried = pairs if tried is None else tried.unionAll(pairs)
         links = new if links is None else links.unionAll(new)
-    return links
+    return components(links)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -471,9 +472,9 @@ def linked(docs: DataFrame) -> DataFrame:
         ),
         "shared-prefixes",
     )
+    known.destroy()
     groups = stage(_groups_once(shared), "prefix-groups")
-    links = _links(docs, classes, groups)
-    found = components(links)
+    found = _joined(docs, classes, groups)
     return (
         rows.join(found, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
@@ -503,12 +504,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # Of a row that stands there several times, one stays too.
     lone = rows.where("component is null").select("doc_id", "text_key").distinct()
     keep = stage(stays.select("r.doc_id", "r.text_key").unionAll(lone), "kept-documents")
-    keyed = docs.withColumn("__key", text_key()).alias("d")
+    # A document travels in a column of its own, whatever its columns are called.
+    keyed = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().alias("key")
+    ).alias("d")
     kept = keyed.join(
         broadcast_below(keep, 32).alias("k"),
-        F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__key") == F.col("k.text_key")),
+        F.col("d.id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.key") == F.col("k.text_key")),
         "left_semi",
     )
     if rows.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["id", "key"])
+    return kept.select("row.*")

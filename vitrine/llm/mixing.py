@@ -405,7 +405,10 @@ def mixed(docs: DataFrame) -> DataFrame:
     )
     runs = found.withColumn("runs", runs_of(F.col("pieces"))).drop("pieces")
     names = IDENTITY[:3]
-    texts = docs.withColumn("text_key", text_key()).dropDuplicates(list(names))
+    # A document travels in a column of its own, whatever its columns are called.
+    texts = docs.select(
+        "doc_id", "source", "text", text_key().alias("text_key"), F.struct("*").alias("row")
+    ).dropDuplicates(list(names))
     words = F.regexp_extract_all(F.col("l.text"), F.lit(PIECE), F.lit(0))
 
     def cut(w: Column) -> Column:
@@ -421,7 +424,7 @@ def mixed(docs: DataFrame) -> DataFrame:
         "text": F.regexp_replace("__run", r"\A[\x20\x09-\x0D]+", ""),
     }
     columns = [
-        shown.get(name, F.col(f"l.`{name}`")).alias(name) for name in docs.columns
+        shown.get(name, F.col(f"l.row.`{name}`")).alias(name) for name in docs.columns
     ]
     out = picked.select(*columns)
     if "n_chars" in docs.columns:
