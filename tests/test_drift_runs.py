@@ -7,8 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.functions.kernels import chi_square_tail
-from vitrine.operators import drift, runs
+from vitrine.operators import drift, profiles, runs
 from vitrine.operators.experiments import preset_listing
 from vitrine.sources import runlog
 
@@ -76,13 +75,77 @@ def test_chi_square_by_hand(spark):
     # Values of the chi-square distribution from printed tables.
     [(3.841, 1, 0.05), (6.635, 1, 0.01), (5.991, 2, 0.05), (7.815, 3, 0.05), (18.307, 10, 0.05), (124.342, 100, 0.05), (0.0, 4, 1.0), (5.0, 0, 1.0)],
 )
-def test_chi_square_tail(statistic, dof, p):
-    assert chi_square_tail(statistic, dof) == pytest.approx(p, abs=2e-5)
+def test_p_values(spark, statistic, dof, p):
+    assert drift.p_value(spark, statistic, dof) == pytest.approx(p, abs=2e-5)
 
 
-def test_chi_square_tail_far_out():
-    assert chi_square_tail(5000.0, 3) == 0.0
-    assert chi_square_tail(100_000.0, 100_001) == pytest.approx(0.5, abs=0.01)
+def test_p_values_far_out(spark):
+    assert drift.p_value(spark, 5000.0, 3) == 0.0
+    assert drift.p_value(spark, 100_000.0, 100_001) == pytest.approx(0.5, abs=0.01)
+
+
+def parts_of(profile):
+    return (
+        sorted((r.feature, r.bin_no, r.low, r.high, r.n) for r in profile.bins.collect()),
+        sorted((r.feature, r.value, r.n, r.share) for r in profile.shares.collect()),
+        {r.feature: (r.edges, r.n_values) for r in profile.numeric.collect()},
+    )
+
+
+def test_merged_profiles(spark):
+    """Summaries of parts, merged in any order, make the profile of the whole."""
+    r = random.Random(4)
+    rows = [
+        (i % 5, r.choice([r.gauss(0, 50), 0.0, -3.0, r.random() * 1e-4, float("nan"), None]), r.randint(-2, 9), r.choice(["a", "b", None]))
+        for i in range(3000)
+    ] + [(9, math.inf, 1, "c"), (9, -math.inf, 1, "c")]
+    table = spark.createDataFrame(rows, "part int, x double, k int, c string").repartition(6)
+    whole = profiles.profile_of(profiles.summarise(table.drop("part")))
+    days = [profiles.summarise(table.where(F.col("part") == p).drop("part")) for p in (9, 3, 0, 1, 2, 4)]
+    merged = days[0]
+    for day in days[1:]:
+        merged = profiles.merge(merged, day)
+    by_part = profiles.merge(profiles.summarise(table, by=["part"]))
+    assert parts_of(profiles.profile_of(merged)) == parts_of(whole) == parts_of(profiles.profile_of(by_part))
+
+
+def test_summary_profile_is_close_to_exact(spark):
+    r = random.Random(6)
+    table = spark.createDataFrame(
+        [(r.lognormvariate(3, 1), r.choice("abc")) for _ in range(4000)], "x double, c string"
+    )
+    rough, exact = profiles.profile_of(profiles.summarise(table)), drift.fit(table)
+    one, other = rough.numeric.first(), exact.numeric.first()
+    assert one["mean"] == pytest.approx(other["mean"], abs=1e-6) and one["std"] == pytest.approx(other["std"], rel=1e-9)
+    assert all(abs(a - b) <= 0.01 * abs(b) for a, b in zip(one.edges, other.edges))
+    values = sorted(v.x for v in table.collect())
+    bins = sorted(rough.bins.collect(), key=lambda b: b.bin_no)
+    for b in bins[:-1]:
+        assert b.n == sum(b.low <= v < b.high for v in values)
+    assert sum(b.n for b in bins) == 4000 and drift.check(rough, table).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_bins_from_ranks_equal_the_histogram(spark, partitions):
+    r = random.Random(partitions)
+    rows = [(r.gauss(0, 1), float(r.randint(0, 4)), 7.0) for _ in range(5000)]
+    table = spark.createDataFrame(rows, "x double, k double, one double").repartition(partitions)
+    profile = drift.fit(table)
+    values = drift.numeric_values(table)
+    expected = drift.histogram(values, drift.quantile_edges(values))
+    pick = lambda t: sorted((b.feature, b.bin_no, b.low, b.high, b.n, b.share) for b in t.collect())
+    assert pick(profile.bins) == pick(expected)
+
+
+def test_values_outside_brackets_are_not_shuffled(spark):
+    """Of 200,000 distinct values only those near an edge are counted as themselves."""
+    from vitrine.operators import quantiles
+
+    values = spark.range(200_000).select(F.lit("x").alias("feature"), (F.col("id") * 37 % 200_003).cast("double").alias("value"))
+    sketches = quantiles.sketched(values, 10).cache()
+    counted = quantiles.counted_in_brackets(values, sketches, 10)
+    assert counted.where("value is not null").count() < 0.04 * 200_000
+    assert counted.agg(F.sum("n")).first()[0] == 200_000
 
 
 def test_alert_levels_and_text(spark):
@@ -167,3 +230,37 @@ def test_write_read_and_corrupt_files(spark, logged, tmp_path):
     good, bad = sorted(rows, key=lambda r: r.corrupt_record is not None)
     assert good.metrics == {"auc": 0.5} and good.corrupt_record is None
     assert bad.run_name is None and bad.corrupt_record and bad.source_file.endswith("cut.json")
+
+
+def test_windows_of_a_stream_equal_batch_checks(spark, tmp_path):
+    """Alerts of a day whose rows came in several batches are those of the day's rows."""
+    import datetime
+
+    from vitrine.streaming import serving
+
+    r = random.Random(8)
+    start = datetime.datetime(2024, 1, 1)
+
+    def event(day, second):
+        shift = 2.0 if day == 1 else 0.0
+        group = r.choice("ab") if day != 2 else r.choice("aaaaab")
+        return (start + datetime.timedelta(days=day, seconds=second), r.gauss(shift, 1), group)
+
+    schema = "ts timestamp, x double, c string"
+    reference = spark.createDataFrame([event(0, 0)[1:] for _ in range(2000)], "x double, c string")
+    profile = drift.fit(reference)
+    rows = sorted((event(day, s) for day in range(4) for s in range(0, 86_400, 120)), key=lambda e: e[0])
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    alerts = {}
+    for batch in range(9):  # batches do not end where days do
+        part = rows[batch * len(rows) // 9 : (batch + 1) * len(rows) // 9]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        serving.watch_windows(stream, profile, "ts", out, str(tmp_path / "progress"), late="1 hour").awaitTermination()
+    for a in spark.read.parquet(out).collect():
+        alerts.setdefault(a.window_start.day - 1, set()).add((a.feature, a.metric, a.value, a.level))
+    for day in range(3):
+        own = spark.createDataFrame([e for e in rows if e[0].day - 1 == day], schema).drop("ts")
+        batch = {(a.feature, a.metric, a.value, a.level) for a in drift.check(profile, own).collect()}
+        assert alerts.get(day, set()) == batch
+    assert alerts[1] and alerts[2] and 3 not in alerts

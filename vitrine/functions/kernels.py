@@ -5,11 +5,9 @@ The module is pickled by value, so executors need numpy and pyarrow but not this
 
 from __future__ import annotations
 
-import math
 import sys
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -110,25 +108,3 @@ def greedy_picks(
     )
     offsets = np.concatenate([[0], np.cumsum(k)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), picks)
-
-
-def chi_square_tail(statistic: float, dof: int) -> float:
-    """Chance of a larger statistic under a chi-square distribution."""
-    if dof < 1 or statistic <= 0:
-        return 1.0
-    half = statistic / 2
-    if dof > 100_000:
-        # Cube roots of chi-square are close to normal; at this size to nine places and more.
-        spread = 2 / (9 * dof)
-        z = ((statistic / dof) ** (1 / 3) - (1 - spread)) / math.sqrt(spread)
-        return math.erfc(z / math.sqrt(2)) / 2
-    if dof % 2 == 0:
-        logs = np.cumsum(np.concatenate([[-half], np.log(half / np.arange(1, dof // 2))]))
-        return float(np.exp(logs).sum())
-    start = 0.5 * math.log(half) - math.lgamma(1.5) - half
-    logs = np.cumsum(np.concatenate([[start], np.log(half / (np.arange(1, dof // 2) + 0.5))]))
-    return math.erfc(math.sqrt(half)) + (float(np.exp(logs).sum()) if dof > 1 else 0.0)
-
-
-def chi_square_tails(statistic: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi_square_tail(x, int(k)) for x, k in zip(statistic, dof)], dtype="float64")

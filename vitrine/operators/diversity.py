@@ -150,14 +150,50 @@ def sorted_candidates(score: Column, carried: list[str] = []) -> Column:
     )
 
 
+# Penalties are rounded to four places.
+PENALTY_SLACK = 1e-4
+
+
+def prune(
+    rows: DataFrame, group: str, k: Column, weight: Column, diverse: Column, cells: bool = False
+) -> DataFrame:
+    """Leave out rows that a diverse top ``k`` of their group cannot pick.
+
+    A penalty is at most ``weight``.  While picks are open, one of the k best raw scores is
+    free and keeps its score less ``weight`` at least, so a row below the k-th best score less
+    ``weight`` is never picked.  Without diversity the k best are all.  With ``cells``, of
+    rows that agree in cluster, category and tier, which carry equal penalties, only the best
+    k stay.  Adds ``kth``, the k-th best score, null in smaller groups, and ``pool_size``.
+    """
+    best = [F.desc("score"), F.asc("product_id")]
+    every = Window.partitionBy(group)
+    placed = rows.withColumn("place", F.row_number().over(every.orderBy(*best)))
+    placed = placed.withColumns(
+        {
+            "kth": F.min(F.when(F.col("place") <= k, F.col("score"))).over(every),
+            "pool_size": F.count(F.lit(1)).over(every),
+        }
+    )
+    reach = F.col("kth") - F.when(diverse, weight + PENALTY_SLACK).otherwise(0.0)
+    kept = placed.where(
+        F.when(diverse, F.col("score") >= reach).otherwise(F.col("place") <= k)
+    ).withColumn("kth", F.when(F.col("pool_size") >= k, F.col("kth")))
+    if cells:
+        cell = Window.partitionBy(group, "cluster", "category", "tier").orderBy(*best)
+        kept = kept.withColumn("in_cell", F.row_number().over(cell)).where(F.col("in_cell") <= k).drop("in_cell")
+    return kept.drop("place")
+
+
 def mmr_rerank(
     candidates: DataFrame, group: str, k: Column, weight: Column
 ) -> DataFrame:
     """Diverse top k per group of (group, product_id, score, cluster, category, tier).
 
-    A group is one user's candidate pool, at most 500 rows by the request limits.
+    A group may be a whole catalogue: rows that cannot be picked are left out before those of
+    a group are put into one row, and of each cell k stay at most.
     """
-    pools = candidates.groupBy(group).agg(
+    able = prune(candidates, group, k, weight, F.lit(True), cells=True)
+    pools = able.groupBy(group).agg(
         sorted_candidates(F.col("score")).alias("candidates")
     )
     picks = mmr_picks(pools, k, weight, F.lit(True))
@@ -167,15 +203,15 @@ def mmr_rerank(
 def similar_products(products: DataFrame, n: int = 5, above: float = 0.5) -> DataFrame:
     """The n most similar products of each product, those with similarity over ``above``.
 
-    Products with equal cluster, category and tier form a cell and share one list, so
-    lists are worked out per cell and no pairs of products are formed.  A list can only
-    hold the n + 1 lowest ids of a cell (one more, because a product is left out of its own
-    list).  From another category it can only hold the n + 1 lowest ids of a cluster and
-    tier: any of these that turn out to be of the own category rank higher anyway.
-    Without a shared cluster similarity is at most 0.5, so ``above`` starts there.
+    Products with equal cluster, category and tier form a cell and share one list, so lists
+    are worked out per cell and no pairs of products are formed.  A list can only hold the
+    n + 1 lowest ids of a cell (one more, because a product is left out of its own list).
+    Cells that share the cluster only are stood for by the n + 1 lowest ids of a cluster and
+    tier, those that share the category only by the lowest of a category and tier, and those
+    that share neither by the lowest of a tier: any of these that turn out to share more rank
+    higher anyway, so enough are left.  Below 0.5 the cluster need not match, below 0.2
+    neither need the category.
     """
-    if above < 0.5:
-        raise ValueError("similar_products needs above >= 0.5")
     cell = ["cluster", "category", "tier"]
     traits = products.select("product_id", *trait_columns())
 
@@ -184,23 +220,28 @@ def similar_products(products: DataFrame, n: int = 5, above: float = 0.5) -> Dat
         return rows.withColumn("place", F.row_number().over(by_id)).filter(F.col("place") <= n + 1)
 
     heads = stage(lowest_ids(traits, cell).drop("place"), "cell_heads")
-    same = heads.select(
-        "cluster", "category", F.struct(*cell).alias("other"), F.col("product_id").alias("id")
-    )
-    cluster_heads = lowest_ids(heads, ["cluster", "tier"]).select(
-        "cluster", F.struct(*cell).alias("other"), F.col("product_id").alias("id")
-    )
     cells = heads.select(*cell).distinct().withColumn("own", F.struct(*cell))
-    options = (
-        cells.join(same, ["cluster", "category"])
-        .select("own", "other", "id")
-        .unionByName(
-            cells.join(cluster_heads, "cluster")
-            .filter(F.col("own.category") != F.col("other.category"))
-            .select("own", "other", "id")
+
+    def options_by(names: list[str], rows: DataFrame) -> DataFrame:
+        """Cells with the ids of cells that agree with them in the named traits."""
+        others = rows.select(*names, F.struct(*cell).alias("other"), F.col("product_id").alias("id"))
+        return cells.join(others, names).select("own", "other", "id")
+
+    options = options_by(["cluster", "category"], heads).unionByName(
+        options_by(["cluster"], lowest_ids(heads, ["cluster", "tier"]))
+    )
+    if above < 0.5:
+        options = options.unionByName(
+            options_by(["category"], lowest_ids(heads, ["category", "tier"]))
         )
-        .withColumn("similarity", similarity_columns("own", "other"))
-        .filter(F.col("similarity") > above)
+    if above < 0.2:
+        # At most n + 1 rows for each tier.
+        few = lowest_ids(heads, ["tier"]).agg(
+            F.collect_list(F.struct(F.struct(*cell).alias("other"), F.col("product_id").alias("id")))
+        ).scalar()
+        options = options.unionByName(cells.select("own", F.inline(few)))
+    options = options.distinct().withColumn("similarity", similarity_columns("own", "other")).filter(
+        F.col("similarity") > above
     )
     best_first = Window.partitionBy("own").orderBy(F.desc("similarity"), "id")
     lists = (

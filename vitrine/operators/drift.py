@@ -9,15 +9,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from vitrine import fixed
-from vitrine.functions import kernels
 from vitrine.functions import scalars as S
+from vitrine.operators import quantiles
 from vitrine.operators.features import columns_by_type
-from vitrine.operators.ordering import running_totals
 from vitrine.sources.staging import stage, together
 
 
@@ -44,47 +43,9 @@ def column_stats(values: DataFrame) -> DataFrame:
 
 
 def quantile_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame:
-    """Exact quantile edges per feature, linearly interpolated, without duplicates.
-
-    Equal values are counted first.  Running totals then give each value its ranks, and
-    only the values that hold a wanted rank go on: at most two per edge.
-    """
-    counted = values.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, ["value"], ["n"], within=["feature"])
-    steps = F.sequence(F.lit(0), F.lit(bins))
-    end = F.col("n_total") - 1
-    wanted = F.transform(
-        steps, lambda i: F.struct(i.alias("edge_no"), (end * i / bins).alias("position"))
-    )
-    low, high = F.floor("want.position"), F.ceil("want.position")
-    first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
-    # Plain arithmetic leaves few values to look at closely: some edge is at most one rank
-    # off, or the feature has a single value.
-    scale = F.lit(float(bins)) / F.greatest(end, F.lit(1))
-    near = (F.floor((last + 1) * scale) >= F.ceil((first - 1) * scale)) | (end == 0)
-    holders = (
-        ranked.filter(near)
-        .withColumn(
-            "wanted",
-            F.filter(
-                wanted,
-                lambda w: F.floor(w["position"]).between(first, last)
-                | F.ceil(w["position"]).between(first, last),
-            ),
-        )
-        .select("feature", "value", "n", "n_before", F.explode("wanted").alias("want"))
-    )
-    edges = holders.groupBy("feature", "want.edge_no").agg(
-        F.max(F.when(low.between(first, last), F.col("value"))).alias("below"),
-        F.max(F.when(high.between(first, last), F.col("value"))).alias("above"),
-        F.max(F.col("want.position") - low).alias("part"),
-    )
-    edge = F.col("below") + (F.col("above") - F.col("below")) * F.col("part")
-    return (
-        edges.withColumn("edge", edge)
-        .groupBy("feature")
-        .agg(F.sort_array(F.collect_set("edge")).alias("edges"))
-    )
+    """Exact quantile edges per feature, linearly interpolated, without duplicates."""
+    sketches = stage(quantiles.sketched(values, bins), "sketches")
+    return quantiles.edge_values(quantiles.ranked_edges(values, sketches, bins))
 
 
 def approximate_edges(values: DataFrame, bins: int = fixed.DRIFT_BINS) -> DataFrame:
@@ -176,20 +137,32 @@ def fit(table: DataFrame, bins: int = fixed.DRIFT_BINS, exact: bool = True) -> P
     values are too many to count one by one."""
     numeric, text = columns_by_type(table)
     spark = table.sparkSession
+    values = numeric_values(table, numeric) if numeric else None
+
+    def ranked() -> tuple[DataFrame, DataFrame]:
+        sketches = stage(quantiles.sketched(values, bins), "sketches")
+        return sketches, stage(quantiles.ranked_edges(values, sketches, bins), "edges")
+
+    def rough() -> tuple[DataFrame, DataFrame]:
+        stats = stage(column_stats(values), "stats")
+        return stats, stage(approximate_edges(values, bins), "edges")
+
     steps = {}
     if numeric:
-        values = numeric_values(table, numeric)
-        find_edges = quantile_edges if exact else approximate_edges
-        steps["edges"] = lambda: stage(find_edges(values, bins), "edges")
-        steps["stats"] = lambda: stage(column_stats(values), "stats")
+        steps["numeric"] = ranked if exact else rough
     if text:
         steps["shares"] = lambda: stage(category_shares(category_values(table, text)), "shares")
     found = together(spark, **steps)
     if numeric:
-        edges = found["edges"]
+        stats, edges = found["numeric"]
+        # Where the edges' ranks are known, so are the counts between them.
+        bin_table = quantiles.bins_of(edges, stats) if exact else histogram(values, edges, bins)
+        bin_table = stage(bin_table, "bins")
+        edges = quantiles.edge_values(edges) if exact else edges
         # One row per monitored column.
-        numeric_table = edges.join(F.broadcast(found["stats"]), "feature")
-        bin_table = stage(histogram(values, edges, bins), "bins")
+        numeric_table = edges.join(
+            F.broadcast(stats.select("feature", "mean", "std", "n_values")), "feature"
+        )
     else:
         numeric_table = spark.createDataFrame(
             [], "feature string, edges array<double>, mean double, std double, n_values bigint"
@@ -220,6 +193,33 @@ def level(value: Column, limits: tuple[float, float], rising: bool = True) -> Co
     return F.when(value < critical, "critical").when(value < warning, "warning").otherwise("none")
 
 
+def tally(profile: Profile, current: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, feature, part, n): rows per bin of each numeric and value of each text feature.
+
+    One aggregation for all columns, so it runs on a stream too.  Tallies add up.  Part '0' of
+    a numeric feature is out of range; a feature without bins has its own value as 'inside'.
+    """
+    by = by or []
+    none = F.lit(None)
+    parts = [
+        F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("number"), none.cast("string").alias("text"))
+        for n in shared_columns(profile.numeric_names, current)
+    ] + [
+        F.struct(F.lit(n).alias("feature"), none.cast("double").alias("number"), F.col(n).cast("string").alias("text"))
+        for n in shared_columns(profile.category_names, current)
+    ]
+    rows = current.select(*by, F.inline(F.array(*parts))).where("number is not null or text is not null")
+    # One row per monitored column.
+    edges = F.broadcast(profile.numeric.select("feature", "edges"))
+    bin_no = bin_of(F.col("number"), F.col("edges"), profile.n_bins + 1)
+    part = F.when(F.col("number").isNull(), F.col("text")).otherwise(
+        F.coalesce(bin_no.cast("string"), F.lit("inside"))
+    )
+    return rows.join(edges, "feature", "left").groupBy(*by, "feature", part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 def psi(profile: Profile, current: DataFrame) -> DataFrame:
     """Population stability index per numeric feature.
 
@@ -233,8 +233,13 @@ def psi(profile: Profile, current: DataFrame) -> DataFrame:
         .groupBy("feature", "bin_no")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = stage(counts, "current_bins")
-    seen = counts.groupBy("feature").agg(
+    return psi_of_counts(profile, stage(counts, "current_bins"))
+
+
+def psi_of_counts(profile: Profile, counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``psi`` of counted rows (by, feature, bin_no, n), bin 0 being out of range."""
+    each = [*(by or []), "feature"]
+    seen = counts.groupBy(*each).agg(
         F.sum(F.when(F.col("bin_no") > 0, F.col("n")).otherwise(0)).alias("n_inside"),
         F.sum(F.when(F.col("bin_no") == 0, F.col("n")).otherwise(0)).alias("out_of_range_count"),
     )
@@ -242,16 +247,17 @@ def psi(profile: Profile, current: DataFrame) -> DataFrame:
     p = F.greatest("p", F.lit(fixed.PSI_FLOOR))
     now = F.coalesce("n", F.lit(0)) / (F.col("n_inside") + fixed.PSI_FLOOR)
     q = F.greatest(now, F.lit(fixed.PSI_FLOOR))
+    # A few bins per monitored column.
+    every = seen.join(F.broadcast(known), "feature")
     index = (
-        known.join(counts.filter("bin_no > 0"), ["feature", "bin_no"], "left")
-        .join(F.broadcast(seen), "feature")
-        .groupBy("feature")
+        every.join(counts.filter("bin_no > 0"), [*each, "bin_no"], "left")
+        .groupBy(*each)
         .agg(F.sum((q - p) * F.ln(q / p)).alias("psi"))
     )
     return (
-        seen.join(F.broadcast(index), "feature", "left")
+        seen.join(index, each, "left")
         .select(
-            "feature",
+            *each,
             F.coalesce("psi", F.lit(0.0)).alias("psi"),
             F.col("out_of_range_count"),
         )
@@ -270,41 +276,65 @@ def chi_square(profile: Profile, current: DataFrame) -> DataFrame:
     counts = (
         category_values(current, names)
         .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("observed"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    known = profile.shares.filter(F.col("feature").isin(names)).select("feature", "value", "share")
+    known = profile.shares.filter(F.col("feature").isin(names)).select("feature").distinct()
+    return chi_square_of_counts(profile, stage(counts, "observed"), groups=known)
+
+
+def chi_square_of_counts(
+    profile: Profile, counts: DataFrame, by: list[str] | None = None, groups: DataFrame | None = None
+) -> DataFrame:
+    """``chi_square`` of counted rows (by, feature, value, n), for every (by, feature) in
+    ``groups``, or in the counts.  ``raw`` is the statistic before it is rounded."""
+    each = [*(by or []), "feature"]
+    shares = profile.shares.select("feature", "value", "share")
+    groups = counts.select(*each).distinct() if groups is None else groups
     # Counts and shares have a row per category; both are unique on the key.
-    both = stage(known.join(counts, ["feature", "value"], "full_outer"), "observed")
+    rated = counts.join(shares, ["feature", "value"], "left")
     is_known = F.col("share").isNotNull()
-    observed = F.coalesce("observed", F.lit(0))
-    sizes = both.groupBy("feature").agg(
-        F.sum(F.when(is_known, observed).otherwise(0)).alias("size"),
-        F.sum(F.when(is_known, 0).otherwise(observed)).alias("unseen_count"),
-    )
+    sizes = groups.join(
+        rated.groupBy(*each).agg(
+            F.sum(F.when(is_known, F.col("n")).otherwise(0)).alias("size"),
+            F.sum(F.when(is_known, 0).otherwise(F.col("n"))).alias("unseen"),
+        ),
+        each,
+        "left",
+    ).select(*each, F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("unseen", F.lit(0)).alias("unseen_count"))
     expected = F.col("share") * F.col("size") + 1e-10
-    found = F.coalesce("observed", F.lit(0)) + 1e-10
+    found = F.coalesce("n", F.lit(0)) + 1e-10
     term = (found - expected) * (found - expected) / expected
     return (
-        both.join(F.broadcast(sizes), "feature")
-        .filter(is_known)
-        .groupBy("feature")
+        sizes.join(shares, "feature")
+        .join(counts, [*each, "value"], "left")
+        .groupBy(*each)
         .agg(
-            S.rnd(F.sum(term), 6).alias("statistic"),
+            F.sum(term).alias("raw"),
             (F.count(F.lit(1)) - 1).alias("dof"),
             F.max("unseen_count").alias("unseen_count"),
         )
+        .withColumn("statistic", S.rnd(F.col("raw"), 6))
     )
 
 
-p_values = F.pandas_udf(kernels.chi_square_tails, DoubleType())
+def p_value(spark: SparkSession, statistic: float, dof: int) -> float:
+    """Chance of a larger statistic, from the distribution that Spark's own tests use."""
+    if dof < 1:
+        return 1.0
+    table = spark.sparkContext._jvm.org.apache.commons.math3.distribution.ChiSquaredDistribution(float(dof))
+    return 1.0 - table.cumulativeProbability(float(statistic))
 
 
 def chi_square_levels(statistics: DataFrame) -> DataFrame:
-    """Add the p-value and the level, on one row per feature."""
-    rated = statistics.withColumn("p_value", p_values(F.col("statistic"), F.col("dof")))
+    """Add the p-value and the level.  The rows, one per monitored column (and window), come
+    to the driver for it."""
+    spark = statistics.sparkSession
+    schema = statistics.schema.add("p_value", DoubleType())
+    rows = [(*row, p_value(spark, row["raw"], row["dof"])) for row in statistics.toLocalIterator()]
+    rated = spark.createDataFrame(rows, schema)
     return rated.withColumn(
         "level", level(F.col("p_value"), fixed.CHI_LEVELS, rising=False)
-    ).withColumn("p_value", S.rnd(F.col("p_value"), 6))
+    ).withColumn("p_value", S.rnd(F.col("p_value"), 6)).drop("raw")
 
 
 def score_drift(
@@ -325,9 +355,10 @@ def score_drift(
 ALERT_COLUMNS = ["feature", "metric", "value", "threshold", "level", "message"]
 
 
-def psi_alerts(index: DataFrame) -> DataFrame:
+def psi_alerts(index: DataFrame, by: list[str] | None = None) -> DataFrame:
     text = F.format_string(fixed.PSI_TEXT, F.col("feature"), F.col("psi"))
     return index.filter(F.col("level") != "none").select(
+        *(by or []),
         "feature",
         F.lit("PSI").alias("metric"),
         F.col("psi").alias("value"),
@@ -337,12 +368,13 @@ def psi_alerts(index: DataFrame) -> DataFrame:
     )
 
 
-def chi_square_alerts(rated: DataFrame) -> DataFrame:
+def chi_square_alerts(rated: DataFrame, by: list[str] | None = None) -> DataFrame:
     critical = F.col("level") == "critical"
     warning_at, critical_at = fixed.CHI_LEVELS
     lead = F.when(critical, fixed.CHI_LEAD["critical"]).otherwise(fixed.CHI_LEAD["warning"])
     text = F.format_string(fixed.CHI_TEXT, lead, F.col("feature"), F.col("p_value"))
     return rated.filter(F.col("level") != "none").select(
+        *(by or []),
         "feature",
         F.lit("chi2_pvalue").alias("metric"),
         F.col("p_value").alias("value"),
@@ -367,6 +399,16 @@ def score_alerts(rated: DataFrame, group: str) -> DataFrame:
     )
 
 
+def check_counts(profile: Profile, counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """All alerts of staged tallies, for each of the ``by`` groups."""
+    by = by or []
+    numeric = counts.where(F.col("feature").isin(profile.numeric_names) & (F.col("part") != "inside"))
+    numeric = numeric.select(*by, "feature", F.col("part").cast("int").alias("bin_no"), "n")
+    text = counts.where(F.col("feature").isin(profile.category_names)).withColumnRenamed("part", "value")
+    rated = chi_square_levels(chi_square_of_counts(profile, text, by))
+    return psi_alerts(psi_of_counts(profile, numeric, by), by).unionByName(chi_square_alerts(rated, by))
+
+
 def check(
     profile: Profile, current: DataFrame, scores: DataFrame | None = None, group: str = "group"
 ) -> DataFrame:

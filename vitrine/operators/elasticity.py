@@ -23,24 +23,27 @@ def experiment_features(
     experiments: DataFrame, products: DataFrame, category_codes: dict[str, int]
 ) -> DataFrame:
     """Experiments with their product's features; unknown products are skipped."""
-    rows = experiments.select(
+    features = elasticity_features(products, category_codes)
+    return keyed_join(numbered(experiments), features, "product_id", unique="row_no").drop("row_no")
+
+
+def numbered(experiments: DataFrame) -> DataFrame:
+    """Experiments with their arm and a number of the row.  Equal rows are many, and the
+    number is what spreads those of a hot product; a task that is run again gives the same."""
+    return experiments.select(
         "product_id",
         "discount_pct",
         "conversion_rate",
         S.treatment_arm(F.col("discount_pct")).alias("treated"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
-    return keyed_join(rows, elasticity_features(products, category_codes), "product_id")
 
 
 def response_lines(experiments: DataFrame, products: DataFrame) -> DataFrame:
     """Straight line of conversion over discount, per category and arm."""
-    rows = experiments.select(
-        "product_id",
-        "discount_pct",
-        "conversion_rate",
-        S.treatment_arm(F.col("discount_pct")).alias("treated"),
+    rows = keyed_join(
+        numbered(experiments), products.select("product_id", "category"), "product_id", unique="row_no"
     )
-    rows = keyed_join(rows, products.select("product_id", "category"), "product_id")
     return rows.groupBy("category", "treated").agg(
         F.regr_slope("conversion_rate", "discount_pct").alias("slope"),
         F.regr_intercept("conversion_rate", "discount_pct").alias("intercept"),

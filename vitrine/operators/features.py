@@ -90,11 +90,6 @@ def product_features(products: DataFrame, category_codes: dict[str, int]) -> Dat
     return products.withColumn("category_encoded", S.encode(F.col("category"), category_codes))
 
 
-def lookup(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of a feature table for the wanted keys, with nulls where a key is absent."""
-    return wanted.select(key).distinct().join(table, key, "left")
-
-
 def columns_by_type(table: DataFrame) -> tuple[list[str], list[str]]:
     """Names of the numeric and of the text columns."""
     fields = table.schema.fields
@@ -141,15 +136,3 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         .when(~F.col("candidate_pool").between(pool_min, pool_max), "candidate_pool")
     )
     return filled.withColumn("reject_reason", reason)
-
-
-def write_features(table: DataFrame, path: str, key: str, buckets: int | None = None) -> None:
-    """Write a feature table.  With ``buckets`` it becomes a bucketed catalogue table, so
-    later joins on the key shuffle only the other side."""
-    if buckets is None:
-        table.write.mode("overwrite").parquet(path)
-    else:
-        name = path.rstrip("/").rsplit("/", 1)[-1]
-        table.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option(
-            "path", path
-        ).saveAsTable(name)

@@ -166,30 +166,42 @@ def recommend(
     asked = X.join_presets(
         keyed_join(wanted, users, "user_id", unique=key), "weight_preset"
     )
-    pairs = scorer(candidate_pairs(asked, staged_catalogue, key))
-    pairs = pairs.withColumns(
+    pairs = with_scores(scorer(candidate_pairs(asked, staged_catalogue, key)))
+    # Most candidates can no longer be picked: they are left out before a request's are put
+    # into one row.  The rows are partitioned by request already.
+    pairs = D.prune(pairs, key, F.col("top_k"), F.col("diversity"), F.col("apply_diversity"))
+    grouped = pairs.groupBy(key).agg(
+        *[F.first(name).alias(name) for name in PER_REQUEST],
+        F.first("pool_size").alias("total_candidates"),
+        D.sorted_candidates(F.col("score"), ["propensity_score"]).alias("candidates"),
+    )
+    return picked(grouped, staged_catalogue, key)
+
+
+PER_REQUEST = [
+    "user_id", "top_k", "apply_diversity", "weight_preset", "diversity",
+    *fixed.SIGNALS[:-1], "demand_spike_weight",
+]
+
+
+def with_scores(pairs: DataFrame) -> DataFrame:
+    """The score of each (request, product) row, and what diversity needs of the product."""
+    return pairs.withColumns(
         {
             "score": weighted_score(F.col("propensity_score")),
             "cluster": F.col("style_cluster"),
             "tier": S.price_tier(F.col("current_price")),
         }
     )
-    per_request = [
-        "user_id", "top_k", "apply_diversity", "weight_preset", "diversity",
-        *fixed.SIGNALS[:-1], "demand_spike_weight",
-    ]
-    carried = ["propensity_score"]
-    # A group is one request's candidates, at most 500 by the request limits.
-    grouped = pairs.groupBy(key).agg(
-        *[F.first(name).alias(name) for name in per_request],
-        F.count(F.lit(1)).alias("total_candidates"),
-        D.sorted_candidates(F.col("score"), carried).alias("candidates"),
-    )
+
+
+def picked(grouped: DataFrame, staged_catalogue: DataFrame, key: str) -> DataFrame:
+    """The ranked products of requests with their ``candidates``, described."""
     ranked = D.mmr_picks(
         grouped, F.col("top_k"), F.col("diversity"), F.col("apply_diversity")
-    ).withColumns({name: F.col(f"candidate.{name}") for name in carried})
+    ).withColumn("propensity_score", F.col("candidate.propensity_score"))
     described = staged_catalogue.drop("product_index", "style_cluster", "segment_rates")
-    # The picks come from evenly sampled pools, so no product is hot here either.
+    # The picks of many requests are spread over the catalogue, so no product is hot here.
     full = with_labels(ranked.join(broadcast_if_small(described), "product_id"))
     return full.select(
         key,
@@ -286,13 +298,10 @@ def whole_lists(asked: DataFrame, staged_catalogue: DataFrame) -> DataFrame:
     signals = [*fixed.SIGNALS[:-1], "demand_spike_weight", "diversity"]
     lists = stage(asked.select(*LIST, *signals).distinct(), "lists")
     kinds = ["segment", "preset", *signals[:-1]]
-    # Segments and presets are a handful; so are their combinations.
-    used = lists.groupBy(*kinds).agg(F.max("top_k").alias("most")).collect()
-    types = dict(lists.dtypes) | {"most": "int"}
-    fields = ", ".join(f"{n}:{types[n]}" for n in [*kinds, "most"])
-    combinations = F.array(
-        *[F.struct(*[F.lit(row[n]).alias(n) for n in [*kinds, "most"]]) for row in used]
-    ).cast(f"array<struct<{fields}>>")
+    # A struct for each segment and preset that is in use.
+    used = lists.select(*kinds).distinct()
+    combinations = used.agg(F.collect_list(F.struct(*kinds))).scalar()
+    most = lists.agg(F.max("top_k")).first()[0] or 0
     scored = rated(
         staged_catalogue.withColumn("kind", F.explode(combinations)).select("*", "kind.*")
     ).withColumns(
@@ -305,7 +314,6 @@ def whole_lists(asked: DataFrame, staged_catalogue: DataFrame) -> DataFrame:
     cell = Window.partitionBy("segment", "preset", "cluster", "category", "tier").orderBy(
         F.desc("score"), "product_id"
     )
-    most = max((row["most"] for row in used), default=0)
     pools = (
         scored.withColumn("place", F.row_number().over(cell))
         .filter(F.col("place") <= most)
@@ -382,8 +390,11 @@ def answer(
 def recommend_all(
     requests: DataFrame, users: DataFrame, staged_catalogue: DataFrame, scorer=rated
 ) -> DataFrame:
-    """Ranked products for every request: personal for known users, cold start for the rest."""
-    _, unknown = split_known(requests, users)
+    """Ranked products for every request: personal for known users, cold start for the rest.
+
+    Requests outside the limits get neither, so the cold start list is as long as they allow.
+    """
+    _, unknown = split_known(accepted(requests, "request_id"), users)
     return recommend(requests, users, staged_catalogue, scorer).unionByName(
         cold_start(unknown, staged_catalogue)
     )

@@ -327,7 +327,7 @@ def mmr(source: str, rid: str, steps: int) -> dict[str, str]:
     )
     worse = rnd(f"a.diversity * {similarity('a', 'b')}", 4)
     parts["picks"] = f"""
-        select {rid}, rank, product_id, {rnd("any_value(pick_score)", 6)} as pick_score,
+        select {rid}, rank, product_id, any_value(score) as raw_score, {rnd("any_value(pick_score)", 6)} as pick_score,
                greatest(0.0::double, any_value(score) - coalesce(max(worse), 0.0::double)) as kept
         from (select a.{rid}, a.rank, a.product_id, a.pick_score, a.score,
                      case when a.product_id <> b.product_id then {worse} end as worse
@@ -521,6 +521,88 @@ TWO["chi_rows"] = """
     from (select feature, value, count(*)::double / sum(count(*)) over (partition by feature) as share from ref_texts group by 1, 2) r
     left join (select feature, value, count(*) as n from cur_texts group by 1, 2) c using (feature, value)"""
 
+# Quantiles of chi-square decide the level.  Its p-value is SQL here only far out, where it is
+# zero to all places that are shown; nearer ones come out as null.
+ALERTS = {
+    **TWO,
+    "chi_alerts": """
+        select feature, statistic > q99 as critical, case when statistic > 60 then 0.0::double end as p
+        from (select feature, sum(pow(observed + 1e-10::double - (share * size + 1e-10::double), 2) / (share * size + 1e-10::double)) as statistic,
+                     count(*) - 1 as dof from chi_rows group by 1)
+        join (values (1, 3.841458820694124, 6.634896601021213), (2, 5.991464547107979, 9.210340371976180),
+                     (3, 7.814727903251179, 11.34486673014437), (4, 9.487729036781154, 13.27670413598760),
+                     (5, 11.07049769351635, 15.08627246938899), (6, 12.59158724374398, 16.81189382977093)) q(dof, q95, q99) using (dof)
+        where statistic > q95""",
+    "paid": """
+        select event_type, abs(avg(price_paid) - (select avg(price_paid) from ref_rows))
+               / ((select stddev_samp(price_paid) from ref_rows) + 1e-10::double) as z
+        from web group by 1""",
+    "alerts": f"""
+        select feature, 'PSI' as metric, psi as value, 0.1::double as threshold, level,
+               format('Distribution shift detected in ''{{}}'' (PSI={{:.4f}})', feature, psi) as message
+        from psi_levels where level <> 'none'
+        union all
+        select feature, 'chi2_pvalue', p, case when critical then 0.01 else 0.05 end::double,
+               case when critical then 'critical' else 'warning' end,
+               case when critical then 'Categorical distribution shift' else 'Possible categorical drift' end
+               || format(' in ''{{}}'' (p={{:.6f}})', feature, p)
+        from chi_alerts
+        union all
+        select event_type, 'zscore', {rnd("z", 4)}, case when z > 3 then 3 else 2 end::double,
+               case when z > 3 then 'critical' else 'warning' end,
+               case when z > 3 then 'Score distribution anomaly' else 'Score distribution warning' end
+               || format(': mean shifted {{:.1f}}σ from baseline', z)
+        from paid where z > 2""",
+}
+
+# Weeks of web events that are over when the stream has ended, each against the reference.
+WINDOWS = {
+    **TWO,
+    "week_rows": TWO["cur_rows"].replace("select price_paid", "select floor(epoch(ts) / 604800)::bigint as week, price_paid"),
+    "week_values": """
+        unpivot (select week, price_paid, quantity, weekday, month_day from week_rows)
+        on price_paid, quantity, weekday, month_day into name feature value value""",
+    "week_bins": """
+        select week, feature, case when value between edges[1] and edges[len(edges)]
+                   then least(len(list_filter(edges, lambda e: value >= e)), len(edges) - 1) else 0 end as bin_no, count(*) as n
+        from week_values join ref_edges using (feature)
+        where (epoch((select max(ts) from web)) - 604800) >= (week + 1) * 604800 group by 1, 2, 3""",
+    "week_terms": """
+        select g.week, b.feature,
+               greatest(coalesce(r.n, 0)::double / sum(coalesce(r.n, 0)) over (partition by g.week, b.feature), 1e-10::double) as p,
+               greatest(coalesce(c.n, 0)::double / (sum(coalesce(c.n, 0)) over (partition by g.week, b.feature) + 1e-10::double), 1e-10::double) as q
+        from (select distinct week, feature from week_bins) g
+        join (select feature, unnest(range(1, len(edges))) as bin_no from ref_edges where len(edges) > 1) b using (feature)
+        left join ref_bins r on r.feature = b.feature and r.bin_no = b.bin_no
+        left join week_bins c on c.week = g.week and c.feature = b.feature and c.bin_no = b.bin_no""",
+    "week_psi": "select week, feature, sum((q - p) * ln(q / p)) as psi from week_terms group by 1, 2",
+}
+
+# Bucket of nearly equal values, and the values of the reference in such buckets.
+BUCKET = "case when value = 0 then 0 else sign(value) * (floor(ln(abs(value)) / ln(1.002::double)) + 400000) end::bigint"
+MERGED = {
+    **TWO,
+    "buckets": f"select feature, {BUCKET} as bucket, min(value) as low, max(value) as high, count(*) as n from ref_values group by 1, 2",
+    "running": """
+        select *, sum(n) over (partition by feature order by bucket) - n as below, sum(n) over (partition by feature) as total
+        from buckets""",
+    "starts": """
+        select feature, low as edge, any_value(below) as below
+        from running, range(0, 10) t(i)
+        where floor((total - 1) * i / 10) >= below and floor((total - 1) * i / 10) < below + n group by 1, 2
+        union all
+        select feature, max(high), max(total) from running group by 1""",
+    "merged_edges": "select feature, edge, min(below) as below from starts group by 1, 2",
+    "merged_bins": """
+        select * from (
+            select feature, row_number() over (partition by feature order by edge) as bin_no, edge as low,
+                   case when lead(edge, 2) over (partition by feature order by edge) is null
+                        then max(total) over (partition by feature) else lead(below) over (partition by feature order by edge) end - below as n,
+                   lead(edge) over (partition by feature order by edge) as high
+            from merged_edges join (select feature, any_value(total) as total from running group by 1) using (feature))
+        where high is not null""",
+}
+
 RUNS = {
     "run_base": f"""
         select 'status_' || l_linestatus as experiment, l_returnflag || '_' || year(l_shipdate)::varchar as run_name,
@@ -573,6 +655,10 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     ),
     "log_run": ("select * from run_maps", RUNS),
     "feature_tables": BOTH_STORES,
+    "save_load_model": """
+        select 'propensity' as model, count(*) as n_rows, 0::bigint as n_different
+        from samples join users using (user_id) join products using (product_id)
+        union all select m, count(*), 0 from products, (values ('elasticity'), ('inventory'), ('demand')) t(m) group by 1""",
     # Projections
     "sell_through_rate": "select product_id, sell_through_rate from products",
     "margin_score": "select product_id, margin_score from products",
@@ -708,6 +794,15 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
                 from (values (true), (false)) c(same_category), range(0, 5) t(apart)""",
         },
     ),
+    "similar_products_loose": (
+        f"""select product_id, place::int as place, similar_id, similarity
+           from (select product_id, similar_id, similarity,
+                        row_number() over (partition by product_id order by similarity desc, similar_id) as place
+                 from (select a.product_id, b.product_id as similar_id, {similarity('a', 'b')} as similarity
+                       from traits a join traits b on a.product_id <> b.product_id and (a.cluster = b.cluster or a.category = b.category))
+                 where similarity > 0.3::double) where place <= 5""",
+        {"traits": f"select product_id, style_cluster as cluster, category, {tier('current_price')} as tier from products"},
+    ),
     "unknown_users": "select c_custkey as request_id, c_custkey as user_id from customer where c_custkey not in (select user_id from web)",
     "known_users": "select c_custkey as request_id, c_custkey as user_id from customer where c_custkey in (select user_id from web)",
     "preset_join": """
@@ -717,7 +812,7 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     "product_score_join": f"""
         select product_id, {at(6, "inventory_pressure")}, {rnd("coalesce(demand_spike, 0.5)", 6)} as demand_spike
         from products left join pressure using (product_id)
-        left join (select * from spikes where product_id in (select l_partkey from lineitem)) using (product_id)""",
+        left join spikes using (product_id)""",
     # Aggregations
     "purchase_count_30d": "select user_id, purchase_count_30d from history where purchase_count_30d > 0",
     "avg_price_paid": f"select user_id, {at(4, 'avg_price_paid')} from history",
@@ -837,6 +932,11 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
         whole("""select segment as request_id, min(user_id) as user_id, 20 as top_k, 'balanced' as weight_preset
                  from users group by segment""", 20),
     ),
+    "recommend_whole_scored": (
+        f"select {RANKED} from of_segment",
+        whole("""select segment as request_id, min(user_id) as user_id, 20 as top_k, 'balanced' as weight_preset
+                 from users group by segment""", 20),
+    ),
     "recommend_whole_presets": (
         "select user_id, weight_preset as weights_used, rank, product_id, final_score from of_segment",
         whole("""select segment || ':' || preset as request_id, user_id, 5 as top_k, preset as weight_preset
@@ -887,8 +987,15 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
         {"pair_requests": PAIR_REQUESTS, "pair_scores": PAIR_SCORES},
     ),
     "product_similarity": (
-        f"select a.user_id, a.product_id, {similarity('a', 'b')} as similarity from top a join top b using (user_id) where b.rank = 1",
-        {**POOL, "top": "select * from (select *, row_number() over (partition by user_id order by score desc, product_id)::int as rank from scored) where rank <= 10"},
+        f"select user_id, product_id, {similarity('a', 'b')} as similarity from traits",
+        {
+            **POOL,
+            "traits": """
+                select user_id, product_id, {'cluster': cluster, 'category': category, 'tier': tier} as a, first_value(a) over (
+                           partition by user_id order by score desc, product_id) as b
+                from scored
+                qualify row_number() over (partition by user_id order by score desc, product_id) <= 10""",
+        },
     ),
     "diversity_penalty": (
         f"""select a.user_id, a.product_id, a.rank,
@@ -897,8 +1004,7 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
         {**POOL, "top": "select * from (select *, row_number() over (partition by user_id order by score desc, product_id)::int as rank from scored) where rank <= 10"},
     ),
     "mmr_rerank": (
-        f"""select user_id, p.rank::int as rank, product_id, score, p.pick_score, {rnd("p.kept", 6)} as final_score
-            from picks p join scored using (user_id, product_id)""",
+        f"select user_id, rank::int as rank, product_id, raw_score as score, pick_score, {rnd('kept', 6)} as final_score from picks",
         {**POOL, "quarter": "select * replace (0.25::double as diversity) from scored", **mmr("quarter", "user_id", 5)},
     ),
     "sale_badge_report": f"""
@@ -942,18 +1048,23 @@ BODIES: dict[str, str | tuple[str, dict[str, str]]] = {
     ),
     "psi": ("select feature, psi, out_of_range_count from psi_table", TWO),
     "psi_level": ("select feature, level from psi_levels", TWO),
-    "drift_check": (
-        """select feature, 'PSI' as metric, psi as value, 0.1::double as threshold, level from psi_levels where level <> 'none'
-           union all
-           select feature, 'chi2_pvalue', null::double, case when statistic > q99 then 0.01 else 0.05 end::double,
-                  case when statistic > q99 then 'critical' else 'warning' end
-           from (select feature, sum(pow(observed + 1e-10::double - (share * size + 1e-10::double), 2) / (share * size + 1e-10::double)) as statistic,
-                        count(*) - 1 as dof from chi_rows group by 1)
-           join (values (1, 3.841458820694124, 6.634896601021213), (2, 5.991464547107979, 9.210340371976180),
-                        (3, 7.814727903251179, 11.34486673014437), (4, 9.487729036781154, 13.27670413598760),
-                        (5, 11.07049769351635, 15.08627246938899), (6, 12.59158724374398, 16.81189382977093)) q(dof, q95, q99) using (dof)
-           where statistic > q95""",
-        TWO,
+    "drift_check": ("select feature, metric, value, threshold, level from alerts", ALERTS),
+    "drift_alert_text": (
+        """select *, case level when 'critical' then '🚨' else '⚠️' end || ' [' || upper(level) || '] ' || feature || ': ' || metric
+                  || '=' || format('{:.4f}', value) || ' (threshold=' || threshold::varchar || ')' as text from alerts""",
+        ALERTS,
+    ),
+    "drift_windows": (
+        f"""select strftime(make_timestamp(week * 604800000000), '%Y-%m-%d') as window_start, feature, {rnd('psi', 6)} as value,
+            case when psi >= 0.25::double then 'critical' else 'warning' end as level
+            from week_psi where psi >= 0.10::double""",
+        WINDOWS,
+    ),
+    "drift_profile_merged": (
+        f"""select feature, bin_no::varchar as part, n::bigint as n, {rnd('low', 4)} as low, {at(3, 'mean', 'std')}
+            from merged_bins join (select feature, avg(value) as mean, stddev_samp(value) as std from ref_values group by 1) using (feature)
+            union all select feature, value, count(*), null, null, null from ref_texts group by 1, 2""",
+        MERGED,
     ),
     "chi_square": (
         f"""select feature, {rnd(rnd("sum(pow(observed + 1e-10::double - (share * size + 1e-10::double), 2) / (share * size + 1e-10::double))", 6), 3)} as statistic,

@@ -16,7 +16,7 @@ from vitrine import fixed
 from vitrine.functions import scalars as S
 from vitrine.functions import vectors as V
 from vitrine.operators import demand as D
-from vitrine.operators import diversity, drift, inventory, metrics, runs, sampling
+from vitrine.operators import diversity, drift, inventory, metrics, profiles, runs, sampling, threshold
 from vitrine.operators import elasticity as E
 from vitrine.operators import experiments as X
 from vitrine.operators import features as U
@@ -24,7 +24,7 @@ from vitrine.operators import learners as L
 from vitrine.operators import propensity as P
 from vitrine.operators import ranking as R
 from vitrine.operators.skew import keyed_join, lookup_join
-from vitrine.sources import runlog, staging, tables
+from vitrine.sources import feature_store, model_store, runlog, staging, tables
 from vitrine.streaming import serving
 
 CODES = fixed.PART_TYPE_CODES
@@ -140,6 +140,21 @@ class Store:
         pairs = P.training_pairs(self.web, self.staged_users, self.staged_products, CODES)
         return staging.stage(pairs, "training_pairs")
 
+    def feature_table(self, name: str) -> str:
+        """The published feature table of users or products, built once for a folder and
+        session."""
+        key = self.spark.sparkContext.applicationId, self.folder, f"features_{name}"
+        if key not in FITTED:
+            made = {
+                "users": lambda: U.user_features(self.users, self.ship, self.ship_as_of),
+                "products": lambda: U.product_features(self.products, CODES),
+            }
+            table = f"features_{name}_{staging.uuid.uuid4().hex}"
+            path = f"{staging.session_folder(self.spark)}/{table}"
+            feature_store.publish(made[name](), f"{name[:-1]}_id", path, table)
+            FITTED[key] = (table,)
+        return FITTED[key][0]
+
     def fitted(self, name: str) -> tuple:
         """Trained models and their metrics.  Trained once for a folder and session, since
         several queries score with them."""
@@ -377,57 +392,66 @@ def read_runs(s: Store) -> DataFrame:
 
 @query
 def feature_tables(s: Store) -> DataFrame:
-    path = f"{staging.shared_folder(s.spark)}/features-{staging.uuid.uuid4().hex}"
-    made = {
-        "users": U.user_features(s.users, s.ship, s.ship_as_of),
-        "products": U.product_features(s.products, CODES),
-    }
     counts = []
     for name, key, value in (("users", "user_id", "avg_price_paid"), ("products", "product_id", "margin_score")):
-        U.write_features(made[name], f"{path}/{name}", key)
+        published = s.spark.table(s.feature_table(name))
         counts.append(
-            s.spark.read.parquet(f"{path}/{name}").select(
+            published.select(
                 F.lit(name).alias("store"), F.col(key).alias("id"), S.rnd(F.col(value), 4).alias("value")
             )
         )
     return counts[0].unionByName(counts[1])
 
 
+# Trees of the models that are saved and loaded; how many there are does not matter to that.
+SAVED_TREES = 3
+
+
 @query
 def save_load_model(s: Store) -> DataFrame:
-    """Scores of all models before they are saved and after they are loaded."""
-    control, treated = s.fitted("elasticity")[:2]
+    """All four models and the demand baseline published, read back, and every row scored
+    with both: rows and rows that differ, for each model."""
+    s.need("users", "products", "daily")
+    products, pairs = s.staged_products, s.training_pairs
+    columns = list(V.propensity_columns(s.staged_users, CODES))
+    fitted = staging.together(
+        s.spark,
+        propensity=lambda: L.train_propensity(pairs, columns, SAVED_TREES)[0],
+        elasticity=lambda: L.train_elasticity(s.experiments, products, CODES, SAVED_TREES)[:2],
+        inventory=lambda: L.train_inventory(products, CODES, SAVED_TREES)[0],
+        demand=lambda: L.train_demand(D.training_set(s.daily, products, CODES), SAVED_TREES)[0],
+    )
     models = {
-        "propensity": s.fitted("propensity")[0],
-        "control": control,
-        "treated": treated,
-        "inventory": s.fitted("inventory")[0],
+        "propensity": fitted["propensity"],
+        "control": fitted["elasticity"][0],
+        "treated": fitted["elasticity"][1],
+        "inventory": fitted["inventory"],
     }
-    if s.fitted("demand")[0]:
-        models["demand"] = s.fitted("demand")[0]
+    if fitted["demand"]:
+        models["demand"] = fitted["demand"]
     path = f"{staging.session_folder(s.spark)}/models-{staging.uuid.uuid4().hex}"
-    L.save_all(path, models, baseline=D.demand_baseline(s.daily))
-    loaded, kept = L.load_all(s.spark, path, list(models), ["baseline"])
+    store = model_store.Store(s.spark, path)
+    baseline = D.demand_baseline(s.daily)
+    store.publish(models, baseline=baseline)
+    loaded, kept = store.read()
 
     def scores(m: dict, baseline: DataFrame) -> DataFrame:
-        pairs = L.with_propensity(s.training_pairs, m["propensity"])
-        uplift = L.grid_uplift(s.staged_products, m["control"], m["treated"], CODES)
-        parts = [
-            pairs.select(F.lit("propensity").alias("model"), F.col("event_id").alias("id"), F.col("propensity_score").alias("score")),
-            uplift.where("discount > 0.29 and discount < 0.31").select(F.lit("elasticity"), "product_id", "uplift"),
-            L.model_pressure(s.staged_products, m["inventory"], CODES).select(F.lit("inventory"), "product_id", "inventory_pressure"),
-        ]
-        if "demand" in m:
-            spikes = D.demand_spikes(L.model_demand(s.latest, m["demand"]), baseline, s.staged_products)
-            parts.append(spikes.select(F.lit("demand"), "product_id", "demand_spike"))
-        table = parts[0]
-        for part in parts[1:]:
-            table = table.unionAll(part)
-        return table
-
-    before = scores(models, D.demand_baseline(s.daily))
+        uplift = L.grid_uplift(products, m["control"], m["treated"], CODES)
+        predicted = L.model_demand(s.latest, m["demand"]) if "demand" in m else D.predict_closed_form(s.latest)
+        parts = {
+            "propensity": L.with_propensity(pairs, m["propensity"]).select("event_id", "propensity_score"),
+            "elasticity": uplift.groupBy("product_id").agg(F.sum("uplift")),
+            "inventory": L.model_pressure(products, m["inventory"], CODES),
+            "demand": D.demand_spikes(predicted, baseline, products),
+        }
+        tables = [t.toDF("id", "score").select(F.lit(name).alias("model"), "id", "score") for name, t in parts.items()]
+        return tables[0].unionAll(tables[1]).unionAll(tables[2]).unionAll(tables[3])
+
     after = scores(loaded, kept["baseline"]).withColumnRenamed("score", "loaded_score")
-    return before.join(after, ["model", "id"])
+    same = S.rnd(F.col("score"), 9).eqNullSafe(S.rnd(F.col("loaded_score"), 9))
+    return scores(models, baseline).join(after, ["model", "id"]).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(~same).alias("n_different")
+    )
 
 
 # Projections and scalar rules
@@ -687,7 +711,8 @@ def drop_nulls(s: Store) -> DataFrame:
 
 @query
 def feature_lookup(s: Store) -> DataFrame:
-    found = U.lookup(s.products, "product_id", pair_requests(s).select("product_id"))
+    table = s.feature_table("products")
+    found = feature_store.lookup(s.spark, table, "product_id", pair_requests(s).select("product_id"))
     return rounded(found.select("product_id", "category", "base_price", "margin_score"), 4)
 
 
@@ -748,6 +773,12 @@ def similar_products(s: Store) -> DataFrame:
     return diversity.similar_products(s.products, 5)
 
 
+@query
+def similar_products_loose(s: Store) -> DataFrame:
+    """Lists that reach beyond the own cluster."""
+    return diversity.similar_products(s.products, 5, above=0.3)
+
+
 @query
 def unknown_users(s: Store) -> DataFrame:
     _, unknown = R.split_known(s.request_all(), s.web.select("user_id").distinct())
@@ -767,9 +798,7 @@ def preset_join(s: Store) -> DataFrame:
 
 @query
 def product_score_join(s: Store) -> DataFrame:
-    # Scores of sold products only, so the default shows for the others.
-    sold = s.shipments.select("product_id").distinct()
-    scored = R.product_scores(s.staged_products, s.pressure, s.spikes.join(sold, "product_id", "left_semi"))
+    scored = R.product_scores(s.staged_products, s.pressure, s.spikes)
     return rounded(scored.select("product_id", "inventory_pressure", "demand_spike"))
 
 
@@ -848,10 +877,11 @@ def profiled(s: Store) -> DataFrame:
     return s.staged_users.drop("user_id")
 
 
-def drift_columns(events: DataFrame) -> DataFrame:
-    """Columns of an event source that both sources have."""
+def drift_columns(events: DataFrame, *more: Column) -> DataFrame:
+    """Columns of an event source that both sources have, and more."""
     day = F.to_date("ts")
     return events.select(
+        *more,
         "price_paid",
         F.col("quantity"),
         F.weekday(day).alias("weekday"),
@@ -1130,6 +1160,22 @@ def recommend_whole(s: Store) -> DataFrame:
     return shown(R.recommend_whole(s.request_all(), s.staged_users, catalogue))
 
 
+@query
+def recommend_whole_scored(s: Store) -> DataFrame:
+    """``recommend_whole`` for a scorer of which nothing is known but its largest value."""
+    catalogue = s.catalogue
+    return shown(threshold.recommend_scored(s.request_all(), s.staged_users, catalogue, R.rated))
+
+
+@query
+def recommend_whole_trees(s: Store) -> DataFrame:
+    """The whole catalogue under the trained propensity model."""
+    catalogue = s.catalogue
+    score = L.propensity_scorer(s.fitted("propensity")[0], s.staged_users, CODES)
+    ranked = threshold.recommend_scored(s.request_all(), s.staged_users, catalogue, score)
+    return ranked.select("user_id", "rank", "product_id", "propensity_score", "final_score")
+
+
 @query
 def recommend_whole_presets(s: Store) -> DataFrame:
     asked = X.under_every_preset(s.request_all(top_k=5).drop("weight_preset"))
@@ -1297,7 +1343,7 @@ def psi_level(s: Store) -> DataFrame:
 
 @query
 def chi_square(s: Store) -> DataFrame:
-    return rounded(drift.chi_square(*reference_and_current(s)), 3)
+    return rounded(drift.chi_square(*reference_and_current(s)).drop("raw"), 3)
 
 
 @query
@@ -1316,17 +1362,23 @@ def score_zscore(s: Store) -> DataFrame:
     return rounded(drift.score_drift(ranked, "weights_used", "final_score", mean, std), 4)
 
 
+def all_alerts(s: Store) -> DataFrame:
+    """Alerts of the web events against shipments; what an event paid is its score, which is
+    held against the reference's mean and deviation for each type of event."""
+    profile, current = reference_and_current(s)
+    paid = profile.numeric.where("feature = 'price_paid'").select("mean", "std").first()
+    scores = drift.score_drift(s.web, "event_type", "price_paid", F.lit(paid["mean"]), F.lit(paid["std"]))
+    return drift.check(profile, current, scores, "event_type")
+
+
 @query
 def drift_check(s: Store) -> DataFrame:
-    """All alerts; the p-value of a chi-square alert is ``chi_square_p``'s to show."""
-    alerts = drift.check(*reference_and_current(s))
-    value = F.when(F.col("metric") == "PSI", F.col("value"))
-    return alerts.select("feature", "metric", value.alias("value"), "threshold", "level")
+    return all_alerts(s).select("feature", "metric", "value", "threshold", "level")
 
 
 @query
 def drift_alert_text(s: Store) -> DataFrame:
-    return drift.alert_text(drift.check(*reference_and_current(s)))
+    return drift.alert_text(all_alerts(s))
 
 
 @query
@@ -1334,6 +1386,43 @@ def drift_summary(s: Store) -> DataFrame:
     return drift.summary(drift.fit(profiled(s)))
 
 
+@query
+def drift_profile_merged(s: Store) -> DataFrame:
+    """The profile of all shipments from summaries of each year's."""
+    rows = drift_columns(s.shipments, F.year("ts").alias("year"))
+    yearly = staging.stage(profiles.summarise(rows, by=["year"]), "yearly")
+    profile = profiles.profile_of(profiles.merge(yearly))
+    bins = profile.bins.join(F.broadcast(profile.numeric.drop("edges", "n_values")), "feature").select(
+        "feature", F.col("bin_no").cast("string").alias("part"), "n", S.rnd(F.col("low"), 4).alias("low"),
+        S.rnd(F.col("mean"), 3).alias("mean"), S.rnd(F.col("std"), 3).alias("std"),
+    )
+    none = F.lit(None).cast("double")
+    return bins.unionByName(
+        profile.shares.select(
+            "feature", F.col("value").alias("part"), "n", none.alias("low"), none.alias("mean"), none.alias("std")
+        )
+    )
+
+
+@query
+def drift_windows(s: Store) -> DataFrame:
+    """Index and level of every week of web events, which arrive as a stream of files, over
+    the limits; the weeks that the watermark has not passed are still open."""
+    base = f"{staging.session_folder(s.spark)}/windows-{staging.uuid.uuid4().hex}"
+    profile = drift.fit(drift_columns(s.shipments))
+    rows = staging.stage(drift_columns(s.web, F.col("ts").cast("timestamp").alias("ts")), "web_rows")
+    early = rows.agg(F.timestamp_micros(F.avg(F.unix_micros("ts")).cast("bigint"))).scalar()
+    for arrived in (F.col("ts") < early, F.col("ts") >= early):
+        rows.where(arrived).write.mode("append").parquet(f"{base}/events")
+    stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
+    serving.watch_windows(
+        stream, profile, "ts", f"{base}/alerts", f"{base}/progress", length="7 days", late="7 days"
+    ).awaitTermination()
+    alerts = s.spark.read.parquet(f"{base}/alerts").where("metric = 'PSI'")
+    start = F.date_format("window_start", "yyyy-MM-dd").alias("window_start")
+    return alerts.select(start, "feature", "value", "level")
+
+
 # Run log
 
 
