@@ -9,7 +9,8 @@ tasks.  For each length of phrase:
 1. Every shard is mined completely at its share of the support: with n words of the
    language's N, a phrase is locally frequent from ceil(support * n / N) on.  A phrase that is
    locally frequent in no shard is below the support.
-2. The union of the locally frequent phrases are the candidates.
+2. The union of the locally frequent phrases are the candidates, but for those whose counts,
+   with all that other shards may have of them, stay under the support.
 3. All candidates are counted in all shards, by their strings, and those below the support go.
 
 Step 1 skips phrases with an infrequent part and knows phrases by 64-bit hashes; steps 1 and 3
@@ -146,11 +147,12 @@ def _parts(batches: Iterator[pa.RecordBatch], with_words: bool = False):
     def joined(key: tuple[str, int]):
         blocks = held.pop(key)
         words = [w for block, *_ in blocks for w in block.split(" ")] if with_words else None
+        own = word_hashes(key[0], words) if with_words else np.concatenate([h for _, h, _ in blocks])
         places, first = [], 0
-        for _, h, p in blocks:
+        for block, h, p in blocks:
             places.append(np.where(p < 0, np.int32(-1), p + np.int32(first)))
-            first += len(h)
-        places, own = np.concatenate(places), np.concatenate([h for _, h, _ in blocks])
+            first += block.count(" ") + 1 if with_words else len(h)
+        places = np.concatenate(places)
         inside = places >= 0
         return *key, words, places, np.where(inside, own[places], np.uint64(0)), inside
 
@@ -158,9 +160,8 @@ def _parts(batches: Iterator[pa.RecordBatch], with_words: bool = False):
         for row in batch.to_pylist():
             key = row["lang"], row["shard"]
             blocks = held.setdefault(key, [])
-            blocks.append(
-                (row.get("words"), np.frombuffer(row["hashes"], "<u8"), np.frombuffer(row["places"], "<i4"))
-            )
+            hashes = None if with_words else np.frombuffer(row["hashes"], "<u8")
+            blocks.append((row.get("words"), hashes, np.frombuffer(row["places"], "<i4")))
             if sum(len(places) for *_, places in blocks) >= PART:
                 yield joined(key)
     for key in list(held):
@@ -253,6 +254,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         [(r["lang"], r["shard"], -(-support * r["n"] // totals[r["lang"]])) for r in sizes],
         "lang string, shard int, least long",
     )
+    untold = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("untold"))
     found = stage(
         table.where("word is not null").groupBy("lang", "word").agg(F.sum("count").alias("f"), F.first("h").alias("h"))
         .where(F.col("f") >= support).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "h", "f"),
@@ -264,18 +266,25 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         if not n:
             break
         mined = map_batches(
-            blocks.drop("words"), _mined, "lang string, shard int, h long, count int", k, bitmap(found, n)
+            blocks.select("lang", "shard", "hashes", "places"), _mined, "lang string, shard int, h long, count int", k, bitmap(found, n)
         )
         local = mined.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count"))
-        frequent = local.join(F.broadcast(least), ["lang", "shard"]).where("count >= least")
-        candidates = stage(frequent.select("lang", "h").distinct(), "candidates")
+        # What a shard that does not name a phrase may have of it is one less than its share.
+        named = local.join(F.broadcast(least), ["lang", "shard"]).where("count >= least").groupBy("lang", "h").agg(
+            F.sum("count").alias("named"), F.sum(F.col("least") - 1).alias("told")
+        )
+        candidates = stage(
+            named.join(F.broadcast(untold), "lang").where(F.col("named") + F.col("untold") - F.col("told") >= support)
+            .select("lang", "h"),
+            "candidates",
+        )
         n = candidates.count()
         slices = max(1, -(-n * BITS_EACH // (2 * BITS)))
         counted = None
         for which in range(slices):
             own = candidates.where(F.expr(f"pmod(h, {slices}) = {which}"))
             part = map_batches(
-                blocks, _recounted, "lang string, phrase string, h long, count long",
+                blocks.select("lang", "shard", "words", "places"), _recounted, "lang string, phrase string, h long, count long",
                 k, bitmap(own, -(-n // slices)), slices, which,
             )
             counted = part if counted is None else counted.unionByName(part)
