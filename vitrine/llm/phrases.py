@@ -25,6 +25,7 @@ Empty tables, and languages without candidates, give no rows.  Other columns are
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import uuid
@@ -51,9 +52,9 @@ KEPT = 2000
 SHARDS = 15
 BLOCK = 1 << 17
 # Words of a shard that a task counts at a time.
-PART = 4_000_000
+PART = 1_500_000
 # Distinct words that a task counts before it sends them on.
-HELD = 400_000
+HELD = 250_000
 # Bits of a bitmap at most, and bits for each hash in it.
 BITS = 1 << 27
 BITS_EACH = 16
@@ -116,6 +117,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema):
     for lang in list(started):
         yield from close(lang)
     yield from send()
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers stay for the next stage, which needs it elsewhere."""
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):
+        library.malloc_trim(0)
 
 
 def word_hashes(lang: str, words) -> np.ndarray:
@@ -163,9 +172,12 @@ def _parts(batches: Iterator[pa.RecordBatch], with_words: bool = False):
             hashes = None if with_words else np.frombuffer(row["hashes"], "<u8")
             blocks.append((row.get("words"), hashes, np.frombuffer(row["places"], "<i4")))
             if sum(len(places) for *_, places in blocks) >= PART:
+                blocks = None
                 yield joined(key)
+                release()
     for key in list(held):
         yield joined(key)
+        release()
 
 
 def _mined(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, parts: np.ndarray):
