@@ -49,7 +49,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LONGEST = 4
 SUPPORT = 30
 KEPT = 2000
-SHARDS = 15
+SHARDS = 5
 BLOCK = 1 << 17
 # Words of a shard that a task counts at a time.
 PART = 1_500_000
