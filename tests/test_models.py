@@ -227,3 +227,28 @@ def test_standard_scale(spark):
     rows = L.scaled_columns(table, ["a", "b"], table).orderBy("a").collect()
     assert [r.a for r in rows] == pytest.approx([-1.2247448, 0, 1.2247448])
     assert [r.b for r in rows] == [0, 0, 0]
+
+
+def test_training_rows_are_dealt_to_all_cores(spark):
+    """Their files are far under 4 MB, which made one task of them."""
+    rows = spark.range(200_000).select("id", (F.col("id") % 7).cast("double").alias("x"))
+    train, _ = L.held_out(rows, F.col("id"), "dealt")
+    tasks = L.dealt(train).rdd.glom().map(len).collect()
+    assert len(tasks) == 8 and min(tasks) > 0.9 * max(tasks)
+    assert L.dealt(train.limit(100)).rdd.getNumPartitions() == 1
+
+
+def test_equal_inputs_train_as_one_row_with_their_number(spark, shop):
+    """Experiments of one product at one discount count by their mean and number."""
+    columns = "product_id string, discount_pct double, conversion_rate double"
+    rows = [(f"p{i % 50:03d}", (i % 11) / 100, (i % 13) / 20) for i in range(6000)]
+    train, _ = L.held_out(
+        E.experiment_features(spark.createDataFrame(rows, columns), shop["products"], CODES),
+        F.concat_ws(":", "product_id", "discount_pct", "conversion_rate"), "repeats",
+    )
+    mean = F.avg("conversion_rate").alias("conversion_rate")
+    inputs = L.repeated(train, L.ELASTICITY_INPUT, mean, name="repeats_inputs")
+    total = inputs.agg(F.sum("weight"), F.sum(F.col("weight") * F.col("conversion_rate"))).first()
+    plain = train.agg(F.count(F.lit(1)), F.sum("conversion_rate")).first()
+    assert total[0] == plain[0] and total[1] == pytest.approx(plain[1])
+    assert inputs.count() <= 550 < plain[0]
