@@ -90,6 +90,21 @@ def test_spike_values(spark):
     assert got == [0.3333, 1.0, 0.6667, 1.0]
 
 
+def test_spikes_from_one_order_of_the_days(spark, shop):
+    r = random.Random(4)
+    counts = [
+        (f"p{p:03d}", d, r.randint(1, 9)) for p in range(40) for d in r.sample(range(90), p + 1)
+    ] + [("gone", 3, 1)]
+    daily = daily_table(spark, counts)
+    latest = D.latest_features(daily, shop["products"], CODES)
+    apart = D.demand_spikes(D.predict_closed_form(latest), D.demand_baseline(daily), shop["products"])
+    at_once = D.closed_form_spikes(daily, shop["products"])
+    # Windows over the days: one order of them, where there were two.
+    orders = [t._jdf.queryExecution().optimizedPlan().toString().count("Window [") for t in (at_once, apart)]
+    assert orders[0] == 1 < orders[1]
+    assert sorted(at_once.collect()) == sorted(apart.collect())
+
+
 def test_uplift_and_best_discount(shop):
     lines = E.fit_lines(shop["experiments"], shop["products"])
     grid = E.predict_uplift(shop["products"], lines)
