@@ -51,6 +51,21 @@ def test_mixed_requests_and_early_stop(shop, shelf):
     assert sum(seen) < 100 * 50
 
 
+def test_diverse_lists_stop_early(shop, shelf):
+    """Penalties push the picks down, but only cells that could be picked are gone down."""
+    seen = []
+
+    def flat(pairs):
+        seen.append(pairs.count())
+        return pairs.withColumn("propensity_score", F.lit(0.5))
+
+    asked = all_requests(shop, candidate_pool=50, top_k=5, apply_diversity=True)
+    highest = F.when(F.col("category") == "Home", 0.5).otherwise(F.lit(0.5))
+    got = picks(threshold.recommend_scored(asked, shop["users"], shelf, flat, highest=highest, first=1))
+    assert got == picks(R.recommend(asked, shop["users"], shelf, lambda p: p.withColumn("propensity_score", F.lit(0.5))))
+    assert sum(seen) < 25 * 100
+
+
 def test_no_requests(shop, shelf):
     asked = all_requests(shop).where("false")
     table = threshold.recommend_scored(asked, shop["users"], shelf, personal)
