@@ -175,6 +175,41 @@ def test_collocations_by_shards(frame, corpus, monkeypatch, shards, part):
     assert mined(frame, support=6, most=4) == plain_collocations([(r[1], r[2]) for r in corpus], 6, 4)
 
 
+def test_short_hashes_change_nothing(frame, corpus, monkeypatch):
+    """Mined phrases that share the few bits of a hash are told apart when they are counted."""
+    monkeypatch.setattr(phrases, "HASH_BITS", 7)
+    assert mined(frame, support=6) == plain_collocations([(r[1], r[2]) for r in corpus], 6)
+    monkeypatch.setattr(phrases, "BITS", 1 << 12)
+    monkeypatch.setattr(phrases, "BITS_EACH", 400)
+    assert mined(frame, support=6) == plain_collocations([(r[1], r[2]) for r in corpus], 6)
+
+
+def test_little_is_shuffled_of_a_count(frame, monkeypatch):
+    """A mined phrase is one number and its count, a counted one its string without a hash."""
+    shapes = {}
+
+    def shape(table, function, ddl, *more):
+        shapes[function.__name__] = [one.split()[1] for one in ddl.split(", ")]
+        return map_batches(table, function, ddl, *more)
+
+    map_batches = phrases.map_batches
+    monkeypatch.setattr(phrases, "map_batches", shape)
+    assert mined(frame, support=10)
+    assert shapes["_mined"] == ["long", "int"] and shapes["_recounted"] == ["string", "string", "long"]
+
+
+def test_hashes_of_counted_phrases(spark):
+    """They equal the hashes of the windows that the blocks are searched for."""
+    rows = [("en", "a b c", 9), ("fr", "a b c", 8), ("en", "b c d", 7)]
+    table = spark.createDataFrame(rows, "lang string, phrase string, f long")
+    found = phrases.map_batches(table, phrases._hashed, "lang string, phrase string, k int, h long, f long", 3).collect()
+    assert sorted((r["lang"], r["phrase"], r["f"]) for r in found) == sorted(rows)
+    for lang in ("en", "fr"):
+        h, _ = phrases.phrase_hashes(phrases.word_hashes(lang, "abcd"), np.ones(4, bool), 3)
+        windows = dict(zip(("a b c", "b c d"), h.view(np.int64).tolist()))
+        assert all(r["h"] == windows[r["phrase"]] for r in found if r["lang"] == lang)
+
+
 def test_a_phrase_spread_thin(spark):
     """Once in each document and shard: no shard sees it often, the corpus does."""
     texts = [(i, f"alpha beta own{i} gamma", "en", "s", 1) for i in range(40)]

@@ -13,10 +13,15 @@ tasks.  For each length of phrase:
    with all that other shards may have of them, stay under the support.
 3. All candidates are counted in all shards, by their strings, and those below the support go.
 
-Step 1 skips phrases with an infrequent part and knows phrases by 64-bit hashes; steps 1 and 3
-look hashes up in bitmaps.  A hash or a bit that two phrases share lets one through, which
-costs rows and changes no result, since step 3 counts exactly whatever it is given.  Where
-candidates are more than ``BITS`` can tell apart, step 3 runs once for each slice of the hashes.
+Step 1 skips phrases with an infrequent part and knows phrases by ``HASH_BITS`` bits of their
+hashes; steps 1 and 3 look hashes up in bitmaps.  A hash or a bit that two phrases share lets
+one through, which costs rows and changes no result, since step 3 counts exactly whatever it is
+given.  Where candidates are more than ``BITS`` can tell apart, step 3 runs once for each slice
+of the hashes.
+
+Most of what is on disk are the shuffled counts of steps 1 and 3.  In step 1 language, shard and
+hash are one number; in step 3 strings travel without hashes, which are made again for the few
+that are frequent.
 
 Null text is empty, null lang is 'und', an empty lang stays as it is.  Rows count as often as
 they occur.  Ties in score go to the more frequent phrase, then to the lower in UTF-8 order.
@@ -58,6 +63,8 @@ HELD = 250_000
 # Bits of a bitmap at most, and bits for each hash in it.
 BITS = 1 << 27
 BITS_EACH = 16
+# Bits of a mined phrase's hash, fewer where languages and shards need them.
+HASH_BITS = 40
 
 # A word, or a break between pieces.
 WORD = re.compile("[.,;:!?\\x0A-\\x0D]|[^\\x20\\x09.,;:!?\\x0A-\\x0D]+")
@@ -180,34 +187,39 @@ def _parts(batches: Iterator[pa.RecordBatch], with_words: bool = False):
         release()
 
 
-def _mined(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, parts: np.ndarray):
-    """(lang, shard, h, count) of the phrases of k words whose parts are frequent."""
+def _mined(
+    batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, parts: np.ndarray,
+    numbers: dict[tuple[str, int], int], bits: int,
+):
+    """(key, count) of the phrases of k words whose parts are frequent; ``key`` is the number of
+    the language and shard, and ``bits`` of the hash below it."""
     for lang, shard, _, _, hashes, inside in _parts(batches):
         shorter, ok = phrase_hashes(hashes, inside, k - 1)
         ok = ok & listed(parts, shorter)
         h, whole = phrase_hashes(hashes, inside, k)
-        h = np.sort(h[whole & ok[:-1] & ok[1:]])
+        h = np.sort(h[whole & ok[:-1] & ok[1:]] & np.uint64((1 << bits) - 1))
         if not len(h):
             continue
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(starts, len(h)))
-        h = h[starts].view(np.int64)
-        for low in range(0, len(h), 100_000):
-            some = pa.array(h[low : low + 100_000])
-            columns = [pa.repeat(lang, len(some)), pa.repeat(pa.scalar(shard, pa.int32()), len(some)), some]
+        key = h[starts].view(np.int64) | np.int64(numbers[lang, shard] << bits)
+        for low in range(0, len(key), 100_000):
+            some = pa.array(key[low : low + 100_000])
             counts = pa.array(count[low : low + 100_000].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*columns, counts], schema=schema)
+            yield pa.RecordBatch.from_arrays([some, counts], schema=schema)
 
 
 def _recounted(
-    batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, candidates: np.ndarray, slices: int, which: int
+    batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int, candidates: np.ndarray, bits: int, slices: int,
+    which: int,
 ):
-    """(lang, phrase, h, count) for the candidates of a slice in each shard."""
+    """(lang, phrase, count) for the candidates of a slice in each shard."""
     for lang, _, words, places, hashes, inside in _parts(batches, True):
         h, ok = phrase_hashes(hashes, inside, k)
-        ok = ok & listed(candidates, h)
+        mined = h & np.uint64((1 << bits) - 1)
+        ok = ok & listed(candidates, mined)
         if slices > 1:
-            ok &= h.view(np.int64) % slices == which
+            ok &= mined % np.uint64(slices) == which
         at = np.flatnonzero(ok)
         at = at[np.argsort(h[at], kind="stable")]
         if not len(at):
@@ -223,15 +235,27 @@ def _recounted(
             some = first[low : low + 50_000]
             chosen = np.stack([places[some + j] for j in range(k)], 1).tolist()
             phrases = [" ".join([words[i] for i in row]) for row in chosen]
-            yield record_batch(
-                [[lang] * len(some), phrases, h[some].view(np.int64), count[low : low + 50_000]], schema
-            )
+            yield record_batch([[lang] * len(some), phrases, count[low : low + 50_000]], schema)
 
 
 def places_differ(hashes: np.ndarray, at: np.ndarray, j: int) -> np.ndarray:
     return hashes[at[1:] + j] != hashes[at[:-1] + j]
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], schema: pa.Schema, k: int):
+    """Counted phrases (lang, phrase, f) of k words with their hashes: (lang, phrase, k, h, f)."""
+    for batch in portions(batches, 50_000):
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        phrases = np.array(batch.column("phrase").to_pylist(), object)
+        f = batch.column("f").to_numpy()
+        for lang in set(langs.tolist()):
+            own = langs == lang
+            words = " ".join(phrases[own]).split(" ")
+            h, _ = phrase_hashes(word_hashes(lang, words), np.ones(len(words), bool), k)
+            n = int(own.sum())
+            yield record_batch([[lang] * n, phrases[own].tolist(), [k] * n, h[::k].view(np.int64), f[own]], schema)
+
+
 def bitmap(table: DataFrame, n: int) -> np.ndarray:
     """Bits of the hashes ``h``; at most BITS / 64 rows come to the driver."""
     bits = min(BITS, max(1 << 12, 1 << (BITS_EACH * n).bit_length()))
@@ -262,9 +286,11 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
     for row in sizes:
         totals[row["lang"]] = totals.get(row["lang"], 0) + row["n"]
     # A row for each language and shard.
+    numbers = {(r["lang"], r["shard"]): number for number, r in enumerate(sizes)}
+    bits = min(HASH_BITS, 63 - len(sizes).bit_length())
     least = spark.createDataFrame(
-        [(r["lang"], r["shard"], -(-support * r["n"] // totals[r["lang"]])) for r in sizes],
-        "lang string, shard int, least long",
+        [(number, r["lang"], -(-support * r["n"] // totals[r["lang"]])) for number, r in enumerate(sizes)],
+        "number long, lang string, least long",
     )
     untold = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("untold"))
     found = stage(
@@ -278,11 +304,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         if not n:
             break
         mined = map_batches(
-            blocks.select("lang", "shard", "hashes", "places"), _mined, "lang string, shard int, h long, count int", k, bitmap(found, n)
+            blocks.select("lang", "shard", "hashes", "places"), _mined, "key long, count int", k, bitmap(found, n), numbers, bits
+        )
+        local = mined.groupBy("key").agg(F.sum("count").alias("count")).select(
+            F.shiftright("key", bits).alias("number"), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("h"), "count"
         )
-        local = mined.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count"))
         # What a shard that does not name a phrase may have of it is one less than its share.
-        named = local.join(F.broadcast(least), ["lang", "shard"]).where("count >= least").groupBy("lang", "h").agg(
+        named = local.join(F.broadcast(least), "number").where("count >= least").groupBy("lang", "h").agg(
             F.sum("count").alias("named"), F.sum(F.col("least") - 1).alias("told")
         )
         candidates = stage(
@@ -296,13 +324,15 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT) -> tuple[DataFrame
         for which in range(slices):
             own = candidates.where(F.expr(f"pmod(h, {slices}) = {which}"))
             part = map_batches(
-                blocks.select("lang", "shard", "words", "places"), _recounted, "lang string, phrase string, h long, count long",
-                k, bitmap(own, -(-n // slices)), slices, which,
+                blocks.select("lang", "shard", "words", "places"), _recounted, "lang string, phrase string, count long",
+                k, bitmap(own, -(-n // slices)), bits, slices, which,
             )
             counted = part if counted is None else counted.unionByName(part)
         found = stage(
-            counted.groupBy("lang", "phrase").agg(F.sum("count").alias("f"), F.first("h").alias("h"))
-            .where(F.col("f") >= support).select("lang", "phrase", F.lit(k).alias("k"), "h", "f"),
+            map_batches(
+                counted.groupBy("lang", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= support),
+                _hashed, "lang string, phrase string, k int, h long, f long", k,
+            ),
             "frequent-phrases",
         )
         lengths.append(found)
