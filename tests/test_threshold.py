@@ -111,3 +111,19 @@ def test_similar_products_below_a_shared_cluster(spark, n, above):
     for row in sorted(D.similar_products(table, n, above).collect(), key=lambda x: (x.product_id, x.place)):
         got.setdefault(row.product_id, []).append((row.similar_id, row.similarity))
     assert got == {k: v for k, v in expected.items() if v}
+
+
+def test_only_opened_products_are_sent(shop, shelf, monkeypatch):
+    """Each round sent the whole catalogue to all executors, through the driver."""
+    made, stage = [], threshold.stage
+    monkeypatch.setattr(threshold, "stage", lambda table, name: made.append((name, stage(table, name))) or made[-1][1])
+
+    def flat(pairs):
+        # Requests are merged with what they opened, however few bytes that has in its files.
+        assert "strategy=merge" in pairs._jdf.queryExecution().analyzed().toString()
+        return pairs.withColumn("propensity_score", F.lit(0.5))
+
+    asked = all_requests(shop, candidate_pool=50, top_k=2, apply_diversity=False)
+    threshold.recommend_scored(asked, shop["users"], shelf, flat, highest=0.5, first=1)
+    sizes = [table.count() for name, table in made if name == "round_items"]
+    assert sizes and 0 < max(sizes) < shelf.count()
